@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestack.llm.leaks import leaks
+from lodestack.llm.mixing import mix_sources
 from lodestack.llm.near_duplicates import expand_pairs, groups, near_duplicates
 from lodestack.sources.tables import table
 
@@ -40,4 +41,21 @@ def p6_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _leaks(spark, sf_dir).select("doc_id", "item_id", F.round("similarity", 6).alias("similarity"), "exact")
 
 
-QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups, "p6_found": p6_found, "p6_similar": p6_similar}
+def _mix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return mix_sources(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+
+
+def p7_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts of the mixture, by the smallest doc_id of each, and how often each is used."""
+    return _mix(spark, sf_dir)[0]
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report: wanted and actual shares of the total tokens by source."""
+    return _mix(spark, sf_dir)[1]
+
+
+QUERIES = {
+    "p1_found": p1_found, "p1_groups": p1_groups, "p6_found": p6_found, "p6_similar": p6_similar,
+    "p7_copies": p7_copies, "p7_shares": p7_shares,
+}
