@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestack.llm.leaks import leaks
 from lodestack.llm.mixing import mix_sources
+from lodestack.llm.mojibake import garbled
 from lodestack.llm.near_duplicates import expand_pairs, groups, near_duplicates
 from lodestack.sources.tables import table
 
@@ -28,6 +29,27 @@ def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _garbled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    contents = table(spark, sf_dir, "doc_cache").select(
+        F.lit("doc_cache").alias("tab"), F.col("path").alias("rec_key"), F.lit("doc_cache").alias("source"),
+        F.col("content").alias("text"),
+    )
+    names = table(spark, sf_dir, "file_index").select(
+        F.lit("file_index").alias("tab"), F.col("seq").cast("string").alias("rec_key"), F.lit("file_index").alias("source"),
+        F.col("name").alias("text"),
+    )
+    return garbled(contents.unionByName(names))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _garbled(spark, sf_dir).select("tab", "rec_key")
+
+
+def p4_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Garbled records with the text as far as it can be restored, and the ciphers found in them."""
+    return _garbled(spark, sf_dir)
+
+
 def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
@@ -56,6 +78,7 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "p1_found": p1_found, "p1_groups": p1_groups, "p6_found": p6_found, "p6_similar": p6_similar,
+    "p1_found": p1_found, "p1_groups": p1_groups, "p4_found": p4_found, "p4_restored": p4_restored,
+    "p6_found": p6_found, "p6_similar": p6_similar,
     "p7_copies": p7_copies, "p7_shares": p7_shares,
 }
