@@ -9,6 +9,7 @@ from lodestack.llm.leaks import leaks
 from lodestack.llm.mixing import mix_sources
 from lodestack.llm.mojibake import garbled
 from lodestack.llm.near_duplicates import expand_pairs, groups, near_duplicates
+from lodestack.llm.personal import personal_information, redact
 from lodestack.sources.tables import table
 
 
@@ -77,8 +78,18 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mix(spark, sf_dir)[1]
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_information(table(spark, sf_dir, "documents")).select("doc_id", "kind", "start_pos")
+
+
+def p8_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with typed placeholders in place of personal information."""
+    return redact(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "p1_found": p1_found, "p1_groups": p1_groups, "p4_found": p4_found, "p4_restored": p4_restored,
     "p6_found": p6_found, "p6_similar": p6_similar,
     "p7_copies": p7_copies, "p7_shares": p7_shares,
+    "p8_found": p8_found, "p8_redacted": p8_redacted,
 }
