@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import io
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -68,3 +71,27 @@ class Scratch:
             if target:
                 path = jvm.org.apache.hadoop.fs.Path(target)
                 path.getFileSystem(conf).delete(path, True)
+
+
+#: Applications whose Python workers have the package.
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in Python workers, wherever they run: once per application, as a zip in the
+    shared folder."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    package = Path(__file__).resolve().parent
+    content = io.BytesIO()
+    with zipfile.ZipFile(content, "w", zipfile.ZIP_DEFLATED) as archive:
+        for file in sorted(package.rglob("*.py")):
+            archive.write(file, file.relative_to(package.parent).as_posix())
+    target = f"{shared_dir(spark)}/lodestack/{package.name}-{uuid.uuid4().hex}.zip"
+    path = spark._jvm.org.apache.hadoop.fs.Path(target)  # noqa: SLF001
+    out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path)  # noqa: SLF001
+    out.write(content.getvalue())
+    out.close()
+    context.addPyFile(target)
+    _SHIPPED.add(context.applicationId)
