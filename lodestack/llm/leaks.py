@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestack.llm.words import flat_lists, mix, shingles, windows, word_hashes
+from lodestack.session import ship_package
 
 BITS = 64
 SHINGLE = 5
@@ -127,7 +128,7 @@ class ItemIndex:
         return out, equal
 
 
-def _scan(index: ItemIndex, id_type: pa.DataType):
+def _scan(index: ItemIndex):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values, offsets = flat_lists(batch.column(1))
@@ -170,7 +171,7 @@ def leaks(
     all within `radius` bits. Defined cases: null or empty texts and texts under `width` words match nothing; rows with a null id
     are ignored; repeated rows count once; no items or no documents give an empty result.
     """
-    spark = docs.sparkSession
+    ship_package(docs.sparkSession)
     wanted = items.where(F.col("item_id").isNotNull()).select(
         F.col("item_id").cast("bigint").alias("item_id"), word_hashes(F.col("text")).alias("h")
     ).where(F.size("h") >= width)
@@ -182,7 +183,7 @@ def leaks(
     for k in range(passes):
         rows = wanted.where(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == k).collect()
         index = ItemIndex([r[0] for r in rows], [r[1] for r in rows], width, radius)
-        part = source.mapInArrow(_scan(index, None), schema).where(F.col("similarity") >= threshold)
+        part = source.mapInArrow(_scan(index), schema).where(F.col("similarity") >= threshold)
         result = part if result is None else result.unionByName(part)
     return result.groupBy("doc_id", "item_id").agg(
         F.max("similarity").alias("similarity"), F.max("exact").alias("exact"), F.max("window_pairs").alias("window_pairs")

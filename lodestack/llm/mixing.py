@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestack.session import Scratch
+from lodestack.session import Scratch, ship_package
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: More sources than this are refused: their targets are collected to the driver.
@@ -81,6 +81,7 @@ def mix_sources(
     that repeat a source are added up, with the smallest max_repeats; null or negative shares count as 0.
     """
     spark = docs.sparkSession
+    ship_package(spark)
     scratch = Scratch(spark, "mix")
     wanted = targets.select(
         source_name(F.col("source")).alias("source"), F.greatest(F.coalesce("target_share", F.lit(0.0)), F.lit(0.0)).alias("share"),

@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestack.session import ship_package
+
 #: Sizes of the hashed bigram and character tables.
 BIGRAMS, CHARS = 1 << 20, 1 << 16
 #: Letters around at least one non-ASCII character.
@@ -392,6 +394,7 @@ def garbled(texts: DataFrame, rounds: int = 3, odds_needed: float = 1.0) -> Data
     odds_needed: log odds of garbled against clean from which a unit counts. Defined cases: null and empty texts and
     texts in ASCII aren't garbled; a null source is a source; repeated rows give repeated results; no rows give none.
     """
+    ship_package(texts.sparkSession)
     rows = texts.where(F.col("text").rlike(r"[^\x00-\x7f]")).select(
         F.coalesce("source", F.lit("")).alias("source"), "text", "tab", "rec_key"
     )

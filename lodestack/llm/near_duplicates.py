@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestack.llm.words import flat_lists, mix, shingles, windows, word_hashes
-from lodestack.session import Scratch
+from lodestack.session import Scratch, ship_package
 
 WIDTH = 5
 BANDS, ROWS = 48, 4
@@ -132,6 +132,7 @@ def near_duplicates(
     repeated members; an empty table gives empty results.
     """
     spark = docs.sparkSession
+    ship_package(spark)
     scratch = Scratch(spark, "near")
     id_type = docs.schema["id"].dataType.simpleString()
     schema = f"id {id_type}, class binary, n int, bands array<bigint>, {', '.join(f'{p} bigint' for p in PLANES)}, shingles array<bigint>"

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestack.llm.boosting import Boosted
+from lodestack.session import ship_package
 
 KINDS = ("email", "phone", "id", "address", "name")
 
@@ -389,6 +390,7 @@ def personal_information(docs: DataFrame, training_rows: int = 10_000) -> DataFr
     Defined cases: null and empty texts have none; rows with null doc_id are ignored; repeated rows give repeated
     results; texts of any length are read whole.
     """
+    ship_package(docs.sparkSession)
     models = train(training_rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -418,6 +420,7 @@ def _readable(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame, training_rows: int = 10_000) -> DataFrame:
     """(doc_id, redacted, replaced): the texts with [EMAIL], [PHONE], [ID], [ADDRESS] and [NAME] in place of personal
     information, and how many places were replaced. Null and empty texts stay as they are."""
+    ship_package(docs.sparkSession)
     models = train(training_rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
