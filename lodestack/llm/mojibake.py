@@ -25,6 +25,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,7 +50,9 @@ DISCOUNT = 0.005
 CLASSES = 16
 #: Control characters that no text contains, but the upper half of code pages does (U+0085 is a line end).
 CONTROL = re.compile("[\x80-\x84\x86-\x9f]")
-MOST_REMEMBERED = 200_000
+MOST_REMEMBERED = 50_000
+#: Bytes of text handled at once in a Python worker.
+PIECE = 1 << 19
 
 
 def code_page(name: str) -> dict[int, str]:
@@ -258,6 +261,18 @@ _NARROW = [k for k, c in enumerate(CIPHERS) if c.shown in SINGLE]
 _NARROW_ALL = [k for k, c in enumerate(CIPHERS) if c.shown in SINGLE or c == Cipher("utf-8", "gbk")]
 
 
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of about PIECE bytes of text: what a worker holds doesn't depend on the texts' lengths."""
+    for batch in batches:
+        ends = np.cumsum(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False).astype(np.int64))
+        low = 0
+        while low < batch.num_rows:
+            done = ends[low - 1] if low else 0
+            high = max(low + 1, int(np.searchsorted(ends, done + PIECE, "right")))
+            yield batch.slice(low, high - low)
+            low = high
+
+
 def _batch_units(batch: pa.RecordBatch) -> tuple[list[str], list[list[str]]]:
     return batch.column(0).to_pylist(), [UNIT.findall(t) for t in batch.column(1).to_pylist()]
 
@@ -269,7 +284,7 @@ def _learn(model: Bigrams | None, shares: dict):
         counts, reader = Bigrams(), Decipherer(model, shares) if model is not None else None
         mass: dict[tuple[str, str], float] = {}
         letters: dict[tuple[str, str], float] = {}
-        for batch in batches:
+        for batch in _pieces(batches):
             sources, units = _batch_units(batch)
             for source in dict.fromkeys(sources):
                 number: dict[str, int] = {}
@@ -353,7 +368,7 @@ def _restore(learned: Learned, odds_needed: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Decipherer(learned.model, learned.shares)
-        for batch in batches:
+        for batch in _pieces(batches):
             sources, units = _batch_units(batch)
             texts = batch.column(1).to_pylist()
             found, restored, lost, kinds = [], [], [], []
