@@ -47,6 +47,8 @@ SMOOTH = 2e-5
 #: Successors with less than this share of a character count as unseen (a tenth of it at the start of a unit): garbled
 #: text is rare, but it is in the counts.
 DISCOUNT = 0.005
+#: Units predicted better than this, in log probability per character, are clean as they stand.
+PLAIN = -2.0
 CLASSES = 16
 #: Control characters that no text contains, but the upper half of code pages does (U+0085 is a line end).
 CONTROL = re.compile("[\x80-\x84\x86-\x9f]")
@@ -79,22 +81,6 @@ class Cipher:
     def name(self) -> str:
         return f"{self.written}>{self.shown}" + (f"*{self.times}" if self.times > 1 else "")
 
-    def decipher(self, unit: str) -> str | None:
-        """The text that was written, or null if this cipher can't have shown `unit`."""
-        for _ in range(self.times):
-            if self.written in SINGLE and self.shown in SINGLE:
-                unit = unit.translate(self.table)
-                continue
-            try:
-                if self.shown in SINGLE:
-                    raw = unit.translate(self.table).encode("latin-1")
-                else:
-                    raw = unit.encode(self.shown)
-                unit = raw.decode(self.written, "replace")
-            except UnicodeEncodeError:
-                return None
-        return unit
-
 
 def ciphers() -> list[Cipher]:
     """All swaps of the code pages, and repeated ones of UTF-8."""
@@ -221,15 +207,15 @@ class Decipherer:
             known.clear()
             fresh = list(dict.fromkeys(units))
         if fresh:
+            plain = self.model.score([u.replace("\0", LOST) for u in fresh])
             owner, which, texts = [], [], []
-            for i, unit in enumerate(fresh):
-                for k in _possible(unit):
-                    text = CIPHERS[k].decipher(unit)
-                    if text is not None and text != unit and text.count(LOST) * 4 <= len(text):
+            for i in np.flatnonzero(plain < PLAIN * (np.array([len(u) for u in fresh]) + 1)):
+                unit = fresh[i]
+                for k, text in readings(unit):
+                    if text != unit and text.count(LOST) * 4 <= len(text):
                         owner.append(i)
                         which.append(k)
                         texts.append(text.replace("\0", LOST))
-            plain = self.model.score([u.replace("\0", LOST) for u in fresh])
             best = {}
             if texts:
                 prior = np.array([self.log_share(source, k) for k in range(len(CIPHERS))])
@@ -242,23 +228,59 @@ class Decipherer:
         return known
 
 
-def _possible(unit: str) -> list[int]:
-    """The ciphers that can have shown the unit's characters, most of which one look excludes. A lone letter is no
-    evidence for any cipher that gives a letter for a letter."""
-    if len(unit) == 1:
-        return _LONE
-    highest = max(unit)
-    if "⺀" <= highest and highest != LOST:
-        return _WIDE
-    if highest < "ࠀ":
-        return _NARROW_ALL
-    return _NARROW
-
-
-_WIDE = [k for k, c in enumerate(CIPHERS) if c.shown in ("gbk", "big5")]
-_LONE = [k for k, c in enumerate(CIPHERS) if c.shown in ("gbk", "big5") and c.written not in SINGLE]
-_NARROW = [k for k, c in enumerate(CIPHERS) if c.shown in SINGLE]
-_NARROW_ALL = [k for k, c in enumerate(CIPHERS) if c.shown in SINGLE or c == Cipher("utf-8", "gbk")]
+#: By code page shown: the characters it has, their bytes as characters of the same number, and the ciphers.
+_REPERTOIRE = {c: frozenset(code_page(c).values()) for c in SINGLE}
+_BYTES = {c: {ord(char): chr(byte) for byte, char in code_page(c).items()} for c in SINGLE}
+_BY_SHOWN: dict[str, list[int]] = {}
+for _k, _c in enumerate(CIPHERS):
+    _BY_SHOWN.setdefault(_c.shown, []).append(_k)
+
+
+def _bytes_of(unit: str, shown: str) -> bytes | None:
+    if shown in SINGLE:
+        return unit.translate(_BYTES[shown]).encode("latin-1") if {c for c in unit if c > "\x7f"} <= _REPERTOIRE[shown] else None
+    try:
+        return unit.encode(shown)
+    except UnicodeEncodeError:
+        return None
+
+
+def _text_of(raw: bytes, written: str) -> str:
+    if written in MULTI:
+        return raw.decode(written, "replace")
+    try:
+        return raw.decode(written)
+    except UnicodeDecodeError:  # bytes without a character
+        page = code_page(written)
+        return "".join(page.get(byte, chr(byte)) for byte in raw)
+
+
+def readings(unit: str) -> Iterator[tuple[int, str]]:
+    """What the unit deciphers to under each cipher that can have shown its characters. A lone letter is no evidence
+    for any cipher that gives a letter for a letter."""
+    special = {c for c in unit if c > "\x7f"}
+    highest = max(special)
+    if highest >= "⺀" and highest != LOST:
+        shown_as = [c for c in MULTI if c != "utf-8"]
+    else:
+        shown_as = [c for c in SINGLE if special <= _REPERTOIRE[c]] + (["utf-8"] if highest < "ࠀ" else [])
+    for shown in shown_as:
+        raw = _bytes_of(unit, shown)
+        if raw is None:
+            continue
+        for k in _BY_SHOWN[shown]:
+            cipher = CIPHERS[k]
+            if len(unit) == 1 and (shown in SINGLE or cipher.written in SINGLE):
+                continue
+            if shown == "utf-8" and cipher.written != "gbk":
+                continue
+            text = _text_of(raw, cipher.written)
+            if cipher.times == 2:
+                again = _bytes_of(text, shown)
+                if again is None:
+                    continue
+                text = _text_of(again, cipher.written)
+            yield k, text
 
 
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
