@@ -9,6 +9,8 @@ from lodestack.functions.times import unix_seconds
 from lodestack.operators.change_table import apply_feed
 from lodestack.operators.hierarchy import descendants, resolve_hierarchy
 from lodestack.operators.snapshots import snapshot_changes
+from lodestack.queries.maintenance import STATE
+from lodestack.queries.search import SECONDS
 from lodestack.sources.tables import table
 
 
@@ -71,4 +73,53 @@ QUERIES = {
     "p3_descendants": p3_descendants,
     "p5_found": p5_found,
 }
-ORACLES: dict[str, str] = {}
+
+_LOW = (1 << 48) - 1
+_ENTRY = f"""
+    entry AS (SELECT tab, volume, frn, arg_max(parent_frn, seq) AS parent, arg_max(name, seq) AS name
+              FROM (SELECT 'raw_node' AS tab, volume, frn, parent_frn, seq, name FROM raw_node
+                    UNION ALL SELECT 'file_index', volume, frn, parent_frn, seq, name FROM file_index)
+              WHERE (frn & {_LOW}) <> 5 GROUP BY tab, volume, frn),
+    tree AS (
+        SELECT tab, volume, frn, frn AS top_frn, CAST(0 AS BIGINT) AS node_depth, name AS path FROM entry WHERE (parent & {_LOW}) IN (0, 5, {_LOW})
+        UNION ALL
+        SELECT e.tab, e.volume, e.frn, t.top_frn, t.node_depth + 1, t.path || chr(92) || e.name
+        FROM tree t JOIN entry e ON e.tab = t.tab AND e.volume = t.volume AND e.parent = t.frn WHERE (e.parent & {_LOW}) NOT IN (0, 5, {_LOW})),
+    rest AS (SELECT e.* FROM entry e ANTI JOIN tree t ON t.tab = e.tab AND t.volume = e.volume AND t.frn = e.frn),
+    up AS (
+        SELECT tab, volume, frn, [frn] AS way, parent AS next, false AS ended FROM rest
+        UNION ALL
+        SELECT u.tab, u.volume, u.frn, list_append(u.way, u.next), r.parent, list_contains(list_append(u.way, u.next), r.parent)
+        FROM up u JOIN rest r ON r.tab = u.tab AND r.volume = u.volume AND r.frn = u.next WHERE NOT u.ended AND NOT list_contains(u.way, u.next)),
+    lost AS (
+        SELECT u.tab, u.volume, u.frn, 'orphan' AS status, u.way[-1] AS top_frn, CAST(len(u.way) - 1 AS BIGINT) AS node_depth
+        FROM up u ANTI JOIN rest r ON r.tab = u.tab AND r.volume = u.volume AND r.frn = u.next
+        UNION ALL
+        SELECT tab, volume, frn, 'loop', list_min(way[list_position(way, next):]), CAST(list_position(way, next) - 1 AS BIGINT)
+        FROM up WHERE list_contains(way, next))"""
+ORACLES = {
+    "p2_found": f"""
+        WITH {STATE} SELECT volume, frn AS file_reference_number, parent AS parent_file_reference_number, name AS file_name, attributes AS file_attributes FROM state""",
+    "p3_found": f"WITH RECURSIVE {_ENTRY} SELECT * FROM lost",
+    "p3_descendants": f"""
+        WITH RECURSIVE {_ENTRY}, orphan AS (
+            SELECT e.tab, e.volume, e.frn, e.parent FROM rest e ANTI JOIN lost l ON l.tab = e.tab AND l.volume = e.volume AND l.frn = e.frn AND l.status = 'loop'),
+        member AS (SELECT tab, volume, frn FROM tree UNION ALL SELECT tab, volume, frn FROM orphan),
+        pair AS (
+            SELECT e.tab, e.volume, e.parent AS ancestor, e.frn, 1 AS distance FROM entry e JOIN member m ON m.tab = e.tab AND m.volume = e.volume AND m.frn = e.frn
+            JOIN entry p ON p.tab = e.tab AND p.volume = e.volume AND p.frn = e.parent WHERE (e.parent & {_LOW}) NOT IN (0, 5, {_LOW})
+            UNION ALL
+            SELECT a.tab, a.volume, p.parent, a.frn, a.distance + 1 FROM pair a JOIN entry p ON p.tab = a.tab AND p.volume = a.volume AND p.frn = a.ancestor
+            JOIN entry q ON q.tab = a.tab AND q.volume = a.volume AND q.frn = p.parent WHERE (p.parent & {_LOW}) NOT IN (0, 5, {_LOW}))
+        SELECT tab, volume, ancestor AS frn, count(*) AS descendants, CAST(max(distance) AS BIGINT) AS height FROM pair GROUP BY tab, volume, ancestor""",
+    "p5_found": f"""
+        WITH item AS (SELECT snapshot_ts AS taken, full_path_lower AS k, arg_max(coalesce(size, -1), seq) AS size, arg_max({SECONDS}, seq) AS t
+                      FROM snapshot_file_item GROUP BY 1, 2),
+        step AS (SELECT taken AS earlier, lead(taken) OVER (ORDER BY taken) AS later FROM (SELECT DISTINCT snapshot_ts AS taken FROM snapshot_file_item)),
+        old AS (SELECT later AS taken, k, size, t FROM item JOIN step ON item.taken = step.earlier WHERE later IS NOT NULL),
+        new AS (SELECT item.* FROM item JOIN step ON item.taken = step.later)
+        SELECT coalesce(new.taken, old.taken) AS snapshot_ts, coalesce(new.k, old.k) AS full_path_lower,
+               CASE WHEN old.k IS NULL THEN 'added' WHEN new.k IS NULL THEN 'removed' ELSE 'changed' END AS change_kind
+        FROM new FULL JOIN old ON new.taken = old.taken AND new.k = old.k
+        WHERE old.k IS NULL OR new.k IS NULL OR new.size <> old.size OR new.t <> old.t""",
+}

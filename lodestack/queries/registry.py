@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lodestack.queries import changes
+from lodestack.queries import changes, content, maintenance, search
 
-_MODULES = (changes,)
+_MODULES = (search, content, maintenance, changes)
 
 
 def queries() -> dict:
