@@ -15,5 +15,6 @@ TICKS_FROM = 10**15
 def unix_seconds(mtime: Column) -> Column:
     """Whole Unix seconds (rounded down) of an mtime in either unit; null stays null."""
     ticks = mtime - F.lit(UNIX_EPOCH_TICKS)
-    floored = F.floor(ticks / F.lit(TICKS_PER_SECOND))
+    # whole numbers throughout: ticks have more digits than a double
+    floored = F.call_function("div", ticks - F.pmod(ticks, F.lit(TICKS_PER_SECOND)), F.lit(TICKS_PER_SECOND))
     return F.when(mtime >= F.lit(TICKS_FROM), floored.cast("bigint")).otherwise(mtime)

@@ -21,19 +21,21 @@ def exclude(files: DataFrame, rules: DataFrame) -> DataFrame:
     """Files whose path starts with no rule's pattern (or, for rules with is_regex, doesn't match it), in any case.
 
     Rules are a user's list. Up to INLINE_RULES they are read to the driver and become literals in the scan's filter; a
-    longer list is joined by the first folder of its pattern, so it needs no nested loop. Null and empty patterns exclude nothing."""
-    usable = rules.where(F.length("pattern") > 0).select(F.lower("pattern").alias("pattern"), F.coalesce("is_regex", F.lit(False)).alias("is_regex"))
-    first = usable.limit(INLINE_RULES + 1).collect()
-    if len(first) <= INLINE_RULES:
-        for pattern, is_regex in first:
-            hit = F.col("full_path_lower").rlike("(?U)" + pattern) if is_regex else F.col("full_path_lower").startswith(pattern)
-            files = files.where(~F.coalesce(hit, F.lit(False)))
-        return files
-    # a prefix of a path is, cut after each separator, a prefix of the pattern or the pattern itself
-    drive = F.substring("full_path_lower", 1, 2)
-    hits = F.when(F.col("is_regex"), F.col("full_path_lower").rlike(F.col("pattern"))).otherwise(F.col("full_path_lower").startswith(F.col("pattern")))
-    on = (F.substring("pattern", 1, 2) == drive) & hits
-    return files.join(usable.where("length(pattern) >= 2"), on, "left_anti")
+    longer list of prefixes is joined by their first character, so it needs no nested loop. More than INLINE_RULES regular
+    expressions are refused. Null and empty patterns exclude nothing."""
+    usable = rules.where(F.length("pattern") > 0).select("pattern", F.coalesce("is_regex", F.lit(False)).alias("is_regex"))
+    first = usable.orderBy(F.desc("is_regex")).limit(INLINE_RULES + 1).collect()
+    inline = first if len(first) <= INLINE_RULES else [r for r in first if r["is_regex"]]
+    if len(inline) > INLINE_RULES:
+        raise ValueError(f"more than {INLINE_RULES} exclusion rules are regular expressions")
+    for pattern, is_regex in inline:
+        hit = F.col("full_path_lower").rlike("(?iU)" + pattern) if is_regex else F.col("full_path_lower").startswith(pattern.lower())
+        files = files.where(~F.coalesce(hit, F.lit(False)))
+    if len(first) > INLINE_RULES:
+        prefixes = usable.where("NOT is_regex").select(F.lower("pattern").alias("_p"))
+        on = (F.substring("_p", 1, 1) == F.substring("full_path_lower", 1, 1)) & F.col("full_path_lower").startswith(F.col("_p"))
+        files = files.join(prefixes, on, "left_anti")
+    return files
 
 
 @dataclass

@@ -35,7 +35,8 @@ def scan_counts(entries: DataFrame) -> DataFrame:
 
 
 def walk(spark: SparkSession, root: str) -> DataFrame:
-    """(path, mtime in Unix seconds, size) of all files below a folder, by listing only: contents aren't read."""
+    """(path, mtime in Unix seconds, size) of all files below a folder, by listing only: contents aren't read.
+    Spark's listing leaves out files and folders whose name starts with a dot or an underscore."""
     return (
         spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
         .select("path", F.unix_seconds("modificationTime").alias("mtime"), F.col("length").alias("size"))

@@ -25,7 +25,8 @@ def gaps(records: DataFrame, committed: DataFrame, threshold: int = GAP) -> Data
     """(volume, expected, actual) of volumes whose records of a batch begin more than `threshold` after what was
     committed (volume, next_usn); volumes not yet committed have none."""
     first = records.groupBy("volume").agg(F.min("usn").alias("actual"))
-    return first.join(committed.select("volume", F.col("next_usn").alias("expected")), "volume").where(F.col("actual") - F.col("expected") > threshold)
+    both = first.join(committed.select("volume", F.col("next_usn").alias("expected")), "volume")
+    return both.where(F.col("actual") - F.col("expected") > threshold).select("volume", "expected", "actual")
 
 
 class JournalMonitor:
