@@ -384,6 +384,22 @@ def learn(texts: DataFrame, rounds: int = 3) -> Learned:
     return Learned(model, shares, letters)
 
 
+def _restored_line(line: str, hit: dict, tables: dict[int, dict]) -> str:
+    """The line with its garbled units restored. Lone letters, which are no evidence, follow the cipher of their line if
+    all other units of the line have the same one."""
+    units = [u for u in UNIT.findall(line) if len(u) > 1]
+    ciphers_here = {hit[u][0] if u in hit else -1 for u in units}
+    whole = tables.get(next(iter(ciphers_here))) if len(ciphers_here) == 1 else None
+
+    def one(m: re.Match) -> str:
+        if m[0] not in hit:
+            return m[0].translate(whole) if whole and len(m[0]) == 1 else m[0]
+        k, _, text = hit[m[0]]
+        return m[0].translate(tables[k]) if k in tables else text
+
+    return UNIT.sub(one, line)
+
+
 def _restore(learned: Learned, odds_needed: float):
     tables = {k: {**c.table, **{ord(a): b for a, b in learned.letters.get(c.name, {}).items()}}
               for k, c in enumerate(CIPHERS) if c.shown in SINGLE and c.written in SINGLE}
@@ -403,13 +419,7 @@ def _restore(learned: Learned, odds_needed: float):
                     if not hit and LOST not in texts[i] and not CONTROL.search(texts[i]):
                         continue
 
-                    def one(m: re.Match) -> str:
-                        if m[0] not in hit:
-                            return m[0]
-                        k, _, text = hit[m[0]]
-                        return m[0].translate(tables[k]) if k in tables else text
-
-                    text = UNIT.sub(one, texts[i]) if hit else texts[i]
+                    text = "\n".join(_restored_line(line, hit, tables) for line in texts[i].split("\n")) if hit else texts[i]
                     found.append(i)
                     restored.append(text)
                     lost.append(LOST in text)

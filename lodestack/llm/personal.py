@@ -59,11 +59,11 @@ _DOT = r"(?:\.|\s?[\[(（]\s?dot\s?[\])）]\s?|\s(?:dot|DOT)\s)"
 EMAIL = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9](?:[A-Za-z0-9._%+-]*[A-Za-z0-9_])?{_AT}[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)*")
 NUMBER = re.compile(r"(?<![A-Za-z0-9_.\\/+-])(?:\+\s?)?[(（]?\d(?:[\d ()（）./‐-–-]{0,28}\d)?[A-Z]?")
 CODE = re.compile(
-    r"(?<![A-Za-z0-9_])(?:[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-Z]|[A-Z][A-Z0-9]{8}|\d{8}-?[A-Z]|[A-Z]-?\d{7,8}-?[A-Z]?|\d{17}[\dXx]|\d[\d -]{6,22}\d)(?![A-Za-z0-9])"
+    r"(?<![A-Za-z0-9_])(?:[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-Z]|[A-Z][A-Z0-9]{8}|\d{8}-?[A-Z]|[A-Z]-?\d{7,8}-?[A-Z]?|\d[\d -]{6,22}\d)(?![A-Za-z0-9])|(?<![A-Za-z0-9_])\d{17}[\dXx](?!\d)"
 )
 _WORD = rf"[{UPPER}](?:[{UPPER}{LOWER}’'-]*[{UPPER}{LOWER}])?"
 _PARTICLE = r"(?:von|van|de|der|den|du|la|le|zu|del|di|da|y)"
-NAME = re.compile(rf"(?<![\w@.\\/“-])(?:{_WORD})\.?(?:,?[ \u00a0](?:{_PARTICLE}[ \u00a0]){{0,2}}(?:{_WORD})\.?){{1,4}}")
+NAME = re.compile(rf"(?<![\w@.\\/“-])(?:{_WORD})\.?(?:,?[ \u00a0](?:{_PARTICLE}[ \u00a0]){{0,2}}(?:{_WORD})\.?)+")
 TOKEN = re.compile(r"\S+")
 _HAN_GIVEN = "(?![提反处已被的了在和])[一-鿿]"
 HAN_NAME = re.compile(
@@ -264,8 +264,13 @@ class _Invented:
         return self.r.choice(by.get(language, [f"{d(3)}-{d(2)}-{d(4)}", f"{d(3)} {d(2)} {d(4)}", f"QQ {d(2)} {d(2)} {d(2)} {up(1)}", f"{up(2)}{d(6)}{up(1)}", f"X{d(8)}"]))
 
     def email(self) -> str:
-        local = self.pick(f"{self.word()}.{self.word(1, 1)}", f"{self.word()}_{self.word()}", f"{self.word()}{self.digits(2)}", f"{self.word()}+files", f"{self.word().capitalize()}.{self.word().capitalize()}")
-        host = self.pick("example.org", "mail.example", "a.b.example", "dept-7.example.com", "office.invalid", "post.test")
+        given = self.r.choice(sorted(g for g in GIVEN if g.isascii()))
+        local = self.pick(
+            f"{self.word()}.{self.pick(*'abcdefgh')}", f"{given}_{self.word()}", f"{self.word()}{self.digits(2)}", f"{given}+files", f"{given.capitalize()}.{self.word().capitalize()}",
+            given, self.pick(*"abcdefgh") + self.word(), f"{given}.{self.pick(*'klmnst')}", self.pick(*"abcdefgh") + "." + self.word(), self.word(1, 1),
+        )
+        top = self.pick("com", "org", "net", "de", "fr", "io", "example", "test", "invalid", "co.uk", "ru", "cn")
+        host = self.pick("example.org", "mail.example", "a.b.example", "dept-7.example.com", "office.invalid", "post.test", f"{self.word(1, 3)}.{top}", f"{self.word(1, 2)}.{self.word(1, 2)}.{top}", f"{self.pick(*'abcxyz')}.{top}")
         at, dot = self.r.choices([("@", "."), (" @ ", "."), ("＠", "."), (" (at) ", "."), (" [at] ", " [dot] "), (" at ", " dot ")], [6, 1, 1, 1, 1, 0.5])[0]
         return local + at + host.replace(".", dot)
 
@@ -286,7 +291,7 @@ class _Invented:
         return self.r.choice([
             f"frn {d(15)} has no parent.", f"offset {d(14)}-{d(12)}", f"Copied {d(13)} bytes in {d(2)}.{d(2)} s.", f"Build {d(2)}.{d(2)}.{d(1)}, journal position {d(13)}.",
             f"server 192.0.2.{d(2)} answered", f"invoice {d(2)}/{d(2)}/{d(2)}", f"Part no. {d(2)}-{d(2)}-{d(2)}-A is out of stock.", f"Seen at 2024-0{self.r.randint(1, 9)}-1{d(1)} 04:12:25.",
-            f"2024-0{self.r.randint(1, 9)}-1{d(1)} 1{d(1)}:4{d(1)}:5{d(1)} INFO [search] done", f"Clone git@{w()}:tools first.", f"Install pkg@{d(1)}.{d(1)}.3 first.", f"The icon is {w()}@2x.png.",
+            f"2024-0{self.r.randint(1, 9)}-1{d(1)} 1{d(1)}:4{d(1)}:5{d(1)} INFO [search] done", f"Clone git@{w()}:tools first.", f"Install {self.pick('pkg', w())}@{d(1)}.{d(1)}.{d(1)} first.", f"{w()}@{d(1)}.{d(2)}.{d(1)}", f"{w()} {w()}@{d(1)}x.jpg {w()}", f"{self.pick('git', w())}@{w()}:{w()}/{w()}.git", f"The icon is {w()}@2x.png.",
             f"Ask @{w()} in the {w()} channel.", f"Quiet {w().capitalize()} Search beats Red {w().capitalize()} Tools.", f"The Northern {w().capitalize()} Society paid.",
             f"See Chapter {d(2)}, Blue {w().capitalize()} Index.", f"{w().capitalize()} Pro, edition {d(2)}.", f"Checksum {d(2)}f{d(4)}a{d(6)}", f"Room {d(2)}, shelf {d(1)}-{d(2)}",
             f"Die {w().capitalize()} prüft das Verzeichnis {w().capitalize()} seit Version {d(1)}.{d(1)}.{d(1)}.", f"Der Ordnerwächter {w()} den Ordner {w().capitalize()} {d(3)}.", f"Schritt {d(3)}: die {w().capitalize()} Liste {w().capitalize()}.",
@@ -299,10 +304,10 @@ class _Invented:
         if self.r.random() < 0.4:
             return self.decoy() + self.pick("", " ", "\n") + self.decoy(), []
         language = self.pick("en", "en", "de", "fr", "es", "ru", "zh")
-        kind = self.r.choices(KINDS, [2, 3, 3, 3, 4])[0]
+        kind = self.r.choices(KINDS, [2, 3, 3, 3, 7])[0]
         value = {"email": self.email, "phone": lambda: self.phone(language), "id": lambda: self.identity(language), "address": lambda: self.address(language), "name": lambda: self.name(language)}[kind]
         frames = {
-            "email": ["Write to {} if it stalls.", "my address is {}, thanks", "cc <{}>", "Send the list ({}).", "E-Mail: {}", "Courriel : {}", "Correo: {}", "Почта: {}", "邮箱：{}", "有问题写信给{}，谢谢。", "Bitte an {} schreiben.", "Reply-To: {}"],
+            "email": ["Write to {} if it stalls.", "my address is {}, thanks", "cc <{}>", "Send the list ({}).", "E-Mail: {}", "Courriel : {}", "Correo: {}", "Почта: {}", "邮箱：{}", "有问题写信给{}，谢谢。", "Bitte an {} schreiben.", "Reply-To: {}", "({})", "{}", "ask {} now", "Écrire à {} en cas de blocage.", "Escribir a {}.", "Пишите на {}.", "请发邮件到{}。", f"{self.word()} {self.word()} {{}} {self.word()}."],
             "phone": {"en": ["Call {} after lunch.", "Tel.: {}", "mobile {}", "the desk can be reached under {}, ask for it", "reached under {} ext. 62, ask"], "de": ["Rückruf unter {}.", "Tel. {}"], "fr": ["Appeler le {}.", "Tél. : {}"], "es": ["Llamar al {}.", "Tel.: {}"], "ru": ["Звоните {}.", "Тел.: {}"], "zh": ["电话：{}", "手机{}，下午可接。", "请致电{}。"]},
             "id": {"en": ["passport {} is in the same folder", "ID: {}", "Social security no. {} was on page two.", "The scan shows national insurance number {}."], "de": ["Steuer-ID: {}", "Ausweisnummer {} steht im Scan."], "fr": ["NIR : {}", "Numéro de sécurité sociale {} visible."], "es": ["NIF: {}", "El DNI {} aparece escaneado."], "ru": ["СНИЛС/паспорт: {}", "Паспорт {} виден на скане."], "zh": ["证件号码：{}", "身份证号{}出现在扫描件里。"]},
             "address": {"en": ["office moved to {} last week", "Home address {}, second bell.", "The parcel with the disk goes to {}", "{}"], "de": ["Anschrift: {}", "Die Platte geht an {}."], "fr": ["Adresse : {}", "Livrer le disque au {}."], "es": ["Dirección: {}", "Enviar el disco a {}."], "ru": ["Адрес: {}", "Диск отправить: {}."], "zh": ["办公室搬到了{}。", "收货地址：{}", "硬盘请寄到{}。"]},
