@@ -112,8 +112,10 @@ class Catalog:
         return self.write("doc_cache", keyed.delete_keys(self.read("doc_cache"), paths, ["path"]))
 
     def index_stats(self) -> DataFrame:
-        candidates = self.read("file_index").where(content_candidates()).agg(F.count("*").alias("total_candidates"))
-        return self.read("doc_cache").agg(F.count("*").alias("total_indexed")).crossJoin(candidates)
+        zero = F.lit(0).cast("bigint")
+        candidates = self.read("file_index").where(content_candidates()).agg(zero.alias("total_indexed"), F.count("*").alias("total_candidates"))
+        indexed = self.read("doc_cache").agg(F.count("*").alias("total_indexed"), zero.alias("total_candidates"))
+        return indexed.unionByName(candidates).agg(F.sum("total_indexed").alias("total_indexed"), F.sum("total_candidates").alias("total_candidates"))
 
     def search_content(self, query: str, now: int = 0, limit: int | None = CONTENT_LIMIT) -> DataFrame:
         """Content terms of a query, as one phrase, in the files its other clauses match."""

@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lodestack.functions.times import unix_seconds
+from lodestack.plans.query_parser import MACROS
 
 # XML entities in the order they are replaced.
 ENTITIES = (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"))
@@ -43,6 +44,14 @@ def type_label(ext: Column, is_directory: Column) -> Column:
     return F.when(is_directory, "DIR").when(ext == "", "-").otherwise(F.upper(ext))
 
 
+def icon(ext: Column, is_directory: Column) -> Column:
+    """The icon class of a file: the type macro its extension belongs to (the first one), folder or file."""
+    out = F.lit("file")
+    for macro in reversed(MACROS):
+        out = F.when(ext.isin(*MACROS[macro].split()), macro).otherwise(out)
+    return F.when(is_directory, "folder").otherwise(out)
+
+
 def short_name(name: Column, limit: int = 30) -> Column:
     """Names over `limit` characters cut to limit - 3 and three dots."""
     return F.when(F.length(name) > limit, F.concat(F.substring(name, 1, limit - 3), F.lit("..."))).otherwise(name)

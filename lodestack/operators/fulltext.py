@@ -5,6 +5,7 @@ or shuffled. `postings` builds the inverted index for callers who keep one."""
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 from operator import add
 
@@ -45,19 +46,21 @@ def bm25(docs: DataFrame, query: str, fields: dict[str, Column], key: str, limit
         for column in _counts(scalars.search_tokens(F.coalesce(value, F.lit(""))), i, terms)
     ])
     cells = [(i, j) for i in range(len(fields)) for j in range(len(terms))]
+    # one row of numbers, which become literals of the second scan
     stats = counted.agg(
         F.count("*").alias("n"), *[F.avg(f"length{i}").alias(f"mean{i}") for i in range(len(fields))],
         *[F.count(F.when(F.col(f"tf{i}_{j}") > 0, 1)).alias(f"df{i}_{j}") for i, j in cells],
-    )
+    ).first()
+    if not stats["n"]:
+        return docs.select(key, F.lit(0.0).alias("score")).where(F.lit(False))
     weights = []
     for i, j in cells:
-        tf, df = F.col(f"tf{i}_{j}"), F.col(f"df{i}_{j}")
-        idf = F.log(1 + (F.col("n") - df + 0.5) / (df + 0.5))
-        norm = tf + K1 * (1 - B + B * F.col(f"length{i}") / F.col(f"mean{i}"))
-        weights.append(F.when(tf > 0, idf * tf * (K1 + 1) / norm).otherwise(0.0))
+        tf, df = F.col(f"tf{i}_{j}"), stats[f"df{i}_{j}"]
+        idf = math.log(1 + (stats["n"] - df + 0.5) / (df + 0.5))
+        norm = tf + K1 * (1 - B + B * F.col(f"length{i}") / F.lit(stats[f"mean{i}"] or 1.0))
+        weights.append(F.when(tf > 0, F.lit(idf) * tf * (K1 + 1) / norm).otherwise(0.0))
     found = counted.where(reduce(lambda a, b: a | b, [F.col(f"tf{i}_{j}") > 0 for i, j in cells]))
-    # one row of statistics joins every document
-    scored = found.crossJoin(F.broadcast(stats)).select(key, reduce(add, weights).alias("score"))
+    scored = found.select(key, reduce(add, weights).alias("score"))
     return scored.orderBy(F.desc(F.round("score", 6)), key).limit(limit)
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lodestack.functions import scalars
 from lodestack.plans.compiler import compile_query
 from lodestack.plans.query_parser import ParsedQuery
+from lodestack.session import Scratch
 
 ITEM_COLUMNS = ("name", "full_path", "size", "mtime", "is_directory", "ext")
 #: Exclusion rules up to this many become one OR of literals; more are joined.
@@ -52,10 +53,13 @@ class Matches:
 
     def summary(self) -> DataFrame:
         """One row: matches, files in the index, bytes of all matching files (not only of a page)."""
+        zero = F.lit(0).cast("bigint")
         found = self.matched.agg(
-            F.count("*").alias("total_matches"), F.coalesce(F.sum(F.when(~F.col("is_directory"), F.col("size"))), F.lit(0)).alias("total_bytes")
+            F.count("*").alias("total_matches"), zero.alias("total_files"),
+            F.coalesce(F.sum(F.when(~F.col("is_directory"), F.col("size"))), zero).alias("total_bytes"),
         )
-        return found.crossJoin(self.files.agg(F.count("*").alias("total_files"))).select("total_matches", "total_files", "total_bytes")
+        everything = self.files.agg(zero.alias("total_matches"), F.count("*").alias("total_files"), zero.alias("total_bytes"))
+        return found.unionByName(everything).agg(*[F.sum(c).alias(c) for c in found.columns])
 
 
 def search(files: DataFrame, query: ParsedQuery, rules: DataFrame | None = None, bytewise: bool = False) -> Matches:
@@ -74,17 +78,44 @@ def complete_metadata(page: DataFrame, live: DataFrame) -> DataFrame:
     ])
 
 
+def numbered(rows: DataFrame, order: list, name: str = "number") -> DataFrame:
+    """rows with their place in the order, from 1, however many there are: sorted into ranges, numbered within each
+    range, and moved by the sizes of the ranges before (one number per range on the driver)."""
+    scratch = Scratch(rows.sparkSession, "numbered")
+    ranges = scratch.cut(rows.orderBy(*order).withColumn("_range", F.spark_partition_id()), "ranges")
+    before, total = {}, 0
+    for part, size in sorted(ranges.groupBy("_range").count().collect()):
+        before[part], total = total, total + size
+    offset = F.try_element_at(F.create_map(*[F.lit(x) for pair in before.items() for x in pair]), F.col("_range")) if before else F.lit(0)
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) + offset
+    return ranges.select(place.cast("bigint").alias(name), *rows.columns)
+
+
 def list_directory(children: DataFrame) -> DataFrame:
     """A listing, directories first, then by lower-case name: with labels, formatted size and time, and its number."""
-    order = Window.orderBy(F.col("is_directory").desc(), "name_lower", "seq")
-    return children.select(
-        F.row_number().over(order).cast("bigint").alias("number"), "name", F.col("is_directory").alias("is_dir"),
+    order = [F.col("is_directory").desc(), F.col("name_lower"), F.col("seq")]
+    return numbered(children, order).select(
+        "number", "name", F.col("is_directory").alias("is_dir"),
         scalars.type_label(F.col("ext"), F.col("is_directory")).alias("type_str"),
+        scalars.icon(F.col("ext"), F.col("is_directory")).alias("icon"),
         scalars.format_size(F.col("size"), F.col("is_directory")).alias("size_formatted"),
         scalars.format_time(F.col("mtime")).alias("mtime_formatted"),
     )
 
 
+def contains_filter(files: DataFrame, text: str) -> DataFrame:
+    """Files whose name or path contains the text in any case; all for empty text."""
+    word = text.lower()
+    return files.where(F.col("name_lower").contains(word) | F.col("full_path_lower").contains(word))
+
+
+def rebase(files: DataFrame, old: str, new: str) -> DataFrame:
+    """Files with the folder `old` (and all below it) moved to `new`: full_path and full_path_lower rewritten."""
+    inside = (F.col("full_path") == old) | F.col("full_path").startswith(old + "\\")
+    moved = F.when(inside, F.concat(F.lit(new), F.substring("full_path", F.lit(len(old) + 1), F.length("full_path")))).otherwise(F.col("full_path"))
+    return files.withColumn("full_path", moved).withColumn("full_path_lower", F.lower("full_path"))
+
+
 def listing_totals(children: DataFrame) -> DataFrame:
     return children.agg(
         F.count(F.when(F.col("is_directory"), 1)).alias("dirs"), F.count(F.when(~F.col("is_directory"), 1)).alias("files"),

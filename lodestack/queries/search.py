@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestack.functions.pinyin import pinyin
 from lodestack.operators.hierarchy import LOW_48, ROOT_PARENTS, resolve_hierarchy
-from lodestack.operators.search import Matches, exclude, list_directory, listing_totals, search
+from lodestack.operators.search import Matches, contains_filter, exclude, list_directory, listing_totals, rebase, search
 from lodestack.plans.query_parser import MACROS, parse
 from lodestack.sources.tables import table
 
@@ -75,6 +75,15 @@ def q14_ls_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listing_totals(_root_children(spark, sf_dir))
 
 
+def q07_contains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contains_filter(_files(spark, sf_dir), "Notes").select("seq", "full_path")
+
+
+def q36_rebase(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All paths after everything on F: moved into a folder: the prefix rewrite of a rename."""
+    return rebase(_files(spark, sf_dir), "F:", "F:\\moved").select("seq", "full_path", "full_path_lower")
+
+
 def q15_path_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "raw_node").select("volume", F.col("frn").alias("id"), F.col("parent_frn").alias("parent"), "seq", "name")
     resolved = resolve_hierarchy(rows, ["volume"], "seq", name="name").where("status <> 'loop'")
@@ -117,6 +126,8 @@ QUERIES = {
     "q01_search_summary": q01_search_summary,
     **{name: _query(text) for name, (text, _) in _SEARCHES.items()},
     "q05_volume_counts": q05_volume_counts,
+    "q07_contains": q07_contains,
+    "q36_rebase": q36_rebase,
     "q11_exclusions": q11_exclusions,
     "q12_pinyin": q12_pinyin,
     "q13_page_offset": q13_page_offset,
@@ -139,10 +150,16 @@ ORACLES = {
         SELECT volume, count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes FROM file_index
         WHERE NOT starts_with(full_path_lower, 'e:\minutes') AND NOT starts_with(full_path_lower, 'f:\')
           AND NOT regexp_matches(full_path_lower, '\.tmp$') GROUP BY volume""",
+    "q07_contains": "SELECT seq, full_path FROM file_index WHERE contains(name_lower, 'notes') OR contains(full_path_lower, 'notes')",
+    "q36_rebase": """
+        SELECT seq, CASE WHEN starts_with(full_path, 'F:' || chr(92)) OR full_path = 'F:' THEN 'F:' || chr(92) || 'moved' || substr(full_path, 3) ELSE full_path END AS full_path,
+               lower(CASE WHEN starts_with(full_path, 'F:' || chr(92)) OR full_path = 'F:' THEN 'F:' || chr(92) || 'moved' || substr(full_path, 3) ELSE full_path END) AS full_path_lower
+        FROM file_index""",
     "q13_page_offset": f"SELECT {_ITEM} FROM file_index WHERE {_ext(*MACROS['doc'].split())} ORDER BY seq LIMIT 25 OFFSET 40",
     "q14_ls": f"""
         SELECT row_number() OVER (ORDER BY is_directory DESC, name_lower, seq) AS number, name, is_directory AS is_dir,
                CASE WHEN is_directory THEN 'DIR' WHEN ext = '' THEN '-' ELSE upper(ext) END AS type_str,
+               CASE WHEN is_directory THEN 'folder' {' '.join(f"WHEN ext IN ({', '.join(map(repr, MACROS[m].split()))}) THEN '{m}'" for m in MACROS)} ELSE 'file' END AS icon,
                CASE WHEN is_directory THEN '<DIR>' WHEN size < 1024 THEN size || ' B'
                     WHEN size < 1024 ** 2 THEN printf('%.1f KB', size / 1024.0) WHEN size < 1024 ** 3 THEN printf('%.1f MB', size / 1048576.0)
                     WHEN size < 1024 ** 4 THEN printf('%.1f GB', size / 1073741824.0) ELSE printf('%.1f TB', size / 1099511627776.0) END AS size_formatted,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +13,8 @@ from lodestack import schemas
 from lodestack.operators.change_table import ChangeTable, journal_changes
 from lodestack.session import Scratch
 
+#: Fixed value: seconds between two snapshots.
+DEBOUNCE = 5.0
 #: Fixed value: a jump of more than this between two records of a volume is a gap.
 GAP = 1_000_000
 
@@ -33,13 +36,25 @@ class JournalMonitor:
     """Applies a journal to a change table batch by batch. A restarted batch is recognised by its number and a record that is
     delivered again changes nothing, so delivery at least once is enough."""
 
-    def __init__(self, spark: SparkSession, rescan: Callable[[DataFrame], None] | None = None):
+    def __init__(
+        self, spark: SparkSession, rescan: Callable[[DataFrame], None] | None = None,
+        sink: Callable[[DataFrame], None] | None = None, debounce: float = DEBOUNCE,
+    ):
+        """rescan: called with the volumes of a gap. sink: called with the current files, at most every `debounce` seconds
+        while changes arrive, and when the monitor stops."""
         self.table = ChangeTable(spark, Scratch(spark, "journal"))
         self.rescan = rescan
         self.next_usn: dict[str, int] = {}
         self.last_batch = -1
         self.states: dict[str, str] = {}
         self.query: StreamingQuery | None = None
+        self.sink, self.debounce, self.written, self.dirty = sink, debounce, 0.0, False
+
+    def flush(self) -> None:
+        """Hand the current files to the sink if anything changed since it last had them."""
+        if self.sink is not None and self.dirty:
+            self.sink(self.table.current())
+            self.written, self.dirty = time.monotonic(), False
 
     def apply(self, records: DataFrame, batch: int) -> None:
         if batch <= self.last_batch:
@@ -56,7 +71,9 @@ class JournalMonitor:
         for volume, _, high, length in ends:
             self.next_usn[volume] = max(self.next_usn.get(volume, 0), high + (length or 0))
             self.states[volume] = "active"
-        self.last_batch = batch
+        self.last_batch, self.dirty = batch, True
+        if time.monotonic() - self.written >= self.debounce:
+            self.flush()
 
     def start(self, stream: DataFrame, checkpoint: str, continuous: bool = False, every: str = "5 seconds") -> StreamingQuery:
         """Run over what is there and stop, or continuously with a batch `every` so often."""
@@ -71,3 +88,4 @@ class JournalMonitor:
     def stop(self) -> None:
         if self.query is not None:
             self.query.stop()
+        self.flush()

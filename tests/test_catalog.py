@@ -95,12 +95,18 @@ def test_gaps(spark):
 
 def test_rescan_on_gap(spark):
     lost = []
-    monitor = JournalMonitor(spark, rescan=lambda volumes: lost.extend(r[0] for r in volumes.collect()))
+    sizes = []
+    monitor = JournalMonitor(spark, lambda volumes: lost.extend(r[0] for r in volumes.collect()), lambda files: sizes.append(files.count()), debounce=1000)
+    monitor.written = __import__("time").monotonic()
     row = (1, None, "C", 80, 2, 0, 7, 5, 100, 0, 1, 0, 0, 0, 1, "a")
     first = spark.createDataFrame([row], schemas.USN_RECORD)
     monitor.apply(first, 0)
     monitor.apply(first, 0)  # delivered again
     monitor.apply(first.withColumn("usn", F.lit(3_000_000).cast("bigint")), 1)
+    assert sizes == []
+    monitor.stop()
+    monitor.stop()
+    assert sizes == [1]
     assert lost == ["C"] and monitor.next_usn == {"C": 3_000_080} and len(monitor.table.image_paths) == 2
 
 

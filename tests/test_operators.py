@@ -7,7 +7,7 @@ from lodestack.functions.times import unix_seconds
 from lodestack.operators import content, fulltext, keyed
 from lodestack.operators.change_table import ChangeTable, apply_feed, journal_changes
 from lodestack.operators.hierarchy import LOW_48, descendants, resolve_hierarchy
-from lodestack.operators.search import Matches, complete_metadata, exclude, search
+from lodestack.operators.search import Matches, complete_metadata, contains_filter, exclude, numbered, rebase, search
 from lodestack.operators.snapshots import snapshot_changes
 from lodestack.plans.query_parser import parse
 from lodestack.session import Scratch
@@ -182,6 +182,15 @@ def test_pages_and_exclusions(spark, files):
     assert {r["seq"]: r["size"] for r in complete_metadata(stale, live).collect()} == {1: 0, 2: 7, 3: 0, 4: 0}
 
 
+def test_numbers_and_moves(spark, files):
+    rows = spark.range(5000).withColumn("k", (F.col("id") * 7919) % 997).repartition(7)
+    got = [(r["number"], r["k"], r["id"]) for r in numbered(rows, [F.col("k"), F.col("id")]).orderBy("number").collect()]
+    assert [g[0] for g in got] == list(range(1, 5001)) and [g[1:] for g in got] == sorted(g[1:] for g in got)
+    assert numbered(rows.limit(0), [F.col("k")]).count() == 0
+    assert {r["full_path"] for r in rebase(files, "C:\\Projects\\proj", "D:\\x").collect()} >= {"D:\\x", "D:\\x\\凡响项目方案.docx", "C:\\Windows\\explorer.exe"}
+    assert [r["seq"] for r in contains_filter(files, "TENCENT").collect()] == [3] and contains_filter(files, "").count() == 4
+
+
 @pytest.fixture(scope="module")
 def docs(spark):
     rows = [
