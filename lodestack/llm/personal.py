@@ -62,8 +62,9 @@ CODE = re.compile(
     r"(?<![A-Za-z0-9_])(?:[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-Z]|[A-Z][A-Z0-9]{8}|\d{8}-?[A-Z]|[A-Z]-?\d{7,8}-?[A-Z]?|\d[\d -]{6,22}\d)(?![A-Za-z0-9])|(?<![A-Za-z0-9_])\d{17}[\dXx](?!\d)"
 )
 _WORD = rf"[{UPPER}](?:[{UPPER}{LOWER}’'-]*[{UPPER}{LOWER}])?"
+PARTICLES = frozenset("von van de der den du la le zu del di da".split())
 _PARTICLE = r"(?:von|van|de|der|den|du|la|le|zu|del|di|da|y)"
-NAME = re.compile(rf"(?<![\w@.\\/“-])(?:{_WORD})\.?(?:,?[ \u00a0](?:{_PARTICLE}[ \u00a0]){{0,2}}(?:{_WORD})\.?)+")
+NAME = re.compile(rf"(?<![\w@.\\/“-])(?:{_PARTICLE}[  ]){{0,2}}(?:{_WORD})\.?(?:,?[ \u00a0](?:{_PARTICLE}[ \u00a0]){{0,2}}(?:{_WORD})\.?)+")
 TOKEN = re.compile(r"\S+")
 _HAN_GIVEN = "(?![提反处已被的了在和])[一-鿿]"
 HAN_NAME = re.compile(
@@ -110,7 +111,9 @@ def candidates(text: str) -> list[Span]:
                 first, last = text[tokens[i][0]:tokens[i][1]], text[tokens[j][0]:tokens[j][1]]
                 if any(text[b - 1] == "." and b - a > 2 for a, b in tokens[i:j]):
                     break  # a sentence ends in between
-                if first.lower() in TITLES or not first[0].isupper() or not last[0].isupper():
+                if first.lower() in TITLES or last.lower() in TITLES:
+                    break
+                if not (first[0].isupper() or first in PARTICLES) or not last[0].isupper():
                     continue
                 end = tokens[j][1]
                 if last[-1:] == "," or (last[-1:] == "." and len(last) > 2):
@@ -222,7 +225,7 @@ class _Invented:
             name = name + "-" + self.word().capitalize()
         if self.r.random() < 0.1:
             name = name.upper()
-        if self.r.random() < 0.05:
+        if self.r.random() < 0.08:
             name = self.pick("von ", "de ", "van der ", "Mc") + name
         return name
 
