@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import io
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -37,7 +39,9 @@ def shared_dir(spark: SparkSession) -> str:
         raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     app = context.applicationId
     if app not in _LOCAL_DIRS:
-        _LOCAL_DIRS[app] = "file://" + tempfile.mkdtemp(prefix="lodestack-")
+        folder = tempfile.mkdtemp(prefix="lodestack-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        _LOCAL_DIRS[app] = "file://" + folder
     return _LOCAL_DIRS[app]
 
 

@@ -151,7 +151,7 @@ def test_snapshots(spark):
 def files(spark):
     rows = [
         (1, "explorer.exe", "C:\\Windows\\explorer.exe", 1, 0, False, 0, 5000000, 1700000000, "C"),
-        (2, "凡响项目方案.docx", "C:\\Projects\\proj\\凡响项目方案.docx", 2, 10, False, 0, 1048576, 1710000000, "C"),
+        (2, "分享项目方案.docx", "C:\\Projects\\proj\\分享项目方案.docx", 2, 10, False, 0, 1048576, 1710000000, "C"),
         (3, "微信.exe", "C:\\Program Files\\Tencent\\WeChat\\微信.exe", 3, 11, False, 0, 20480000, 1715000000, "C"),
         (4, "proj", "C:\\Projects\\proj", 10, 0, True, 16, 0, 1710000000, "C"),
     ]
@@ -177,7 +177,7 @@ def test_pages_and_exclusions(spark, files):
     assert {r["seq"] for r in exclude(files, rules).collect()} == {3, 4}
     many = spark.createDataFrame([(f"c:\\none{i}", False) for i in range(250)] + [("c:\\program", False)], "pattern string, is_regex boolean")
     assert {r["seq"] for r in exclude(files, many).collect()} == {1, 2, 4}
-    live = spark.createDataFrame([("C:\\Projects\\proj\\凡响项目方案.docx", 7, 8)], "full_path string, size bigint, mtime bigint")
+    live = spark.createDataFrame([("C:\\Projects\\proj\\分享项目方案.docx", 7, 8)], "full_path string, size bigint, mtime bigint")
     stale = files.withColumn("size", F.lit(0).cast("bigint")).select("seq", "name", "full_path", "size", "mtime", "is_directory", "ext")
     assert {r["seq"]: r["size"] for r in complete_metadata(stale, live).collect()} == {1: 0, 2: 7, 3: 0, 4: 0}
 
@@ -187,7 +187,7 @@ def test_numbers_and_moves(spark, files):
     got = [(r["number"], r["k"], r["id"]) for r in numbered(rows, [F.col("k"), F.col("id")]).orderBy("number").collect()]
     assert [g[0] for g in got] == list(range(1, 5001)) and [g[1:] for g in got] == sorted(g[1:] for g in got)
     assert numbered(rows.limit(0), [F.col("k")]).count() == 0
-    assert {r["full_path"] for r in rebase(files, "C:\\Projects\\proj", "D:\\x").collect()} >= {"D:\\x", "D:\\x\\凡响项目方案.docx", "C:\\Windows\\explorer.exe"}
+    assert {r["full_path"] for r in rebase(files, "C:\\Projects\\proj", "D:\\x").collect()} >= {"D:\\x", "D:\\x\\分享项目方案.docx", "C:\\Windows\\explorer.exe"}
     assert [r["seq"] for r in contains_filter(files, "TENCENT").collect()] == [3] and contains_filter(files, "").count() == 4
 
 
