@@ -4,7 +4,9 @@ A swap of code pages is a substitution cipher: bytes written in one code page we
 a source suffered is unknown, so they are the hidden states of a mixture, learned by expectation-maximization
 against the bigrams of the languages in the corpus itself:
 
-* the language model is the count of all character bigrams of all texts, in tables of fixed size;
+* the language model is the count of all character bigrams of all texts, in tables of fixed size. Units that look
+  less strange in a strict reading weigh next to nothing as they stand, however often they occur: a garbled text in
+  many copies must not become the language;
 * E step: every unit of text (letters around non-ASCII characters) gets the posterior of being clean, or of being the
   image of a clean text under each cipher, from the bigram probability of its original and of what it deciphers to;
 * M step: the share of each cipher in each source, the byte-to-letter mapping of each cipher (expected counts of each
@@ -44,11 +46,11 @@ GARBLED = 0.02
 #: Weight of the classes' estimate of a bigram against its own count, as a share of all characters: characters much
 #: rarer than that tell nothing about their successors.
 SMOOTH = 2e-5
-#: Successors with less than this share of a character count as unseen (a tenth of it at the start of a unit): garbled
-#: text is rare, but it is in the counts.
+#: Successors with less than this share of a character count as unseen (a tenth of it at the start of a unit): what
+#: garbled text is left in the counts.
 DISCOUNT = 0.005
-#: Units predicted better than this, in log probability per character, are clean as they stand.
-PLAIN = -2.0
+#: Weight of a suspect unit in the counts as it stands.
+SUSPECT = 0.001
 CLASSES = 16
 #: Control characters that no text contains, but the upper half of code pages does (U+0085 is a line end).
 CONTROL = re.compile("[\x80-\x84\x86-\x9f]")
@@ -209,8 +211,7 @@ class Decipherer:
         if fresh:
             plain = self.model.score([u.replace("\0", LOST) for u in fresh])
             owner, which, texts = [], [], []
-            for i in np.flatnonzero(plain < PLAIN * (np.array([len(u) for u in fresh]) + 1)):
-                unit = fresh[i]
+            for i, unit in enumerate(fresh):
                 for k, text in readings(unit):
                     if text != unit and text.count(LOST) * 4 <= len(text):
                         owner.append(i)
@@ -245,9 +246,9 @@ def _bytes_of(unit: str, shown: str) -> bytes | None:
         return None
 
 
-def _text_of(raw: bytes, written: str) -> str:
+def _text_of(raw: bytes, written: str, errors: str = "replace") -> str:
     if written in MULTI:
-        return raw.decode(written, "replace")
+        return raw.decode(written, errors)
     try:
         return raw.decode(written)
     except UnicodeDecodeError:  # bytes without a character
@@ -255,9 +256,9 @@ def _text_of(raw: bytes, written: str) -> str:
         return "".join(page.get(byte, chr(byte)) for byte in raw)
 
 
-def readings(unit: str) -> Iterator[tuple[int, str]]:
+def readings(unit: str, errors: str = "replace") -> Iterator[tuple[int, str]]:
     """What the unit deciphers to under each cipher that can have shown its characters. A lone letter is no evidence
-    for any cipher that gives a letter for a letter."""
+    for any cipher that gives a letter for a letter. errors: 'strict' leaves out what can't be decoded whole."""
     special = {c for c in unit if c > "\x7f"}
     highest = max(special)
     if highest >= "⺀" and highest != LOST:
@@ -274,15 +275,69 @@ def readings(unit: str) -> Iterator[tuple[int, str]]:
                 continue
             if shown == "utf-8" and cipher.written != "gbk":
                 continue
-            text = _text_of(raw, cipher.written)
-            if cipher.times == 2:
-                again = _bytes_of(text, shown)
-                if again is None:
-                    continue
-                text = _text_of(again, cipher.written)
+            try:
+                text = _text_of(raw, cipher.written, errors)
+                if cipher.times == 2:
+                    again = _bytes_of(text, shown)
+                    if again is None:
+                        continue
+                    text = _text_of(again, cipher.written, errors)
+            except UnicodeDecodeError:
+                continue
             yield k, text
 
 
+class _Kinds(dict):
+    """Characters to letters for their kind: a A ASCII, l L Latin, c C Cyrillic, r rare Cyrillic, h H common and rare
+    Chinese, o other letters, x never in text, p punctuation, s symbols."""
+
+    def __missing__(self, code: int) -> str:
+        char, kind = chr(code), unicodedata.category(chr(code))
+        if code < 0x80:
+            out = "A" if kind == "Lu" else "a" if kind == "Ll" else "p"
+        elif CONTROL.match(char) or char == LOST or kind in ("Co", "Cn", "Cs", "Mn"):
+            out = "x"
+        elif 0x410 <= code < 0x450 or code in (0x401, 0x451):
+            out = "C" if kind == "Lu" else "c"
+        elif 0x400 <= code < 0x530:
+            out = "r"
+        elif 0x4E00 <= code < 0xA000:
+            try:
+                out = "h" if char.encode("gb2312")[0] <= 0xD7 else "H"
+            except UnicodeEncodeError:
+                out = "H"
+        elif kind[0] == "L":
+            out = "o" if code >= 0x250 or kind == "Lo" else "L" if kind == "Lu" else "l"
+        else:
+            out = "p" if kind[0] in "PZ" else "s"
+        self[code] = out
+        return out
+
+
+_KINDS = _Kinds()
+#: What words of no language look like, and how much each place counts.
+_STRANGE = [
+    (re.compile("x"), 4), (re.compile("[rHo]|(?<=[aAlLcC])s|s(?=[aAlLcC])|(?<=[lL][lL])[lL]"), 2),
+    (re.compile("[ac](?=[LC])|[lc](?=[ALC])|[aAlL](?=[cC])|[cC](?=[aAlL])|[lL](?=[hH])|[hH](?=[lL])|(?<=[a])[hH](?=a)"), 2),
+    (re.compile("(?<![cC])CC+(?!c)"), 1),
+]
+
+
+def strangeness(text: str) -> int:
+    kinds = text.translate(_KINDS)
+    return sum(weight * len(pattern.findall(kinds)) for pattern, weight in _STRANGE)
+
+
+def suspect(unit: str) -> bool:
+    """Whether the unit looks less strange in one of its strict readings, or no stranger as UTF-8, which other text
+    hardly ever is."""
+    own = strangeness(unit)
+    for k, text in readings(unit, "strict"):
+        if text != unit and strangeness(text) < own + (CIPHERS[k].written == "utf-8"):
+            return True
+    return False
+
+
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The batches in pieces of about PIECE bytes of text: what a worker holds doesn't depend on the texts' lengths."""
     for batch in batches:
@@ -306,6 +361,7 @@ def _learn(model: Bigrams | None, shares: dict):
         counts, reader = Bigrams(), Decipherer(model, shares) if model is not None else None
         mass: dict[tuple[str, str], float] = {}
         letters: dict[tuple[str, str], float] = {}
+        suspects: dict[str, bool] = {}
         for batch in _pieces(batches):
             sources, units = _batch_units(batch)
             for source in dict.fromkeys(sources):
@@ -329,6 +385,15 @@ def _learn(model: Bigrams | None, shares: dict):
                                     if a != b:
                                         letters[key[1], a + b] = letters.get((key[1], a + b), 0.0) + sure * n
                     mass[source, ""] = mass.get((source, ""), 0.0) + float(weights.sum())
+                if len(suspects) > MOST_REMEMBERED:
+                    suspects.clear()
+                for i, u in enumerate(names):
+                    if reader is None or read[u][0] < 0:
+                        if u not in suspects:
+                            suspects[u] = suspect(u)
+                        if suspects[u]:
+                            weights[i] *= SUSPECT
+                if reader is not None:
                     names = [read[u][2] if read[u][0] >= 0 else u for u in names]
                 counts.add([u.replace("\0", LOST) for u in names], weights)
         rows = [("pair", "", int(i), "", float(counts.pairs[i])) for i in np.flatnonzero(counts.pairs)]
@@ -350,8 +415,8 @@ class Learned:
 
 
 def learn(texts: DataFrame, rounds: int = 3) -> Learned:
-    """EM over texts (source, text). The first scan counts bigrams as they stand; each further round is one E and
-    M step. What is collected is bounded by the sizes of the tables."""
+    """EM over texts (source, text). The first scan counts bigrams as they stand, suspects at a low weight; each
+    further round is one E and M step. What is collected is bounded by the sizes of the tables."""
     model, shares, letters = None, {}, {}
     for _ in range(rounds):
         found = texts.mapInArrow(

@@ -207,6 +207,18 @@ def test_mojibake(spark):
     assert mojibake.garbled(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(("written", "shown"), [("utf-8", "cp1252"), ("cp1251", "cp1252"), ("koi8_r", "cp1251")])
+def test_mojibake_frequent(spark, written, shown):
+    r = random.Random(8)
+    clean = [(f"c{i}", " ".join(r.choice(SENTENCES).split(" ")[r.randint(0, 2):])) for i in range(1200)]
+    text = SENTENCES[0 if written == "utf-8" else 3]
+    broken = text.encode(written).decode(shown)
+    rows = [("t", k, "s", t) for k, t in clean] + [("t", f"g{i}", "s", broken) for i in range(600)]
+    found = {x["rec_key"]: x["restored"] for x in mojibake.garbled(spark.createDataFrame(rows, "tab string, rec_key string, source string, text string")).collect()}
+    assert sum(k.startswith("g") for k in found) == 600 and set(v for k, v in found.items() if k.startswith("g")) == {text}
+    assert sum(k.startswith("c") for k in found) <= 0.005 * len(clean)
+
+
 def test_boosting_learns():
     r = np.random.default_rng(6)
     x = r.normal(size=(3000, 6))
