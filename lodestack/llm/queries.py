@@ -51,17 +51,17 @@ def p4_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _garbled(spark, sf_dir)
 
 
-def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+def _leaks(spark: SparkSession, sf_dir: str, similar: bool) -> DataFrame:
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), similar=similar)
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _leaks(spark, sf_dir).where("exact").select("doc_id", "item_id")
+    return _leaks(spark, sf_dir, similar=False).where("exact").select("doc_id", "item_id")
 
 
 def p6_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leaks with small changes: windows with a weighted shingle similarity of at least 0.8."""
-    return _leaks(spark, sf_dir).select("doc_id", "item_id", F.round("similarity", 6).alias("similarity"), "exact")
+    return _leaks(spark, sf_dir, similar=True).select("doc_id", "item_id", F.round("similarity", 6).alias("similarity"), "exact")
 
 
 def _mix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

@@ -126,6 +126,39 @@ def test_leaks(spark, per_pass):
     assert len(got) == len(set(got)) and set(got) == want and len(want) > 5
 
 
+def test_leaks_similar(spark):
+    r = random.Random(9)
+    words_of = lambda n: [f"m{min(int(r.expovariate(0.05)), 60)}" for _ in range(n)]
+    items = [(i, " ".join(["often", *words_of(r.choice([11, 11, 12])), "always"][:r.choice([12, 13])])) for i in range(40)]
+    docs = []
+    for i in range(80):  # a light word at the edge is another
+        w = split(items[i % 40][1])
+        w[0] = "always"
+        docs.append((i, sentence(r, 3) + " " + " ".join(w if i % 2 else w[:12]) + " " + sentence(r, 3)))
+    found = leaks.leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string"))
+    got = {(x["doc_id"], x["item_id"]) for x in found.collect()}
+    holders = {}
+    for i, t in items:
+        for word in set(split(t)):
+            holders.setdefault(word, set()).add(i)
+    weight = {w: min(8, max(1, round(-np.log2(len(x) / len(items))) + 1)) for w, x in holders.items()}
+
+    def similarity(a, b):
+        heavy = lambda x: sum(sum(weight.get(w, 8) for w in s) for s in x)
+        a, b = ({tuple(x[k:k + 5]) for k in range(len(x) - 4)} for x in (a, b))
+        return heavy(a & b) / heavy(a | b) if a & b else 0.0
+
+    want = set()
+    for d, t in docs:
+        x = split(t)
+        for i, s in items:
+            y = split(s)
+            pairs = [(x[k:k + n], y[m:m + n]) for n in {12, len(y)} for k in range(len(x) - n + 1) for m in range(len(y) - n + 1)]
+            if any(similarity(*p) >= 0.8 for p in pairs):
+                want.add((d, i))
+    assert got == want and len(want) > 10
+
+
 def test_leaks_within_radius():
     r = np.random.default_rng(2)
     index = leaks.ItemIndex(list(range(20)), [list(r.integers(-2**62, 2**62, 14)) for _ in range(20)], 12, 3)
