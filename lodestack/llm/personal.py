@@ -7,14 +7,14 @@
    replaced by a placeholder of their kind.
 
 No labelled rows come with the data, so the models are trained on rows labelled by construction: `training_rows`
-invented lines with known spans and with look-alikes, in the languages of the corpus. The corpus itself is only
-scanned, text by text.
+invented lines (invented.py) with known spans and look-alikes. The corpus itself is only scanned: many texts are
+joined, generators run over the joined text, and all features of all spans are computed as arrays.
 """
 
 from __future__ import annotations
 
-import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,316 +23,426 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestack.llm import lexicon
 from lodestack.llm.boosting import Boosted
+from lodestack.llm.invented import Invented
+from lodestack.llm.scan import BIT, CASELESS, CLASS, DIGIT, GIVEN_HAN, HAN, HAN_BIT, HAN_PHRASES, LINE, LOWER, SPACE, SURNAME, UPPER, WORDS, Scan
 from lodestack.session import ship_package
 
 KINDS = ("email", "phone", "id", "address", "name")
-
-# Words that stand before or after personal information, and before look-alikes.
-PHONE_CUES = "tel tél phone mobile call fax reached ext rückruf telefon anruf appeler téléphone llamar teléfono móvil звоните тел телефон 电话 手机 致电 热线 联系电话".split()
-ID_CUES = "id ssn passport security insurance identity ausweis ausweisnummer steuer-id steuernummer personalausweis nir sécurité passeport dni nif nie pasaporte снилс паспорт инн 身份证 证件 护照 证件号码 身份证号".split()
-ADDRESS_CUES = "address moved goes parcel lives anschrift adresse platte geht livrer adresse dirección enviar disco адрес отправить диск 地址 寄到 搬到 收货地址 住在 at to au a an".split()
-NAME_CUES = "asked according by owner thanks regards present contact from mr. mrs. ms. dr. prof. mme m. frau herr anwesend gemeldet von grüße signalé par présents cordialement avisó saludos asistentes sra. sr. сообщает уважением присутствуют 联系人 由 出席 已通知 negotiator reported".split()
-NAME_AFTER = "signed found about the copy is sucht cherche perdió 反馈 提交 处理 ; ；".split()
-DECOY_CUES = "frn offset copied build position server invoice part checksum step room edition chapter version seen clone install icon ask journal size schritt étape paso шаг 第 ticket shelf search beats see".split()
-TITLES = ("mr.", "mrs.", "ms.", "dr.", "prof.", "mme", "frau", "herr", "sr.", "sra.", "don", "doña")
-#: Common given names.
-GIVEN = set(
-    "anna laura helen peter martin oscar clara ruth mary-lou victor nadia simon edwin mary john james robert michael william david "
-    "richard thomas charles daniel matthew paul mark george steven andrew edward brian kevin susan linda karen nancy lisa betty sandra "
-    "emily emma olivia sophia alice julia kate jane sarah katrin jürgen sabine heike uwe björn anneliese hans karl klaus wolfgang "
-    "stefan andreas monika ursula petra renate ingrid jens lars hélène chloé rémi margaux jean-luc benoît pierre jean marie camille "
-    "françois luc claire sophie nicolas antoine élodie julien begoña lucía íñigo pilar andrés josé maría carlos juan luis carmen "
-    "ana javier miguel elena pablo rosa ольга тамара фёдор ирина глеб иван анна мария сергей алексей дмитрий елена наталья николай "
-    "татьяна пётр павел юрий".split()
+#: Characters of text handled at once in a Python worker, besides the last text of a piece.
+PIECE = 1 << 20
+#: A name has at most so many words, not counting initials and particles.
+NAME_WORDS = 4
+
+#: F1 given up for recall when a kind's threshold is calibrated, if not 0.005.
+SLACK = {"name": 0.001}
+
+_L = "A-Za-zÀ-ÖØ-öø-ɏͰ-ϿЀ-ӿḀ-ỿ"
+_U = "A-ZÀ-ÖØ-ÞĀĂĄĆČĎĐĒĘĚĞĢĪİĶŁŃŇŐŒŘŚŞŠŢŤŪŮŰŹŻŽΑ-ΩА-ЯЁІЇЄ"
+_DOT = r"(?:\.| ?[\[({] ?(?:dot|DOT|Dot|punto|point|\.) ?[\])}] ?| (?:dot|DOT|Dot|punto) )"
+_AT = re.compile(r"@|[\[({<] ?(?:at|AT|At|arroba|@) ?[\])}>]| (?:at|AT|At|arroba) (?=[A-Za-z0-9])")
+_DOMAIN = re.compile(rf" ?[A-Za-z0-9À-ɏ-]+(?:{_DOT}[A-Za-z0-9-]+)*")
+_LABELS = re.compile(_DOT)
+_GLUED = re.compile(r"(?<=[. ])[a-z]{2,}(?=(?:[A-Z][A-Za-z]*|\d[\w.]*)\Z)")
+_SPELT = re.compile(rf"[A-Za-z0-9%+_-]+(?:{_DOT}[A-Za-z0-9%+_-]+)* ?\Z")
+_NUMBER = re.compile(r"(?:\(?\+ ?)?\(?\d+(?:(?:[ \xa0]?[-–‐‑./][ \xa0]?|\)[ \xa0]?[-/]?[ \xa0]?|[ \xa0])\(?\d+)*")
+_CODE = re.compile(r"(?:[A-Z]{1,4}[ -]?)?\d[0-9A-Z]*(?:[ -](?:\d[0-9A-Z]*|[A-Z]{1,2}(?![A-Za-z])))*[Xx]?(?![A-Za-z0-9])")
+_PARTICLE = "(?:von|van|de|der|den|du|la|le|zu|zum|zur|del|della|dos|da|di|y|ten|ter|bin|al|el|ibn|af|av)"
+_WORD = rf"[{_U}][{_L}’'-]*\.?"
+_RUN = re.compile(rf"{_WORD}(?:,?[ \xa0](?:{_PARTICLE}[ \xa0])*{_WORD})+")
+_CAPITAL = re.compile(rf"[{_U}][{_L}’'-]*\.?")
+_TITLE_CASE = re.compile(r"[A-Z][a-z]")
+
+_UPPER_WORD = rf"[{_U}][{_L}’'-]*\.?"
+_UNIT_EN = r"(?:,? (?:Apt|Flat|Unit|Suite|Apartment|Ste|#)\.? ?\w+)?"
+_TOWN = rf"(?:(?:,|,?\n|,? in| -|,? à) ?(?:\d{{4,5}} )?[{_U}][{_L}’'-]+(?:[ -][{_U}][{_L}’'-]+)*)?"
+_POST = r"(?:,? (?:[A-Z]{1,2}\d{1,2}[A-Z]? \d[A-Z]{2}|[A-Z]{2} \d{5}|\d{5}))?"
+_AFTER_EN = "|".join(w.capitalize() for w in sorted(lexicon.STREET_AFTER.split(), key=len, reverse=True))
+_HOUSE_FIRST = re.compile(
+    rf"\d+[A-Za-z]?(?:[-–/]\d+)?(?: (?:bis|ter|quater))?,? (?:(?:(?:St|Mt|N|S|E|W|NE|NW|SE|SW)\.? )?(?:(?:[{_U}][{_L}’'-]*|\d+(?:st|nd|rd|th))\.? )+?(?:{_AFTER_EN})(?![{_L}])\.?{_UNIT_EN}{_TOWN}{_POST}"
+    rf"|(?:{'|'.join(lexicon.STREET_BEFORE_FR.split())}) (?:[{_L}’'.-]+ )*?[{_U}][{_L}’'-]*(?: [{_U}][{_L}’'-]*)*{_TOWN})"
 )
-#: Chinese surnames of two characters.
-COMPOUND = "司空 宗政 闻人 拓跋 濮阳 澹台 赫连 公冶 欧阳 上官 司马 诸葛 夏侯 东方 皇甫 尉迟 公羊 轩辕 令狐 钟离 宇文 长孙 慕容 司徒 南宫 西门 端木 独孤 呼延 申屠".split()
-STREET_EN = "Road Rd Lane Ln Street St Close Avenue Ave Drive Dr Court Ct Way Terrace Place Hill Row Square Crescent Gardens Boulevard Blvd".split()
-FILE_TYPES = "png jpg jpeg gif svg txt md py rs js html css json csv pdf docx xlsx pptx log zip exe gguf onnx".split()
-LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
-UPPER = "A-ZÀ-ÖØ-ÞА-ЯЁ"
-LOWER = "a-zß-öø-ÿа-яё"
-
-_AT = r"(?:\s?[@＠]\s?|\s?[\[(（]\s?at\s?[\])）]\s?|\s(?:at|AT)\s)"
-_DOT = r"(?:\.|\s?[\[(（]\s?dot\s?[\])）]\s?|\s(?:dot|DOT)\s)"
-EMAIL = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9](?:[A-Za-z0-9._%+-]*[A-Za-z0-9_])?{_AT}[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)*")
-NUMBER = re.compile(r"(?<![A-Za-z0-9_.\\/+-])(?:\+\s?)?[(（]?\d(?:[\d ()（）./‐-–-]{0,28}\d)?[A-Z]?")
-CODE = re.compile(
-    r"(?<![A-Za-z0-9_])(?:[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-Z]|[A-Z][A-Z0-9]{8}|\d{8}-?[A-Z]|[A-Z]-?\d{7,8}-?[A-Z]?|\d[\d -]{6,22}\d)(?![A-Za-z0-9])|(?<![A-Za-z0-9_])\d{17}[\dXx](?!\d)"
+_STREET_FIRST = re.compile(
+    rf"(?=[CAPRVупнбш])(?:{lexicon.STREET_BEFORE})(?:(?<=[./])|(?![{_L}]))(?: ?(?:de|del|la|las|los|el|da|do|dos|dei|della|di|von|{_UPPER_WORD}|\d+(?:-я|-й)?))+,? (?:nº |n\.º |núm\. |num\. |№ ?|д\. ?|дом )?\d+[{_L}]?(?![\w])(?:, ?\d+\.?º ?\w?)?(?:, (?:кв|корп|к|стр)\. ?\d+)*(?:, г\. ?[{_U}][{_L}-]+)?{_TOWN}"
 )
-_WORD = rf"[{UPPER}](?:[{UPPER}{LOWER}’'-]*[{UPPER}{LOWER}])?"
-PARTICLES = frozenset("von van de der den du la le zu del di da".split())
-_PARTICLE = r"(?:von|van|de|der|den|du|la|le|zu|del|di|da|y)"
-NAME = re.compile(rf"(?<![\w@.\\/“-])(?:{_PARTICLE}[  ]){{0,2}}(?:{_WORD})\.?(?:,?[ \u00a0](?:{_PARTICLE}[ \u00a0]){{0,2}}(?:{_WORD})\.?)+")
-TOKEN = re.compile(r"\S+")
-_HAN_GIVEN = "(?![提反处已被的了在和])[一-鿿]"
-HAN_NAME = re.compile(
-    "(?=((?:" + "|".join(COMPOUND) + f")(?:{_HAN_GIVEN}){{1,2}}))|"
-    f"(?=(?:(?<=联系人：)|(?<=已通知)|(?<=出席：))((?:{_HAN_GIVEN}){{2,4}}))|(?=(?<=由)((?:{_HAN_GIVEN}){{2,4}})提交)"
+_NAMED_FIRST = re.compile(
+    rf"[{_U}][{_L}-]+ (?:{lexicon.STREET_AFTER_RU.replace('.', chr(92) + '.')}),? (?:д\. ?|дом )?\d+[{_L}]?(?![\w])(?:, (?:кв|корп|к|стр)\. ?\d+)*(?:, г\. ?[{_U}][{_L}-]+)?{_TOWN}"
 )
-STREETS = [
-    re.compile(rf"(?<![\w/.-])\d{{1,4}}[A-Z]?,? (?:St\. )?(?:[{UPPER}][{LOWER}’']+\.? ){{1,3}}(?:{'|'.join(STREET_EN)})\b\.?(?:, (?:Apt|Flat|Unit) \d+)?(?:,\s[{UPPER}][{LOWER}’-]+(?: [{UPPER}][{LOWER}’-]+)?)?(?:,? (?:[A-Z]{{2}}\d \d[A-Z]{{2}}|\d{{5}}))?"),
-    re.compile(rf"(?<![\w/.-])\d{{1,4}}(?: bis| ter)?,? (?:rue|avenue|boulevard|bd|impasse|place|chemin|quai|allée|cours|route|square) (?:(?:de|des|du|la|le|l’|d’|les) ?)*[{UPPER}][\w’'-]*(?: [{UPPER}][\w’'-]*)*(?:(?:,| -) (?:\d{{5}} )?[{UPPER}][\w’'-]+)?"),
-    re.compile(rf"(?<![\w/.-])(?:(?:Am|An|Im|In|Auf|Zum|Zur|Unter|Hinter|Alter|Alte|Obere|Oberer|Untere|Unterer|Neue|Große|Kleine|Lange)(?: der| dem| den)? )?(?:[{UPPER}][{LOWER}]+ )?[{UPPER}][{LOWER}ß-]+\.? \d{{1,4}} ?[a-h]?\b(?=,? (?:\d{{5}}|in )|\s+\d{{5}}|[.,\n]|$)(?:(?:,|\s| in)+(?:\d{{5}} )?[{UPPER}][{LOWER}]+)?"),
-    re.compile(rf"(?<![\w.-])(?:Calle|C/|C\.|Avda\.?|Avenida|Plaza|Pza\.?|Paseo|Camino|Ronda|Carrera|Travesía) (?:(?:de|del|la|las|los|el) ?)*[{UPPER}][\w’'-]*(?: (?:de |del |la )*[{UPPER}][\w’'-]*)*,? (?:nº |n\.º |núm\. )?\d{{1,4}}(?:, \d+\.º \w)?(?:, (?:\d{{5}} )?[{UPPER}]\w+)?"),
-    re.compile(rf"(?<![\w-])(?:г\. [{UPPER}][{LOWER}-]+, )?(?:ул\.|улица|пр\.|проспект|пер\.|переулок|наб\.|ш\.) [{UPPER}][\w -]*?,? (?:д\. ?)?\d{{1,4}}\w?(?:, кв\. \d+)?(?:, г\. [{UPPER}][{LOWER}-]+)?"),
-    re.compile(rf"(?<![\w-])[{UPPER}][{LOWER}-]+(?:ая|ой|ый|ий)? (?:ул\.|улица|пр\.|проспект|пер\.|переулок|наб\.),? (?:д\. ?)?\d{{1,4}}\w?(?:, (?:кв\. \d+, )?[{UPPER}][{LOWER}-]+)?"),
-]
-HAN_STREET = re.compile(r"(?=([一-鿿]{1,4}?[市县](?:[一-鿿]{1,6}?[区县镇])?[一-鿿]{1,8}?(?:路|街|大道|巷|弄|道)\d+号(?:\d+[一-鿿]+)*))|(?<![一-鿿])([一-鿿]{1,6}?(?:路|街|大道|巷)\d+号)")
-_SPLIT = re.compile(r"\d+")
-_WORDS = re.compile(r"[^\W\d_][\w.’'-]*|[;；]")
+_PREPOSITION = re.compile(rf"[AIZUHVB](?:m|n|uf|ur|um|nter|inter|or|ei|eim) (?:d(?:er|em|en) )?(?:[{_U}][{_L}ß-]+ ){{1,3}}\d+ ?[a-h]?\b(?=,|\n\d| in|\.|$|\n)(?:(?:,|\n|,? in) ?(?:\d{{5}} )?[{_U}][{_L}-]+)?")
+_AFTER_HOUSE = re.compile(rf" ?[a-h]?\b(?:(?:,|,?\n|,? in) ?(?:\d{{5}} )?[{_U}][{_L}-]+(?: [{_U}][{_L}-]+)?)?")
+_TOWN_BEFORE = re.compile(rf"(?:г\. ?|город |[{_U}][{_L}-]+, )(?:[{_U}][{_L}-]+, )?\Z")
+_HAN_HOUSE = re.compile("(?:路|街|道|巷|弄|里|胡同)\\d+[号弄](?:[0-9A-Z]+[栋楼室号单元层座幢]+)*")
+_TOWN_ENDS = frozenset(lexicon.HAN_TOWN_ENDS)
 
 
-@dataclass
-class Span:
-    kind: str
-    start: int
-    end: int
-
-
-def candidates(text: str) -> list[Span]:
-    """All spans the generators propose, overlapping ones included."""
-    out = [Span("email", m.start(), m.end()) for m in EMAIL.finditer(text)]
-    for m in NUMBER.finditer(text):
-        if sum(c.isdigit() for c in m[0]) >= 6:
-            out.append(Span("phone", m.start(), m.start() + len(m[0].rstrip(" ABCDEFGHIJKLMNOPQRSTUVWXYZ"))))
-    out += [Span("id", m.start(), m.end()) for m in CODE.finditer(text)]
-    for pattern in STREETS:
-        out += [Span("address", m.start(), m.end()) for m in pattern.finditer(text)]
-    for m in HAN_STREET.finditer(text):
-        k = 1 if m[1] else 2
-        whole = m[k]
-        out.append(Span("address", m.start(k), m.start(k) + len(whole)))
-    for m in NAME.finditer(text):
-        tokens = [(m.start() + t.start(), m.start() + t.end()) for t in TOKEN.finditer(m[0])]
-        for i in range(len(tokens) - 1):
-            for j in range(i + 1, min(i + 4, len(tokens))):
-                first, last = text[tokens[i][0]:tokens[i][1]], text[tokens[j][0]:tokens[j][1]]
-                if any(text[b - 1] == "." and b - a > 2 for a, b in tokens[i:j]):
+class _Found:
+    """Spans of one kind with the features that only their generator knows."""
+
+    def __init__(self, extras: int):
+        self.start: list[int] = []
+        self.end: list[int] = []
+        self.more: list[tuple] = []
+        self.extras = extras
+
+    def add(self, start: int, end: int, *more: float) -> None:
+        self.start.append(start)
+        self.end.append(end)
+        self.more.append(more)
+
+    def arrays(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return np.array(self.start, np.int64), np.array(self.end, np.int64), np.array(self.more, float).reshape(-1, self.extras)
+
+
+def _emails(scan: Scan) -> tuple:
+    text, found = scan.text, _Found(7)
+    for m in _AT.finditer(text):
+        sign = m[0]
+        if sign[0] == " " and " dot " not in text[m.end():m.end() + 80].lower() and "." not in text[m.end():m.end() + 80]:
+            continue
+        host = _DOMAIN.match(text, m.end())
+        if host is None:
+            continue
+        stop = m.start()
+        if sign[0] != " " and text[stop - 1:stop] == " ":
+            stop -= 1
+        begin = stop
+        while begin > 0 and (text[begin - 1] in "._%+-'" or (text[begin - 1].isalnum() and text[begin - 1] < "ɐ")):
+            begin -= 1
+        while True:  # words for dots in the local part
+            for word in (" dot ", " DOT ", "[dot]", "(dot)", " [dot] ", " (dot) "):
+                if text.endswith(word, 0, begin):
+                    before = _SPELT.search(text, max(0, text.rfind("\n", 0, begin) + 1), begin - len(word))
+                    if before is not None and before.end() == begin - len(word):
+                        begin = before.start()
+                        break
+            else:
+                break
+        while begin < stop and text[begin] in "._%+-'":
+            begin += 1
+        if begin >= stop or not text[stop - 1].isalnum() and text[stop - 1] != "_":
+            continue
+        end = host.end()
+        while text[end - 1] == "-":
+            end -= 1
+        glued = _GLUED.search(text, m.end(), end)  # what follows may stand right behind the last label
+        for stop in {end, glued.end()} if glued else {end}:
+            labels = [x.strip() for x in _LABELS.split(text[m.end():stop])]
+            last = labels[-1]
+            found.add(begin, stop, len(labels), len(last), last.isalpha(), last.lower() in _FILE_TYPES, 1 if sign == "@" else 2 if sign[0] != " " else 3, labels[0][:1].isdigit(), min(len(x) for x in labels))
+    return found.arrays()
+
+
+_FILE_TYPES = frozenset(lexicon.FILE_TYPE.split())
+
+
+def _numbers(scan: Scan) -> tuple[tuple, tuple]:
+    """Spans of digits as phone numbers, and those and codes with letters as identity numbers."""
+    text, phone, identity = scan.text, [], set()
+    for m in _NUMBER.finditer(text):
+        a, b = m.span()
+        if b - a < 6:
+            continue
+        phone.append((a, b))
+        cut = text.find(" ", a, b)
+        if cut > 0 and b - cut > 6 and text[cut + 1] not in ")/-.":
+            phone.append((cut + 1, b))
+    for m in _CODE.finditer(text):
+        if m.end() - m.start() >= 7:
+            identity.add(m.span())
+    spans = np.array(phone, np.int64).reshape(-1, 2)
+    identity.update(x for x in phone)
+    codes = np.array(sorted(identity), np.int64).reshape(-1, 2)
+    out = []
+    for s, least in ((spans, 6), (codes, 5)):
+        a, b = s[:, 0], s[:, 1]
+        digits = scan.count("digit", a, b)
+        before = scan.code_at(a - 1)
+        joined = np.isin(scan.class_at(a - 1), (LOWER, UPPER, CASELESS, DIGIT)) | np.isin(before, [ord(c) for c in "_\\"])
+        keep = (digits >= least) & ~joined & (scan.class_at(b) != DIGIT)
+        a, b = a[keep], b[keep]
+        year = scan.number(a + 6, 4)
+        month, day = scan.number(a + 10, 2), scan.number(a + 12, 2)
+        born = (year >= 1900) & (year <= 2035) & (month >= 1) & (month <= 12) & (day >= 1) & (day <= 31)
+        out.append((a, b, born[:, None].astype(float)))
+    return out[0], out[1]
+
+
+def _addresses(scan: Scan) -> tuple:
+    text, found = scan.text, _Found(4)
+
+    def free(at: int) -> bool:
+        before = text[at - 1:at]
+        return not (before.isalnum() and not "一" <= before <= "鿿") and before not in ("\\", "/", "_", ".", "-")
+
+    for kind, pattern in ((1, _HOUSE_FIRST), (2, _STREET_FIRST), (3, _NAMED_FIRST), (4, _PREPOSITION)):
+        for m in pattern.finditer(text):
+            a, b = m.span()
+            if not free(a) and not (kind == 2 and text[a - 1:a] == "."):
+                continue
+            found.add(a, b, kind, 0, 0, 0)
+            if kind in (2, 3, 4):
+                town = _TOWN_BEFORE.search(text, max(0, text.rfind("\n", 0, a) + 1, a - 80), a)
+                if town is not None and free(town.start()):
+                    found.add(town.start(), b, kind + 10, 0, 0, 0)
+    # a word for a street right before a number
+    house = np.flatnonzero((scan.kind[1:] == 2) & (scan.kind[:-1] == 1)) + 1
+    gap = scan.first[house] - scan.last[house - 1]
+    house = house[(gap <= 2) & (gap >= 1) & (scan.code_at(scan.first[house] - 1) == 32)]
+    ending = np.zeros(len(house), bool)
+    for size in range(2, 8):
+        ending |= _ENDINGS.of(scan.hashes(np.maximum(scan.last[house - 1] - size, scan.first[house - 1]), scan.last[house - 1])) > 0
+    ending &= scan.last[house - 1] - scan.first[house - 1] >= 3
+    for j in house[ending].tolist():
+        k, a = j - 1, int(scan.first[j - 1])
+        after = _AFTER_HOUSE.match(text, int(scan.last[j]))
+        end = after.end() if after else int(scan.last[j])
+        words = 0
+        while True:
+            if text[a].isupper() and free(a):
+                found.add(a, end, 5, words, 0, 0)
+                words += 1
+                if words == 1 or words == 2:
+                    town = _TOWN_BEFORE.search(text, max(0, text.rfind("\n", 0, a) + 1, a - 80), a)
+                    if town is not None and free(town.start()):
+                        found.add(town.start(), end, 15, words, 0, 0)
+            if words > 3 or k == 0 or text[a - 1] not in " -" or scan.last[k - 1] != a - 1 or scan.kind[k - 1] != 1:
+                break
+            k, a = k - 1, int(scan.first[k - 1])
+    for m in _HAN_HOUSE.finditer(text):
+        at = m.start()
+        begin = at
+        while begin > 0 and ("一" <= text[begin - 1] <= "鿿"):
+            begin -= 1
+        towns = [p for p in range(max(begin, at - 24), at) if text[p] in _TOWN_ENDS]
+        starts = {p - k for p in towns for k in range(1, 5)} | {at - k for k in range(1, 7)}
+        for a in sorted(s for s in starts if begin <= s < at):
+            first_town = next((p for p in towns if p > a), None)
+            found.add(a, m.end(), 6, first_town - a if first_town is not None else 0, at - a, a == begin)
+    return found.arrays()
+
+
+class _Endings:
+    def __init__(self):
+        from lodestack.llm.scan import word_hash
+
+        self.keys = np.array(sorted({word_hash(w.rstrip(".")) for w in lexicon.STREET_ENDINGS.split()}), dtype=np.uint64)
+
+    def of(self, hashes: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
+        return self.keys[at] == hashes
+
+
+_ENDINGS = _Endings()
+_TITLES = frozenset(lexicon.TITLE.split())
+
+
+def _names(scan: Scan) -> tuple:
+    """Spans of capitalised words, and Chinese surnames with one or two characters after them at every place."""
+    text = scan.text
+    start, end, initials, commas, words_in = [], [], [], [], []
+    for m in _RUN.finditer(text):
+        low = m.start()
+        before = text[low - 1:low]
+        if before and (before.isalnum() and not "一" <= before <= "鿿" or before in "_\\@/."):
+            low = -1  # the first word belongs to what stands before it
+        words = [(w.start(), w.end()) for w in _CAPITAL.finditer(text, m.start(), m.end())]
+        n = len(words)
+        small = [w_end - w_start <= 2 and text[w_end - 1] == "." or w_end - w_start == 1 for w_start, w_end in words]
+        heads = (low,)
+        if low >= 0:  # particles before the first word
+            head = low
+            while True:
+                space = text.rfind(" ", 0, head - 1) if text[head - 1:head] == " " else -1
+                word = text[max(space, text.rfind("\n", 0, head - 1), text.rfind("\0", 0, head - 1)) + 1:head - 1] if text[head - 1:head] == " " else ""
+                if not word or word not in _PARTICLES:
+                    break
+                head -= len(word) + 1
+            while head < low and text[head:text.index(" ", head)] in _NEVER_FIRST:
+                head = text.index(" ", head) + 1
+            heads = (low, head) if head < low else (low,)
+        for i in range(0 if low >= 0 else 1, n - 1):
+            if text[words[i][0]:words[i][1]].rstrip(".").lower() in _TITLES and not small[i]:
+                continue
+            full, comma, short = not small[i], 0, int(small[i])
+            full = int(full)
+            for j in range(i + 1, n):
+                last = text[words[j - 1][1] - 1]
+                if last == "." and not small[j - 1]:
                     break  # a sentence ends in between
-                if first.lower() in TITLES or last.lower() in TITLES:
+                comma += text[words[j - 1][1]] == ","
+                if comma > 1:
+                    break
+                full += not small[j]
+                short += small[j]
+                if full > NAME_WORDS:
                     break
-                if not (first[0].isupper() or first in PARTICLES) or not last[0].isupper():
+                stop = words[j][1]
+                if text[stop - 1] == "." and not small[j]:
+                    stop -= 1
+                if full == 0:
                     continue
-                end = tokens[j][1]
-                if last[-1:] == "," or (last[-1:] == "." and len(last) > 2):
-                    end -= 1
-                out.append(Span("name", tokens[i][0], end))
-    for m in HAN_NAME.finditer(text):
-        k = m.lastindex
-        out.append(Span("name", m.start(k), m.end(k)))
-        if k == 1 and len(m[1]) == 4:
-            out.append(Span("name", m.start(k), m.end(k) - 1))
+                for begin in heads if i == 0 else (words[i][0],):
+                    start.append(begin)
+                    end.append(stop)
+                    initials.append(short)
+                    commas.append(comma)
+                    words_in.append(full)
+    latin = np.stack([np.array(x, float) for x in (initials, commas, words_in)] + [np.zeros(len(start))], axis=1) if start else np.zeros((0, 4))
+    # Chinese
+    han = np.flatnonzero((scan.cls[:-1] == HAN) & (scan.cls[1:] == HAN))
+    double = HAN_PHRASES.of(scan.hashes(han, han + 2)) & HAN_BIT["compound"] > 0
+    parts = []
+    for size, which in ((2, double), (1, SURNAME[scan.small[han]])):
+        at = han[which]
+        for given in (1, 2):
+            ok = np.ones(len(at), bool)
+            for k in range(given):
+                ok &= scan.class_at(at + size + k) == HAN
+            a = at[ok]
+            if size == 1:  # common words that begin or end with the surname's character aren't names
+                a = a[(HAN_PHRASES.of(scan.hashes(a, a + 2)) & HAN_BIT["word"] == 0)]
+                backed = GIVEN_HAN[scan.code_at(a + 1)] | _cued(scan, a)
+                a = a[backed]
+            parts.append((a, a + size + given, size, given))
+    starts = np.concatenate([np.array(start, np.int64), *[p[0] for p in parts]])
+    ends = np.concatenate([np.array(end, np.int64), *[p[1] for p in parts]])
+    more = [np.concatenate([latin, np.zeros((len(latin), 10))], axis=1)]
+    for a, b, size, given in parts:
+        word = HAN_BIT["word"]
+        cols = [np.zeros(len(a))] * 3 + [np.full(len(a), 1.0), np.full(len(a), float(size)), np.full(len(a), float(given)), GIVEN_HAN[scan.code_at(a + size)], GIVEN_HAN[scan.code_at(b - 1)]]
+        for x, y in ((a, a + 2), (a - 1, a + 1), (b - 1, b + 1), (a + size, a + size + 2), (b, b + 2), (b - 2, b)):
+            cols.append(HAN_PHRASES.of(scan.hashes(x, y)) & word > 0)
+        more.append(np.stack([np.asarray(c, float) for c in cols], axis=1))
+    return starts, ends, np.concatenate(more)
+
+
+_NEVER_FIRST = ("der", "den", "du", "zum", "zur", "dos")
+_PARTICLES = frozenset(lexicon.PARTICLE.split()) - {"y", "of", "und"}
+
+
+def _cued(scan: Scan, at: np.ndarray) -> np.ndarray:
+    """Whether a Chinese cue of names or a border stands right before."""
+    out = ~np.isin(scan.class_at(at - 1), (HAN,))
+    for size in (1, 2, 3):
+        out |= HAN_PHRASES.of(scan.hashes(at - size, at)) & HAN_BIT["before_name"] > 0
     return out
 
 
-_CUES = [frozenset(x) for x in (PHONE_CUES, ID_CUES, ADDRESS_CUES, NAME_CUES, DECOY_CUES)]
-_HAN_CUES = [[w for w in x if w and "一" <= w[0] <= "鿿"] for x in (PHONE_CUES, ID_CUES, ADDRESS_CUES, NAME_CUES, DECOY_CUES)]
-
-
-def _char_class(c: str) -> int:
-    if not c or c == "\n":
-        return 0
-    if c.isspace():
-        return 1
-    if c.isdigit():
-        return 2
-    if "一" <= c <= "鿿":
-        return 3
-    if c.isalpha():
-        return 4
-    return 5 if c in ".。,，;；:：)）" else 6
-
-
-def features(text: str, span: Span) -> list[float]:
-    """Format and context of a span, for the trees of any kind."""
-    body = text[span.start:span.end]
-    before, after = text[max(0, span.start - 28):span.start], text[span.end:span.end + 24]
-    line = before.rpartition("\n")[2]
-    near = _WORDS.findall(line.lower())[-3:]
-    groups = [len(g) for g in _SPLIT.findall(body)]
-    tokens = body.replace(",", " , ").split()
-    letters = sum(c.isalpha() for c in body)
-    out = [
-        len(body), sum(groups), len(groups), *(groups + [0] * 6)[:6], groups[-1] if groups else 0, letters,
-        body[:1] == "+", "(" in body or "（" in body, body.count("."), body.count("-"), body.count("/"), body.count(" "),
-        _char_class(before[-1:]), _char_class(after[:1]), body[-1:].isalpha(), body[:1].isdigit(), body[:1] == "0", body[:2].isalpha(),
-    ]
-    for cues, han in zip(_CUES, _HAN_CUES):
-        hit = max((len(near) - i for i, w in enumerate(near) if w in cues or w.rstrip(".:") in cues), default=0)
-        distance = 4 - hit if hit else 0
-        at = max((line.rfind(w) + len(w) for w in han if w in line), default=-1)
-        gap = len(line.rstrip(" ：:")) - at if at >= 0 else 99
-        out += [4 - distance if distance else 0, gap if gap < 12 else 12]
-    following = _WORDS.findall(after.lower())[:2]
-    out += [
-        any(w in NAME_AFTER for w in following), any(after.startswith(w) for w in NAME_AFTER), after[:6].strip().startswith("bytes"),
-        before.rstrip()[-1:] in ":：", before.rstrip()[-1:] in ";；", line.strip() == "", after.strip()[:1] in (";", "；", ""),
-    ]
-    host = re.split(r"[@＠]|[\[(（]\s?at\s?[\])）]|\sat\s", body)[-1]
-    labels = [x.strip() for x in re.split(_DOT, host)] if span.kind == "email" else [""]
-    out += [
-        len(labels), len(labels[-1]), labels[-1].lower() in FILE_TYPES, labels[-1].isalpha(), after[:1] == ":", labels[0][:1].isdigit(),
-        "@" in body or "＠" in body, " " in body,
-    ]
-    plain = [t.strip(".,").lower() for t in tokens if t != ","]
-    given = [t in GIVEN or any(p in GIVEN for p in t.split("-")[:1]) for t in plain]
-    initial = [len(t) == 2 and t[1] == "." for t in tokens if t != ","]
-    han = bool(body) and "一" <= body[0] <= "鿿"
-    out += [
-        bool(near) and near[-1].strip(".,") in GIVEN, after[:2].strip()[:1].isupper(),
-        bool(given) and given[0], bool(given) and given[-1], sum(given), sum(initial), bool(initial) and initial[0], bool(initial) and initial[-1],
-        len(plain), body.count(","), sum(t.isupper() and len(t) > 2 for t in tokens), plain[0] in _CUES[3] | _CUES[4] if plain else 0,
-        han and body[:2] in COMPOUND, han, _STREET_WORD.search(body) is not None, before[-1:] in "到至：:址在" if before else 1,
-        len(body.split("市")[0]) if han else 0, sum(t[:1].isupper() for t in tokens), bool(_SCRIPT.search(body)),
-        bool(re.search(r"\d{5}|\bin [A-ZÄÖÜ]|[A-Z]{2}\d", body)), bool(re.match(r"\d{4}-\d\d-\d\d", body)),
-    ]
-    return [float(x) for x in out]
-
-
-_STREET_WORD = re.compile(
-    r"(?i)\b(?:road|lane|street|st|close|avenue|ave|rue|boulevard|impasse|calle|plaza|avda|paseo)\b|c/|straße|strasse|str\.|weg\b|gasse|winkel|allee|platz|ufer|damm|speicher|ул\.|улица|пер\.|[路街巷]"
-)
-_SCRIPT = re.compile("[а-яё]")
-
-
-class _Invented:
-    """Lines with known spans: every line has its spans' places, and look-alikes that are none."""
-
-    def __init__(self, seed: int):
-        self.r = random.Random(seed)
-
-    def pick(self, *options):
-        return self.r.choice(options)
-
-    def digits(self, n: int) -> str:
-        return "".join(self.r.choice("0123456789") for _ in range(n))
-
-    def word(self, low: int = 2, high: int = 4) -> str:
-        parts = "ka lo ver min tas der bro fen hal wex mar gate shaw lund qui rel nor dan pel oth ish".split()
-        return "".join(self.r.choice(parts) for _ in range(self.r.randint(low, high)))
-
-    def family(self, language: str) -> str:
-        if language == "ru":
-            return self.pick("Тих", "Сосн", "Лукомор", "Берез", "Верхо") + self.pick("огляк", "ёркин", "цев", "ин", "овский", "енко")
-        name = self.word().capitalize()
-        if language == "de":
-            name = self.pick("Ös", "Kü", "Brü", "Wöl", "Zan", "Gras") + self.word(1, 2)
-        if language in ("fr", "es") and self.r.random() < 0.4:
-            name = name[:-1] + self.pick("é", "ñe", "ú")
-        if self.r.random() < 0.1:
-            name = name + "-" + self.word().capitalize()
-        if self.r.random() < 0.1:
-            name = name.upper()
-        if self.r.random() < 0.08:
-            name = self.pick("von ", "de ", "van der ", "Mc") + name
-        return name
-
-    def name(self, language: str) -> str:
-        if language == "zh":
-            return self.r.choice(COMPOUND) + "".join(self.r.choice("疏川望澜砚舟岫棠临梧霁岚听影栖若明华") for _ in range(self.r.choice([1, 2, 2, 2])))
-        pool = sorted(g for g in GIVEN if (g[0] > "ѐ" or g[0] in "а") == (language == "ru") and ("а" <= g[0] <= "я" or g[0] == "ё") == (language == "ru"))
-        given = "-".join(p.capitalize() for p in self.r.choice(pool).split("-"))
-        if self.r.random() < 0.12 and language != "ru":
-            given = self.word().capitalize()
-        family, letter = self.family(language), self.pick(*"ABCDEFHKLMNPRST")
-        return self.r.choices(
-            [f"{given} {family}", f"{family}, {given}", f"{letter}. {family}", f"{given} {letter}. {family}", f"{given} {letter}."],
-            [6, 2, 2, 1.5, 1.5],
-        )[0]
-
-    def phone(self, language: str) -> str:
-        d, three = self.digits, self.digits(3)
-        sep = self.pick(" ", "-", ".")
-        us = [f"({three}) 555{self.pick(' ', '-')}{d(4)}", f"{three}{sep}555{sep}{d(4)}", f"+1 ({three}) 555-{d(4)}", f"+1{three}555{d(4)}", f"01632 960 {d(3)}", f"+44 1632 960{d(3)}", f"01632 960{d(3)}"]
-        by = {
-            "de": [f"+49 30 23125 {d(3)}", f"030/23125-{d(3)}", f"(030) 23125{d(3)}", f"0049 30 23125{d(3)}"],
-            "fr": [f"+33 1 99 00 {d(2)} {d(2)}", f"01 99 00 {d(2)} {d(2)}", f"01.99.00.{d(2)}.{d(2)}"],
-            "es": [f"+34 000 {d(2)} {d(2)} {d(2)}", f"000-{d(3)}-{d(3)}", f"000 {d(3)} {d(3)}"],
-            "ru": [f"+7 (000) {d(3)}-{d(2)}-{d(2)}", f"8 000 {d(3)} {d(2)} {d(2)}", f"8-000-{d(3)}-{d(4)}"],
-            "zh": [f"+86 10{d(1)} {d(4)} {d(4)}", f"10{d(1)}-{d(4)}-{d(4)}", f"10{d(9)}", f"（000）8{d(7)}", f"000-8{d(7)}", f"1{d(10)}", f"0{d(2)}-{d(8)}"],
-        }
-        return self.r.choice(by.get(language, us))
-
-    def identity(self, language: str) -> str:
-        d, up = self.digits, lambda n: "".join(self.r.choice("ABCDEFGHJKLMNPRSTVXYZ") for _ in range(n))
-        by = {
-            "de": [f"{up(1)}{d(1)}{up(2)}{d(3)}{up(1)}{d(1)}", f"{up(2)}{d(2)}{up(1)}{d(2)}{up(1)}{d(1)}", f"{d(2)} {d(3)} {d(3)} {d(3)}"],
-            "fr": [f"{self.pick(1, 2)} {d(2)} {d(2)} {d(2)} {d(3)} {d(3)} {d(2)}"],
-            "es": [f"{d(8)}{up(1)}", f"{d(8)}-{up(1)}"],
-            "ru": [f"{d(3)}-{d(3)}-{d(3)} {d(2)}", f"{d(2)} {d(2)} {d(6)}"],
-            "zh": [f"99{d(4)}19{d(9)}{self.pick(*'0123456789X')}", f"99{d(4)}20{d(10)}"],
-        }
-        return self.r.choice(by.get(language, [f"{d(3)}-{d(2)}-{d(4)}", f"{d(3)} {d(2)} {d(4)}", f"QQ {d(2)} {d(2)} {d(2)} {up(1)}", f"{up(2)}{d(6)}{up(1)}", f"X{d(8)}"]))
-
-    def email(self) -> str:
-        given = self.r.choice(sorted(g for g in GIVEN if g.isascii()))
-        local = self.pick(
-            f"{self.word()}.{self.pick(*'abcdefgh')}", f"{given}_{self.word()}", f"{self.word()}{self.digits(2)}", f"{given}+files", f"{given.capitalize()}.{self.word().capitalize()}",
-            given, self.pick(*"abcdefgh") + self.word(), f"{given}.{self.pick(*'klmnst')}", self.pick(*"abcdefgh") + "." + self.word(), self.word(1, 1),
-        )
-        top = self.pick("com", "org", "net", "de", "fr", "io", "example", "test", "invalid", "co.uk", "ru", "cn")
-        host = self.pick("example.org", "mail.example", "a.b.example", "dept-7.example.com", "office.invalid", "post.test", f"{self.word(1, 3)}.{top}", f"{self.word(1, 2)}.{self.word(1, 2)}.{top}", f"{self.pick(*'abcxyz')}.{top}")
-        at, dot = self.r.choices([("@", "."), (" @ ", "."), ("＠", "."), (" (at) ", "."), (" [at] ", " [dot] "), (" at ", " dot ")], [6, 1, 1, 1, 1, 0.5])[0]
-        return local + at + host.replace(".", dot)
-
-    def address(self, language: str) -> str:
-        n, zip5, w = self.r.randint(1, 220), "00" + self.digits(3), lambda: self.word(1, 2).capitalize()
-        by = {
-            "de": [f"{w()}{self.pick('straße', 'weg', 'gasse', 'winkel')} {n}{self.pick('', 'a')}{self.pick(f', {zip5} ', ' in ', chr(10) + zip5 + ' ')}{w()}", f"Am Alten {w()} {n}, {zip5} {w()}", f"Obere {w()}gasse {n} in {w()}"],
-            "fr": [f"{n}, rue des {w()}, {zip5} {w()}", f"{n} bis avenue du Vieux {w()}, {w()}", f"{n} boulevard Saint-{w()} - {zip5} {w()}", f"{n}, impasse {w()}, {zip5} {w()}"],
-            "es": [f"C/ {w()} nº {n}, {w()}", f"Avda. del {w()} Viejo {n}, 3.º B, {zip5} {w()}", f"Plaza de la {w()} {n}, {w()}", f"Calle {w()} {n}, {zip5} {w()}"],
-            "ru": [f"ул. Кленовая, д. {n}, кв. {n % 80 + 1}, г. Соснолуг", f"г. Тихобродск, ул. Озёрная, {n}", f"Гончарная ул., {n}, Верхнеозёрск"],
-            "zh": [f"{self.pick('云陵', '青槐', '松影', '白石')}市{self.pick('', '北桥区', '望潮区')}{self.pick('听雨', '栖霞东', '长青')}{self.pick('路', '街')}{n}号{self.pick('', '18楼', '4栋225室')}"],
-        }
-        en = f"{n}{self.pick('', '', 'B')} {self.pick('', 'Old ', 'St. ')}{w()} {self.r.choice(STREET_EN)}{self.pick('', ', ' + w() + ' ' + zip5, f', Apt {n % 40}, ' + w() + ', ZZ1 4QP', ', ' + w())}"
-        return self.r.choice(by.get(language, [en]))
-
-    def decoy(self) -> str:
-        d, w = self.digits, self.word
-        return self.r.choice([
-            f"frn {d(15)} has no parent.", f"offset {d(14)}-{d(12)}", f"Copied {d(13)} bytes in {d(2)}.{d(2)} s.", f"Build {d(2)}.{d(2)}.{d(1)}, journal position {d(13)}.",
-            f"server 192.0.2.{d(2)} answered", f"invoice {d(2)}/{d(2)}/{d(2)}", f"Part no. {d(2)}-{d(2)}-{d(2)}-A is out of stock.", f"Seen at 2024-0{self.r.randint(1, 9)}-1{d(1)} 04:12:25.",
-            f"2024-0{self.r.randint(1, 9)}-1{d(1)} 1{d(1)}:4{d(1)}:5{d(1)} INFO [search] done", f"Clone git@{w()}:tools first.", f"Install {self.pick('pkg', w())}@{d(1)}.{d(1)}.{d(1)} first.", f"{w()}@{d(1)}.{d(2)}.{d(1)}", f"{w()} {w()}@{d(1)}x.jpg {w()}", f"{self.pick('git', w())}@{w()}:{w()}/{w()}.git", f"The icon is {w()}@2x.png.",
-            f"Ask @{w()} in the {w()} channel.", f"Quiet {w().capitalize()} Search beats Red {w().capitalize()} Tools.", f"The Northern {w().capitalize()} Society paid.",
-            f"See Chapter {d(2)}, Blue {w().capitalize()} Index.", f"{w().capitalize()} Pro, edition {d(2)}.", f"Checksum {d(2)}f{d(4)}a{d(6)}", f"Room {d(2)}, shelf {d(1)}-{d(2)}",
-            f"Die {w().capitalize()} prüft das Verzeichnis {w().capitalize()} seit Version {d(1)}.{d(1)}.{d(1)}.", f"Der Ordnerwächter {w()} den Ordner {w().capitalize()} {d(3)}.", f"Schritt {d(3)}: die {w().capitalize()} Liste {w().capitalize()}.",
-            f"The {w().capitalize()} team says {w().capitalize()} Branch is slow.", f"Search for “{w().capitalize()} pdf” in C:\\{w()}\\{w()}.", f"Step {d(4)}: the {w()} is open.", f"Phase {w().capitalize()} {d(4)}, {w().capitalize()} {w().capitalize()}.",
-            f"第{d(4)}步：{self.pick('索引', '预览')}面板锁定了{d(4)}个快捷方式。", f"请检查目录合同，{self.pick('收藏夹', '历史面板')}等待{d(3)}次查询。", f"read by {w()}. In {self.pick('C', 'F', 'Z')}:\\{w().capitalize()}\\{w().capitalize()} the {w()} waits.", f"THE {w().upper()} {w().upper()} GETS {w().upper()} BY THE {w().upper()}.", f"tables exported by {w().capitalize()}. Does the {w()} wait?", f"Open {w().capitalize()} {w().capitalize()} and press F{d(1)}.", f"use {w()} at {w()} speed",
-            f"Im Büro {d(4)} liegt der {w().capitalize()} {d(2)}.", f"version {d(1)}.{d(2)}.{d(1)} of {d(4)}-{d(2)}-{d(2)}",
-        ])
-
-    def line(self) -> tuple[str, list[Span]]:
-        if self.r.random() < 0.4:
-            return self.decoy() + self.pick("", " ", "\n") + self.decoy(), []
-        language = self.pick("en", "en", "de", "fr", "es", "ru", "zh")
-        kind = self.r.choices(KINDS, [2, 3, 3, 3, 7])[0]
-        value = {"email": self.email, "phone": lambda: self.phone(language), "id": lambda: self.identity(language), "address": lambda: self.address(language), "name": lambda: self.name(language)}[kind]
-        frames = {
-            "email": ["Write to {} if it stalls.", "my address is {}, thanks", "cc <{}>", "Send the list ({}).", "E-Mail: {}", "Courriel : {}", "Correo: {}", "Почта: {}", "邮箱：{}", "有问题写信给{}，谢谢。", "Bitte an {} schreiben.", "Reply-To: {}", "({})", "{}", "ask {} now", "Écrire à {} en cas de blocage.", "Escribir a {}.", "Пишите на {}.", "请发邮件到{}。", f"{self.word()} {self.word()} {{}} {self.word()}."],
-            "phone": {"en": ["Call {} after lunch.", "Tel.: {}", "mobile {}", "the desk can be reached under {}, ask for it", "reached under {} ext. 62, ask"], "de": ["Rückruf unter {}.", "Tel. {}"], "fr": ["Appeler le {}.", "Tél. : {}"], "es": ["Llamar al {}.", "Tel.: {}"], "ru": ["Звоните {}.", "Тел.: {}"], "zh": ["电话：{}", "手机{}，下午可接。", "请致电{}。"]},
-            "id": {"en": ["passport {} is in the same folder", "ID: {}", "Social security no. {} was on page two.", "The scan shows national insurance number {}."], "de": ["Steuer-ID: {}", "Ausweisnummer {} steht im Scan."], "fr": ["NIR : {}", "Numéro de sécurité sociale {} visible."], "es": ["NIF: {}", "El DNI {} aparece escaneado."], "ru": ["СНИЛС/паспорт: {}", "Паспорт {} виден на скане."], "zh": ["证件号码：{}", "身份证号{}出现在扫描件里。"]},
-            "address": {"en": ["office moved to {} last week", "Home address {}, second bell.", "The parcel with the disk goes to {}", "{}"], "de": ["Anschrift: {}", "Die Platte geht an {}."], "fr": ["Adresse : {}", "Livrer le disque au {}."], "es": ["Dirección: {}", "Enviar el disco a {}."], "ru": ["Адрес: {}", "Диск отправить: {}."], "zh": ["办公室搬到了{}。", "收货地址：{}", "硬盘请寄到{}。"]},
-            "name": {"en": ["I asked {} about the share.", "According to {} the copy is fine.", "{} signed it.", "Dr. {} signed it.", "Mr. {} found the lost folder.", "Owner: {}", "Thanks, {}", "Reported by {}.", "Present: {}; {}; {}"], "de": ["Viele Grüße, {}", "Gemeldet von {}.", "Frau {} sucht den Ordner.", "Anwesend: {}; {}"], "fr": ["Cordialement, {}", "Signalé par {}.", "Mme {} cherche le dossier.", "Présents : {}; {}"], "es": ["Saludos, {}", "Avisó {}.", "{} perdió la carpeta.", "Asistentes: {}; {}"], "ru": ["С уважением, {}", "Сообщает {}.", "Присутствуют: {}; {}"], "zh": ["联系人：{}。", "由{}提交。", "{}反馈目录丢失。", "已通知{}处理。", "出席：{}; {}"]},
-        }[kind]
-        frame = self.r.choice(frames[language] if isinstance(frames, dict) else frames)
-        text = self.pick("", "", self.decoy() + self.pick(" ", "\n"), "#4321 [open] ")
-        if language == "zh" and self.r.random() < 0.4:
-            text = self.pick("索引小组反馈，结果列表等待回收站。", "预览面板高亮显示文件时间戳。", "收藏夹反复打开目录")
-        spans, rest = [], frame
-        while "{}" in rest:
-            head, _, rest = rest.partition("{}")
-            text += head
-            inserted = value()
-            if not inserted.endswith(".") or not rest.startswith("."):
-                spans.append(Span(kind, len(text), len(text) + len(inserted)))
-                text += inserted
-            else:
-                spans.append(Span(kind, len(text), len(text) + len(inserted)))
-                text += inserted[:-1]
-        text += rest + self.pick("", "\n", " " + self.decoy(), "\n" + self.decoy())
-        return text, spans
+def candidates(scan: Scan) -> dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """By kind: starts, ends and the generator's own features of all proposed spans, overlapping ones included."""
+    phone, identity = _numbers(scan)
+    return {"email": _emails(scan), "phone": phone, "id": identity, "address": _addresses(scan), "name": _names(scan)}
+
+
+_NEAR = ("phone", "identity", "address", "before_name", "title", "counted", "organisation", "given", "common", "file_type")
+_AHEAD = ("after_name", "organisation", "counted", "given", "common", "phone", "street")
+_INSIDE = ("given", "family", "organisation", "common", "particle", "counted", "street", "before_name", "title", "file_type")
+_SIGNS = "+(.-/: ,@_\\"
+_BEFORE_SIGNS, _AFTER_SIGNS = ":;,(\"“”'<[\\/@#_-.=、。，", ":;,.)\"”'>]\\/@_-%?!、。，("
+
+
+def features(scan: Scan, s: np.ndarray, e: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Format and context of spans, a row each."""
+    cols: list[np.ndarray] = [e - s]
+    for name in ("digit", "letter", "upper", *_SIGNS):
+        cols.append(scan.count(name, s, e))
+    first_digit, last_digit = np.searchsorted(scan.digit_first, s), np.searchsorted(scan.digit_last, e, "right")
+    groups = last_digit - first_digit
+    cols.append(groups)
+    sizes = np.append(scan.digit_last - scan.digit_first, 0)
+    for k in range(6):
+        cols.append(np.where(groups > k, sizes[np.minimum(first_digit + k, len(sizes) - 1)], 0))
+    cols.append(np.where(groups > 0, sizes[np.maximum(last_digit - 1, 0)], 0))
+    head, tail = scan.class_at(s), scan.class_at(e - 1)
+    cols += [head, tail, scan.code_at(s) == ord("+"), scan.code_at(s) == ord("("), scan.code_at(s) == ord("0"), scan.number(s, 1), scan.class_at(s + 1)]
+    # neighbours
+    left, right = scan.class_at(s - 1), scan.class_at(e)
+    spaced_left = np.where(left == SPACE, scan.code_at(s - 2), scan.code_at(s - 1))
+    spaced_right = np.where(right == SPACE, scan.code_at(e + 1), scan.code_at(e))
+    cols += [left, right, np.where(left == SPACE, scan.class_at(s - 2), left), np.where(right == SPACE, scan.class_at(e + 1), right)]
+    for signs, code in ((_BEFORE_SIGNS, spaced_left), (_AFTER_SIGNS, spaced_right)):
+        table = np.zeros(1 << 16, np.int8)
+        for i, c in enumerate(signs):
+            table[ord(c)] = i + 1
+        cols.append(table[code])
+    # words
+    n = len(scan.first)
+    flags = np.append(scan.flags, 0).astype(np.int64)
+    i0, i1 = np.searchsorted(scan.first, s), np.searchsorted(scan.last, e, "right") - 1
+    i1 = np.maximum(i1, np.minimum(i0, n - 1))
+    first, last = flags[np.minimum(i0, n)], flags[np.clip(i1, 0, n)]
+    cols.append(i1 - i0 + 1)
+    for name in _INSIDE:
+        cols.append(scan.flagged(name, i0, i1 + 1))
+    for name in ("given", "family", "common", "before_name", "after_name", "organisation", "counted", "title"):
+        cols += [first & BIT[name] > 0, last & BIT[name] > 0]
+    for at in (i0, i1):
+        at = np.clip(at, 0, max(n - 1, 0))
+        cols.append(scan.last[at] - scan.first[at] if n else np.zeros(len(s)))
+    line = scan.lines[np.minimum(s, len(scan.lines) - 1)] if len(scan.lines) else np.zeros(len(s))
+    near = {name: np.full(len(s), 6, np.int8) for name in _NEAR}
+    above = {name: np.zeros(len(s), bool) for name in _NEAR[:4]}
+    for k in range(5, 0, -1):
+        at = i0 - k
+        ok = at >= 0
+        at = np.maximum(at, 0)
+        same = ok & (scan.lines[scan.first[at]] == line) if n else ok
+        f = flags[at]
+        for name in _NEAR:
+            near[name][same & (f & BIT[name] > 0)] = k
+        if k <= 2 and n:
+            over = ok & (scan.lines[scan.first[at]] == line - 1) & (scan.code_at(s - 1) == 10)
+            for name in above:
+                above[name] |= over & (f & BIT[name] > 0)
+    cols += [*near.values(), *above.values()]
+    ahead = {name: np.full(len(s), 4, np.int8) for name in _AHEAD}
+    for k in range(3, 0, -1):
+        at = i1 + k
+        ok = at < n
+        at = np.minimum(at, max(n - 1, 0))
+        same = ok & (scan.lines[scan.first[at]] == line) if n else ok
+        f = flags[at]
+        for name in _AHEAD:
+            ahead[name][same & (f & BIT[name] > 0)] = k
+    cols += list(ahead.values())
+    if n:
+        before, after = np.clip(i0 - 1, 0, n - 1), np.clip(i1 + 1, 0, n - 1)
+        touching = (i0 > 0) & (scan.last[before] == s - 1) & (left == SPACE)
+        followed = (i1 + 1 < n) & (scan.first[after] == e + 1) & (right == SPACE)
+        cols += [touching & (scan.class_at(scan.first[before]) == UPPER), followed & (scan.class_at(scan.first[after]) == UPPER), touching & (scan.class_at(scan.first[before]) == DIGIT), followed & (scan.class_at(scan.first[after]) == DIGIT)]
+    else:
+        cols += [np.zeros(len(s))] * 4
+    cols += _han_context(scan, s, e)
+    return np.concatenate([np.stack([np.asarray(c, float) for c in cols], axis=1), own], axis=1)
+
+
+_HAN_NEAR = ("phone", "identity", "address", "before_name", "counted")
+
+
+def _han_context(scan: Scan, s: np.ndarray, e: np.ndarray) -> list[np.ndarray]:
+    """Distances of Chinese cues before a span, and whether one stands right after it."""
+    out = [np.full(len(s), 12, np.int8) for _ in _HAN_NEAR]
+    after = np.zeros(len(s), bool)
+    close = np.zeros(len(s), bool)
+    for k in range(1, 5):
+        close |= scan.class_at(s - k) == HAN
+    rows = np.flatnonzero(close)
+    if len(rows):
+        a = s[rows]
+        for gap in range(9, -1, -1):
+            for size in (1, 2, 3, 4, 5, 6) if gap <= 2 else (2, 3, 4):
+                flags = HAN_PHRASES.of(scan.hashes(a - gap - size, a - gap))
+                if not flags.any():
+                    continue
+                for i, name in enumerate(_HAN_NEAR):
+                    if name == "before_name" and gap > 3:
+                        continue
+                    out[i][rows[flags & HAN_BIT[name] > 0]] = gap
+    rows = np.flatnonzero(scan.class_at(e) == HAN)
+    for size in (1, 2, 3):
+        after[rows[HAN_PHRASES.of(scan.hashes(e[rows], e[rows] + size)) & HAN_BIT["after_name"] > 0]] = True
+    return [*out, after]
 
 
 @dataclass
@@ -343,56 +453,86 @@ class Models:
 _TRAINED: dict[tuple[int, int], Models] = {}
 
 
-def train(training_rows: int = 10_000, seed: int = 7) -> Models:
+def train(training_rows: int = 24_000, seed: int = 7, frames: dict | None = None) -> Models:
     """One model per kind, trained on four fifths of the invented lines and calibrated on the rest."""
-    if (training_rows, seed) in _TRAINED:
+    if frames is None and (training_rows, seed) in _TRAINED:
         return _TRAINED[training_rows, seed]
-    source = _Invented(seed)
-    rows: dict[str, list] = {k: [] for k in KINDS}
-    for i in range(training_rows):
-        text, spans = source.line()
-        real = {(s.kind, s.start) for s in spans}
-        ends = {(s.kind, s.start): s.end for s in spans}
-        for c in candidates(text):
-            label = (c.kind, c.start) in real and (c.kind not in ("name",) or abs(c.end - ends[c.kind, c.start]) <= 1)
-            rows[c.kind].append((i % 5 == 0, label, features(text, c)))
+    source = Invented(seed, frames)
+    lines = [source.line() for _ in range(training_rows)]
+    scan = Scan([text for text, _ in lines])
+    real = {(k, int(scan.starts[i]) + a): int(scan.starts[i]) + b for i, (_, spans) in enumerate(lines) for k, a, b in spans}
     models = {}
-    for kind, found in rows.items():
-        held = np.array([r[0] for r in found])
-        y, x = np.array([r[1] for r in found], float), np.array([r[2] for r in found])
-        models[kind] = Boosted().fit(x[~held], y[~held])
-        models[kind].calibrate(x[held], y[held])
-    _TRAINED[training_rows, seed] = Models(models)
-    return _TRAINED[training_rows, seed]
-
-
-def select(texts: list[str], models: Models) -> list[list[Span]]:
-    """The accepted spans of each text, in order, without overlaps: best first."""
-    owners, spans = [], []
-    for i, text in enumerate(texts):
-        for c in candidates(text):
-            owners.append(i)
-            spans.append(c)
-    scored: list[list[tuple[float, int, Span]]] = [[] for _ in texts]
-    for kind in KINDS:
-        mine = [k for k, s in enumerate(spans) if s.kind == kind]
-        if not mine:
+    for kind, (s, e, own) in candidates(scan).items():
+        close = {"name": 1, "address": 1 << 30}.get(kind, 1)
+        y = np.array([abs(real.get((kind, a), -(1 << 31)) - b) <= close for a, b in zip(s.tolist(), e.tolist())], float)
+        if kind == "address":
+            y *= np.array([(kind, a) in real for a in s.tolist()])
+        x = features(scan, s, e, own)
+        held = scan.owner(s) % 5 == 0
+        models[kind] = Boosted(rounds=60, depth=5).fit(x[~held], y[~held])
+        models[kind].calibrate(x[held], y[held], SLACK.get(kind, 0.005))
+    if frames is None:
+        _TRAINED[training_rows, seed] = Models(models)
+    return Models(models)
+
+
+@dataclass
+class Accepted:
+    """Spans in order, without overlaps: the text of each, its kind, start and end within the text."""
+
+    text: np.ndarray
+    kind: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+
+
+def select(texts: list[str], models: Models) -> Accepted:
+    """The accepted spans of all texts: best first, those that overlap a better one left out."""
+    scan = Scan(texts)
+    scores, kinds, starts, ends = [], [], [], []
+    for k, (kind, (s, e, own)) in enumerate(candidates(scan).items()):
+        if not len(s):
             continue
-        p = models.by_kind[kind].predict(np.array([features(texts[owners[k]], spans[k]) for k in mine]))
-        for k, score in zip(mine, p):
-            if score >= models.by_kind[kind].threshold:
-                scored[owners[k]].append((round(float(score), 2), spans[k].end - spans[k].start, spans[k]))
-    out = []
-    for found in scored:
-        kept: list[Span] = []
-        for _, _, s in sorted(found, key=lambda x: (-x[0], -x[1], x[2].start)):
-            if all(s.end <= k.start or s.start >= k.end for k in kept):
-                kept.append(s)
-        out.append(sorted(kept, key=lambda s: s.start))
-    return out
+        model = models.by_kind[kind]
+        p = model.predict(features(scan, s, e, own))
+        keep = p >= model.threshold
+        scores.append(np.round(p[keep], 2))
+        kinds.append(np.full(int(keep.sum()), k))
+        starts.append(s[keep])
+        ends.append(e[keep])
+    if not scores:
+        return Accepted(*[np.zeros(0, np.int64)] * 4)
+    p, k, a, b = (np.concatenate(x) for x in (scores, kinds, starts, ends))
+    order = np.lexsort((k, a, a - b, -p))
+    taken: list[tuple[int, int]] = []  # in order of their starts
+    kept = []
+    for i, s, e in zip(order.tolist(), a[order].tolist(), b[order].tolist()):
+        at = bisect_left(taken, (s, e))
+        if at < len(taken) and taken[at][0] < e or at > 0 and taken[at - 1][1] > s:
+            continue
+        taken.insert(at, (s, e))
+        kept.append(i)
+    kept = np.array(kept, np.int64)
+    kept = kept[np.argsort(a[kept])]
+    owner = scan.owner(a[kept])
+    return Accepted(owner, k[kept], a[kept] - scan.starts[owner], b[kept] - scan.starts[owner])
+
+
+def _pieces(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """The batch in pieces of about PIECE characters and at least one text; null texts as empty ones."""
+    texts = [t or "" for t in batch.column(1).to_pylist()]
+    low, size = 0, 0
+    for i, text in enumerate(texts):
+        size += len(text) + 1
+        if size >= PIECE or i == len(texts) - 1:
+            yield batch.slice(low, i + 1 - low), texts[low:i + 1]
+            low, size = i + 1, 0
 
 
-def personal_information(docs: DataFrame, training_rows: int = 10_000) -> DataFrame:
+_NAMES = np.array(KINDS)
+
+
+def personal_information(docs: DataFrame, training_rows: int = 24_000) -> DataFrame:
     """(doc_id, kind, start_pos, length) of every occurrence in docs (doc_id, text); start_pos counts from 1.
 
     Defined cases: null and empty texts have none; rows with null doc_id are ignored; repeated rows give repeated
@@ -403,29 +543,19 @@ def personal_information(docs: DataFrame, training_rows: int = 10_000) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for low in range(0, batch.num_rows, 500):
-                part = batch.slice(low, 500)
-                at, kinds, starts, lengths = [], [], [], []
-                for i, spans in enumerate(select(part.column(1).to_pylist(), models)):
-                    for s in spans:
-                        at.append(i)
-                        kinds.append(s.kind)
-                        starts.append(s.start + 1)
-                        lengths.append(s.end - s.start)
+            for part, texts in _pieces(batch):
+                found = select(texts, models)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(pa.array(at, pa.int64())), pa.array(kinds, pa.string()), pa.array(starts, pa.int64()), pa.array(lengths, pa.int64())],
+                    [part.column(0).take(pa.array(found.text)), pa.array(_NAMES[found.kind].tolist(), pa.string()), pa.array(found.start + 1), pa.array(found.end - found.start)],
                     ["doc_id", "kind", "start_pos", "length"],
                 )
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    return _readable(docs).mapInArrow(run, f"doc_id {id_type}, kind string, start_pos bigint, length bigint")
-
-
-def _readable(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "text").where(F.col("doc_id").isNotNull() & (F.length("text") > 0))
+    rows = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull() & (F.length("text") > 0))
+    return rows.mapInArrow(run, f"doc_id {id_type}, kind string, start_pos bigint, length bigint")
 
 
-def redact(docs: DataFrame, training_rows: int = 10_000) -> DataFrame:
+def redact(docs: DataFrame, training_rows: int = 24_000) -> DataFrame:
     """(doc_id, redacted, replaced): the texts with [EMAIL], [PHONE], [ID], [ADDRESS] and [NAME] in place of personal
     information, and how many places were replaced. Null and empty texts stay as they are."""
     ship_package(docs.sparkSession)
@@ -433,21 +563,16 @@ def redact(docs: DataFrame, training_rows: int = 10_000) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            found = select([t or "" for t in texts], models)
-            out = []
-            for text, spans in zip(texts, found):
-                parts, end = [], 0
-                for s in spans:
-                    parts += [text[end:s.start], f"[{s.kind.upper()}]"]
-                    end = s.end
-                out.append("".join([*parts, text[end:]]) if spans else text)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(out, pa.string()), pa.array([len(s) for s in found], pa.int64())],
-                ["doc_id", "redacted", "replaced"],
-            )
+            for part, texts in _pieces(batch):
+                found = select(texts, models)
+                parts: list[list[str]] = [[] for _ in texts]
+                ends = [0] * len(texts)
+                for i, k, a, b in zip(found.text.tolist(), found.kind.tolist(), found.start.tolist(), found.end.tolist()):
+                    parts[i] += [texts[i][ends[i]:a], f"[{KINDS[k].upper()}]"]
+                    ends[i] = b
+                out = ["".join([*p, t[e:]]) if p else None if o is None else t for p, t, e, o in zip(parts, texts, ends, part.column(1).to_pylist())]
+                counts = np.bincount(found.text, minlength=len(texts)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, pa.string()), pa.array(counts)], ["doc_id", "redacted", "replaced"])
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").where("doc_id is not null").mapInArrow(
-        run, f"doc_id {id_type}, redacted string, replaced bigint"
-    )
+    return docs.select("doc_id", "text").where("doc_id is not null").mapInArrow(run, f"doc_id {id_type}, redacted string, replaced bigint")

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestack.llm import boosting, leaks, mixing, mojibake, near_duplicates, personal, words
+from lodestack.llm import boosting, leaks, mixing, mojibake, near_duplicates, words
 
 WORD = re.compile(r"[一-鿿]|[^\W_一-鿿]+")
 VOCABULARY = [f"w{i}" for i in range(400)] + list("数据结构层级路径快照")
@@ -259,38 +259,3 @@ def test_boosting_learns():
     model = boosting.Boosted(rounds=40).fit(x[:2000], y[:2000])
     model.calibrate(x[2000:2500], y[2000:2500])
     assert ((model.predict(x[2500:]) >= model.threshold) == y[2500:]).mean() > 0.95
-
-
-@pytest.fixture(scope="module")
-def models():
-    return personal.train(6000)
-
-
-def test_personal_held_out(models):
-    source = personal._Invented(99)
-    lines = [source.line() for _ in range(1500)]
-    for kind in personal.KINDS:
-        want = {(i, s.start) for i, (_, spans) in enumerate(lines) for s in spans if s.kind == kind}
-        got = {(i, s.start) for i, spans in enumerate(personal.select([t for t, _ in lines], models)) for s in spans if s.kind == kind}
-        assert len(want & got) >= 0.9 * len(want), kind
-        assert len(want & got) >= 0.9 * len(got), kind
-
-
-@pytest.mark.parametrize(("text", "spans"), [
-    ("Call +1 (703) 555-0171 after lunch.", [("phone", 6)]), ("Owner: Caldramere, Clara", [("name", 8)]), ("Dr. Simon T. Drosholt signed it.", [("name", 5)]),
-    ("my address is anna.x@mail.example, thanks", [("email", 15)]), ("Write to laura [at] example [dot] org if", [("email", 10)]), ("证件号码：990261195911034953", [("id", 6)]),
-    ("办公室搬到了青槐市听雨路141号。", [("address", 7)]), ("联系人：宗政岫影。", [("name", 5)]), ("Livrer le disque au 195 bis rue des Tilleurs, Vaubrune", [("address", 21)]),
-    ("server 192.0.2.57 answered", []), ("Clone git@soresbel:tools first.", []), ("Quiet Meadow Search beats Red Lantern Tools.", []), ("offset 95221446269548676-5647397164183551", []), ("", []),
-])
-def test_personal_cases(models, text, spans):
-    assert [(s.kind, s.start + 1) for s in personal.select([text], models)[0]] == spans
-
-
-def test_personal_tables(spark):
-    rows = [(1, "Tel.: 214.555.0122", "x"), (2, None, "x"), (3, "", "x"), (None, "Tel.: 214.555.0122", "x"), (4, "no data here. " * 20_000 + "Tel.: 214.555.0122", "x"), (1, "Tel.: 214.555.0122", "x")]
-    df = spark.createDataFrame(rows, "doc_id bigint, text string, kind string")
-    got = sorted((r["doc_id"], r["kind"], r["start_pos"]) for r in personal.personal_information(df, 6000).collect())
-    assert got == [(1, "phone", 7), (1, "phone", 7), (4, "phone", 280007)]
-    out = {r["doc_id"]: (r["redacted"], r["replaced"]) for r in personal.redact(df, 6000).collect()}
-    assert out[1] == ("Tel.: [PHONE]", 1) and out[2] == (None, 0) and out[3] == ("", 0) and out[4][0].endswith("Tel.: [PHONE]")
-    assert personal.personal_information(df.limit(0), 6000).count() == 0
