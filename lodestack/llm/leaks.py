@@ -36,15 +36,21 @@ CHUNK = 1 << 15
 PAIRS = 1 << 20
 
 
-class _Weights:
+class Weights:
     """Weights of words: the rarer among the items, the heavier (1 to 8); words of no item weigh the most."""
 
-    def __init__(self, values: np.ndarray, owner: np.ndarray):
-        pairs = np.unique(np.stack([values, owner]), axis=1)
-        self.words, counts = np.unique(pairs[0], return_counts=True)
-        share = counts / max(1, len(np.unique(owner)))
+    def __init__(self, words: np.ndarray, holders: np.ndarray, items: int):
+        """words: hashes; holders: how many of the items have each."""
+        order = np.argsort(words)
+        self.words = np.asarray(words, dtype=np.int64)[order]
+        share = np.asarray(holders, dtype=float)[order] / max(1, items)
         self.values = np.clip(np.rint(-np.log2(share)) + 1, 1, 8).astype(np.int32)
 
+    @classmethod
+    def counted(cls, lists: list[list[int]]) -> Weights:
+        words, holders = np.unique(np.concatenate([np.zeros(0, np.int64), *[np.unique(x) for x in lists]]), return_counts=True)
+        return cls(words, holders, len(lists))
+
     def of(self, values: np.ndarray) -> np.ndarray:
         if not len(self.words):
             return np.full(len(values), 8, np.int32)
@@ -74,12 +80,13 @@ def _first(hashes: np.ndarray) -> np.ndarray:
 class ItemIndex:
     """The fingerprints of all windows of some items, indexed by each block of bits."""
 
-    def __init__(self, ids: list, lists: list[list[int]], width: int, radius: int, weights: _Weights | None = None):
+    def __init__(self, ids: list, lists: list[list[int]], width: int, radius: int, weights: Weights | None = None):
         lengths = np.array([len(x) for x in lists], dtype=np.int64)
         self.values = np.array([v for x in lists for v in x], dtype=np.int64)
         offsets = np.concatenate([[0], np.cumsum(lengths)])
         self.width, self.radius, self.ids = width, radius, np.array(ids, dtype=np.int64)
-        self.weights = weights or _Weights(self.values, np.repeat(np.arange(len(lists)), lengths))
+        self.weights = weights or Weights.counted(lists)
+        self.known = np.unique(self.values)
         self.word_weights = self.weights.of(self.values)
         starts, owner = windows(self.values, offsets, width)
         if len(starts):
@@ -99,6 +106,12 @@ class ItemIndex:
             order = np.argsort(key, kind="stable")
             self.blocks.append((low, high, key[order], order))
 
+    def has(self, values: np.ndarray) -> np.ndarray:
+        """Whether each word occurs in one of these items."""
+        if not len(self.known):
+            return np.zeros(len(values), bool)
+        return self.known[np.minimum(np.searchsorted(self.known, values), len(self.known) - 1)] == values
+
     @staticmethod
     def block(prints: np.ndarray, low: int, high: int) -> np.ndarray:
         return (prints >> np.uint64(low)) & np.uint64((1 << (high - low)) - 1)
@@ -191,15 +204,23 @@ def _scan(index: ItemIndex, shingled: list[ItemIndex], threshold: float):
         for batch in batches:
             values, offsets = flat_lists(batch.column(1))
             starts, owner = windows(values, offsets, index.width)
+            # a window with a word of no item equals no item's window
+            unknown = np.concatenate([[0], np.cumsum(~index.has(values))])
+            whole = unknown[starts + index.width] == unknown[starts]
+            starts, owner = starts[whole], owner[whole]
             parts = []
             for low in range(0, len(starts), CHUNK):
                 own, begin = owner[low:low + CHUNK], starts[low:low + CHUNK]
-                base, end = begin[0], begin[-1] + index.width
-                piece = values[base:end]
-                prints = simhash(piece, index.weights.of(piece), begin - base, index.width)
+                # the words of these windows, without the gaps between them
+                step = np.minimum(np.diff(begin, prepend=begin[0] - index.width), index.width)
+                places = np.cumsum(step) - step[0]
+                piece = np.empty(int(places[-1]) + index.width, dtype=np.int64)
+                for k in range(index.width):
+                    piece[places + k] = values[begin + k]
+                prints = simhash(piece, index.weights.of(piece), places, index.width)
                 left, right = index.near(prints)
                 if len(left):
-                    similar, equal = index.similarity(piece, (begin - base)[left], right)
+                    similar, equal = index.similarity(piece, places[left], right)
                     parts.append((own[left], index.owner[right], similar, equal))
             if len(all_keys):
                 places, owner = windows(values, offsets, SHINGLE)
@@ -239,28 +260,31 @@ def leaks(
     `width` words is the same word for word.
 
     Guarantee: all of these are found. Without `similar`, only pairs with an equal window are sure to be (equal windows
-    have equal fingerprints), and those within `radius` bits. Defined cases: null or empty texts and texts under `width` words match nothing; rows with a null id
+    have equal fingerprints), and those of the same words within `radius` bits. The weights are those of all items, so `pass_windows` doesn't change the result. Defined cases: null or empty texts and texts under `width` words match nothing; rows with a null id
     are ignored; repeated rows count once; no items or no documents give an empty result.
     """
     ship_package(docs.sparkSession)
     wanted = items.where(F.col("item_id").isNotNull()).select(
         F.col("item_id").cast("bigint").alias("item_id"), word_hashes(F.col("text")).alias("h")
     ).where(F.size("h") >= width)
-    total = wanted.agg(F.sum(F.size("h"))).first()[0] or 0
-    passes = max(1, -(-total // pass_windows))
+    items_with, total = wanted.agg(F.count("*"), F.sum(F.size("h") - (width - 1))).first()
+    passes = max(1, -(-(total or 0) // pass_windows))
+    # one number for each different word of the items
+    held = wanted.select(F.explode(F.array_distinct("h")).alias("word")).groupBy("word").count().toArrow()
+    weights = Weights(held.column("word").to_numpy(), held.column("count").to_numpy(), items_with)
     source = docs.where(F.col("doc_id").isNotNull()).select("doc_id", word_hashes(F.col("text")).alias("h"))
     schema = f"doc_id {source.schema['doc_id'].dataType.simpleString()}, item_id bigint, similarity double, exact boolean, window_pairs bigint"
     result = None
     for k in range(passes):
         rows = wanted.where(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == k).collect()
-        index, shingled = ItemIndex([r[0] for r in rows], [r[1] for r in rows], width, radius), []
+        index, shingled = ItemIndex([r[0] for r in rows], [r[1] for r in rows], width, radius, weights), []
         if similar and width >= SHINGLE:
             by_size: dict[int, list[int]] = {width: list(range(len(rows)))}
             for at, r in enumerate(rows):
                 if len(r[1]) > width:
                     by_size.setdefault(len(r[1]), []).append(at)
             for size, some in by_size.items():
-                x = ItemIndex([rows[at][0] for at in some], [rows[at][1] for at in some], size, radius, index.weights)
+                x = ItemIndex([rows[at][0] for at in some], [rows[at][1] for at in some], size, radius, weights)
                 x.owner = np.array(some, dtype=np.int64)[x.owner]  # positions in `index`
                 shingled.append(x.shingled(threshold))
         part = source.mapInArrow(_scan(index, shingled, threshold), schema).where(F.col("similarity") >= threshold)

@@ -188,17 +188,26 @@ def near_duplicates(
     return members, scratch.cut(links, "links")
 
 
-def expand_pairs(members: DataFrame, links: DataFrame) -> DataFrame:
-    """All pairs (id_a, id_b, similarity), id_a < id_b, of members of one class or of two linked classes."""
-    sizes = members.groupBy("class").count().where("count > 1").select("class")
-    several = members.join(sizes, "class")
-    within = several.alias("a").join(several.alias("b"), "class").where(F.col("a.id") < F.col("b.id")).select(
+def expand_pairs(members: DataFrame, links: DataFrame, block: int = 2000) -> DataFrame:
+    """All pairs (id_a, id_b, similarity), id_a < id_b, of members of one class or of two linked classes.
+
+    The members of a class lie in blocks of about `block`, drawn by a hash of the id; each block is a join key of its own, so
+    the pairs of a class with very many members are made by many tasks."""
+    blocks = F.ceil(F.col("count") / block).cast("int")
+    sizes = members.groupBy("class").count().select("class", "count", blocks.alias("blocks"))
+    placed = members.join(sizes, "class").withColumn("salt", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    several = placed.where("count > 1")
+    within = several.alias("a").join(several.withColumn("salt", every).alias("b"), ["class", "salt"]).where(F.col("a.id") < F.col("b.id")).select(
         F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"), F.lit(1.0).alias("similarity")
     )
-    first = members.select(F.col("class").alias("class_a"), F.col("id").alias("x"))
-    second = members.select(F.col("class").alias("class_b"), F.col("id").alias("y"))
-    between = links.join(first, "class_a").join(second, "class_b").select(
-        F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"), "similarity"
+    between = links
+    for side in ("a", "b"):
+        spread = sizes.select(F.col("class").alias(f"class_{side}"), every.alias("salt"))
+        member = placed.select(F.col("class").alias(f"class_{side}"), "salt", F.col("id").alias(f"{side}_id"))
+        between = between.join(spread, f"class_{side}").join(member, [f"class_{side}", "salt"]).drop("salt")
+    between = between.select(
+        F.least("a_id", "b_id").alias("id_a"), F.greatest("a_id", "b_id").alias("id_b"), "similarity"
     )
     return within.unionByName(between)
 

@@ -23,10 +23,14 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The group of near-duplicates (similarity 0.8) of each path, by the class ids of exact copies."""
-    members, links = near_duplicates(_cached(spark, sf_dir))
-    return groups(members, links).select(
-        F.col("id").alias("path"), F.hex("class").alias("class_id"), F.hex("group_id").alias("group_id"), "links"
+    """The group of near-duplicates of each path, and its class of copies: each named by its smallest path; and how many
+    other classes its class is linked to."""
+    members, links = near_duplicates(_cached(spark, sf_dir), threshold=0.6)
+    grouped = groups(members, links)
+    least = grouped.groupBy("class", "group_id").agg(F.min("id").alias("class_path"))
+    first = least.groupBy("group_id").agg(F.min("class_path").alias("group_path"))
+    return grouped.join(least, ["class", "group_id"]).join(first, "group_id").select(
+        F.col("id").alias("path"), "class_path", "group_path", "links"
     )
 
 
