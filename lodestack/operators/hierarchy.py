@@ -52,19 +52,20 @@ def entries(rows: DataFrame, groups: Sequence[str], order: str, name: str | None
 
 class _Climb:
     """The joins of one run. Columns: groups, id, up (where the entry hangs from or has climbed to), dist (steps
-    climbed), low (smallest id on the way), and with names: trail (names on the way) and chain (ids above)."""
+    climbed), low (smallest id on the way), with names trail (names on the way), with ancestors chain (ids on the way, from
+    the highest down to the entry's own)."""
 
-    def __init__(self, spark: SparkSession, groups: Sequence[str], named: bool):
+    def __init__(self, spark: SparkSession, groups: Sequence[str], named: bool, chained: bool):
         self.scratch = Scratch(spark, "hierarchy")
         self.groups = list(groups)
-        self.named = named
+        self.named, self.chained = named, chained
 
     def keyed(self, df: DataFrame, key: str, prefix: str, cols: Sequence[str]) -> DataFrame:
         """groups + `key` renamed for a join on it, other columns with a prefix."""
         return df.select(*self.groups, F.col(key).alias("up"), *[F.col(c).alias(prefix + c) for c in cols])
 
     def start(self, nodes: DataFrame) -> DataFrame:
-        extra = [F.col("name").alias("trail"), F.array("id").alias("chain")] if self.named else []
+        extra = ([F.col("name").alias("trail")] if self.named else []) + ([F.array("id").alias("chain")] if self.chained else [])
         return nodes.select(
             *self.groups, "id", F.col("parent").alias("up"), F.lit(1).cast("bigint").alias("dist"),
             F.col("id").alias("low"), *extra,
@@ -74,17 +75,15 @@ class _Climb:
         """Climb with doubling steps. until='left': to the first node outside `state`, or forever in circles;
         returns (those that left, those that can't). until='circle': returns (state on circles, state) once every
         `up` is on a circle and `low` covers the whole circle."""
-        cols = ["up", "dist", "low"] + (["trail", "chain"] if self.named else [])
-        previous, steps = -1, 1
+        extended = (["trail"] if self.named else []) + (["chain"] if self.chained else []) if until == "left" else []
+        cols = ["up", "dist", "low", *extended]
+        first, previous, steps = state, -1, 1
         while True:
             above = self.keyed(state, "id", "a_", cols)
             both = state.join(above, [*self.groups, "up"], "left")
             moved = F.col("a_up").isNotNull()
-            extra = [
-                F.when(moved, F.concat(F.col("a_trail"), F.lit(SEPARATOR), F.col("trail")))
-                .otherwise(F.col("trail")).alias("trail"),
-                F.when(moved, F.concat("a_chain", "chain")).otherwise(F.col("chain")).alias("chain"),
-            ] if self.named and until == "left" else [F.col(c) for c in cols[3:]]
+            longer = {"trail": F.concat("a_trail", F.lit(SEPARATOR), "trail"), "chain": F.concat("a_chain", "chain")}
+            extra = [F.when(moved, longer[c]).otherwise(F.col(c)).alias(c) for c in extended]
             after = both.select(
                 *self.groups, "id", F.coalesce("a_up", "up").alias("up"),
                 (F.col("dist") + F.coalesce("a_dist", F.lit(0).cast("bigint"))).alias("dist"),
@@ -104,11 +103,31 @@ class _Climb:
                         after.select(*self.groups, "up").distinct().withColumnRenamed("up", "id")
                         .join(after, [*self.groups, "id"]).select(*self.groups, "id", "low"), "circle",
                     )
+                    if self.chained:
+                        on = self.around(on.join(first.select(*self.groups, "id", "up"), [*self.groups, "id"]))
                     return on, after
                 previous = circle
             state = after.drop("moved")
 
 
+    def around(self, on: DataFrame) -> DataFrame:
+        """Entries on circles (groups, id, up, low) with chain: the entries above each on its circle, ending with its own id."""
+        state = self.scratch.cut(on.withColumn("chain", F.array("id")).withColumn("full", F.lit(False)), "around")
+        while not state.where("not full").isEmpty():
+            both = state.join(self.keyed(state, "id", "a_", ["up", "chain"]), [*self.groups, "up"])
+            longer = F.when(F.col("full"), F.col("chain")).otherwise(F.concat("a_chain", "chain"))
+            both = both.withColumn("longer", longer)
+            # all after the last place of the own id but the end
+            earlier = F.expr("size(longer) - 1 - array_position(reverse(slice(longer, 1, size(longer) - 1)), id)")
+            again = F.expr("array_contains(slice(longer, 1, size(longer) - 1), id)")
+            state = self.scratch.cut(both.select(
+                *self.groups, "id", F.when(F.col("full"), F.col("up")).otherwise(F.col("a_up")).alias("up"), "low",
+                F.when(again, F.slice("longer", earlier + 2, F.size("longer"))).otherwise(F.col("longer")).alias("chain"),
+                (F.col("full") | again).alias("full"),
+            ), "around")
+        return state.select(*self.groups, "id", "low", "chain")
+
+
 def resolve_hierarchy(
     rows: DataFrame,
     groups: Sequence[str],
@@ -116,13 +135,15 @@ def resolve_hierarchy(
     name: str | None = None,
     frontier_levels: int = FRONTIER_LEVELS,
     only_unrooted: bool = False,
+    ancestors: bool = False,
 ) -> DataFrame:
-    """For each entry: status ('ok', 'orphan' or 'loop'), top (id), depth, and with `name` also full_path and
-    ancestors (ids from the top down to the parent). rows need the columns id, parent, groups, order[, name].
+    """For each entry: status ('ok', 'orphan' or 'loop'), top (id), depth, with `name` also full_path, and with
+    `ancestors` also those (ids from the top down to the parent). rows need the columns id, parent, groups, order[, name].
 
     status 'ok': top is the ancestor right below the root, depth the steps to it. 'orphan': going up ends at an
     entry whose parent doesn't exist; top is that entry. 'loop': going up ends in a circle; top is the smallest id
-    on it, depth the steps to the first entry on it; full_path is null and ancestors empty. There is no limit of depth.
+    on it, depth the steps to the first entry on it; full_path is null; its ancestors are the entries on the way to the circle and all
+    others on it, each once. There is no limit of depth.
     only_unrooted returns just 'orphan' and 'loop' entries, without reading anything but links.
 
     Defined cases: of repeated rows of an entry the one with the highest order counts (ties: the greater parent);
@@ -131,7 +152,7 @@ def resolve_hierarchy(
     """
     spark = rows.sparkSession
     named = name is not None
-    climb = _Climb(spark, groups, named)
+    climb = _Climb(spark, groups, named, ancestors)
     scratch, g = climb.scratch, climb.groups
     if named:
         rows = rows.withColumn("_name", F.coalesce(F.col(name), F.lit("")))
@@ -146,24 +167,24 @@ def resolve_hierarchy(
     cut_off = F.col("parent").isNull() | F.col("_gone")
     gone = missing.select(*g, F.col("id").alias("parent"), F.lit(True).alias("_gone"))
     status = F.when(is_root_parent(F.col("parent")), "ok").when(cut_off, "orphan")
-    extra = [F.col("name").alias("path"), F.array().cast("array<bigint>").alias("chain")] if named else []
+    nothing = F.array().cast("array<bigint>").alias("chain")
+    path_col, chain_col = ["path"] if named else [], ["chain"] if ancestors else []
+    extra = ([F.col("name").alias("path")] if named else []) + ([nothing] if ancestors else [])
     level = scratch.cut(
         known.join(gone, [*g, "parent"], "left").select(
             *g, "id", "parent", status.alias("status"), F.when(status.isNotNull(), F.col("id")).alias("top"),
             F.when(status.isNotNull(), F.lit(0).cast("bigint")).alias("depth"),
-            *([*extra, "name"] if named else []),
+            *extra, *(["name"] if named else []),
         ), "level0",
     )
-    state_cols = [*g, "id", "status", "top", "depth"] + (["path", "chain"] if named else [])
+    state_cols = [*g, "id", "status", "top", "depth", *path_col, *chain_col]
     link_cols = [*g, "id", "parent"] + (["name"] if named else [])
     reached = [level.where("status is not null").select(*state_cols)]
     unreached = level.where("status is null").select(*link_cols)
     for depth in range(1, frontier_levels + 1):
         above = reached[-1].select(*g, F.col("id").alias("parent"), *[F.col(c) for c in state_cols[len(g) + 1:]])
-        extra = [
-            F.concat("path", F.lit(SEPARATOR), "name").alias("path"), F.concat("chain", F.array("parent")).alias("chain"),
-            "name",
-        ] if named else []
+        extra = [F.concat("path", F.lit(SEPARATOR), "name").alias("path"), "name"] if named else []
+        extra += [F.concat("chain", F.array("parent")).alias("chain")] if ancestors else []
         level = scratch.cut(
             unreached.join(above, [*g, "parent"], "left").select(
                 *g, "id", "parent", "status", "top", (F.col("depth") + 1).alias("depth"), *extra
@@ -178,13 +199,11 @@ def resolve_hierarchy(
         left, stuck = climb.doubled(climb.start(unreached), "left")
         top = reached[-1].select(
             *g, F.col("id").alias("up"), "status", "top", F.col("depth").alias("top_depth"),
-            *([F.col("path").alias("top_path"), F.col("chain").alias("top_chain")] if named else []),
+            *[F.col(c).alias("top_" + c) for c in [*path_col, *chain_col]],
         )
-        extra = [
-            F.concat("top_path", F.lit(SEPARATOR), "trail").alias("path"),
-            # the node's own id ends its chain
-            F.concat("top_chain", F.array("up"), F.slice("chain", F.lit(1), F.size("chain") - 1)).alias("chain"),
-        ] if named else []
+        extra = [F.concat("top_path", F.lit(SEPARATOR), "trail").alias("path")] if named else []
+        above_own = F.slice("chain", F.lit(1), F.size("chain") - 1)  # the node's own id ends its chain
+        extra += [F.concat("top_chain", F.array("up"), above_own).alias("chain")] if ancestors else []
         reached.append(left.join(top, [*g, "up"]).select(
             *g, "id", "status", "top", (F.col("dist") + F.col("top_depth")).alias("depth"), *extra
         ))
@@ -192,15 +211,18 @@ def resolve_hierarchy(
             looped = scratch.cut(stuck.select(*g, "id").join(unreached, [*g, "id"]), "looped")
             on, _ = climb.doubled(climb.start(looped), "circle")
             circles = on
-            nothing = [F.lit(None).cast("string").alias("path"), F.array().cast("array<bigint>").alias("chain")] if named else []
+            no_path = [F.lit(None).cast("string").alias("path")] if named else []
             loop_cols = [F.lit("loop").alias("status"), F.col("low").alias("top")]
-            reached.append(on.select(*g, "id", *loop_cols, F.lit(0).cast("bigint").alias("depth"), *nothing))
+            reached.append(on.select(*g, "id", *loop_cols, F.lit(0).cast("bigint").alias("depth"), *no_path, *([above_own.alias("chain")] if ancestors else [])))
             hanging = looped.join(on, [*g, "id"], "left_anti")
             if not hanging.isEmpty():
                 tails, _ = climb.doubled(climb.start(hanging), "left")
+                circle = on.select(*g, F.col("id").alias("up"), "low", *([F.col("chain").alias("circle")] if ancestors else []))
                 reached.append(
-                    tails.drop("low").join(on.withColumnRenamed("id", "up"), [*g, "up"])
-                    .select(*g, "id", *loop_cols, F.col("dist").alias("depth"), *nothing)
+                    tails.drop("low").join(circle, [*g, "up"]).select(
+                        *g, "id", *loop_cols, F.col("dist").alias("depth"), *no_path,
+                        *([F.concat("circle", above_own).alias("chain")] if ancestors else []),
+                    )
                 )
     state = reached[0]
     for part in reached[1:]:
@@ -215,10 +237,8 @@ def resolve_hierarchy(
     joined = nodes.where(F.col("parent").isNotNull() & ~rooted).join(above, [*g, "parent"])
     loops = F.col("p_status") == "loop"
     is_top = F.col("p_status") == "missing"
-    extra = [
-        F.when(is_top, F.col("name")).when(~loops, F.concat("p_path", F.lit(SEPARATOR), "name")).alias("path"),
-        F.when(is_top | loops, F.array().cast("array<bigint>")).otherwise(F.concat("p_chain", F.array("parent"))).alias("chain"),
-    ] if named else []
+    extra = [F.when(is_top, F.col("name")).when(~loops, F.concat("p_path", F.lit(SEPARATOR), "name")).alias("path")] if named else []
+    extra += [F.when(is_top, nothing).otherwise(F.concat("p_chain", F.array("parent"))).alias("chain")] if ancestors else []
     result = joined.select(
         *g, "id", F.when(is_top, "orphan").otherwise(F.col("p_status")).alias("status"),
         F.when(is_top, F.col("id")).otherwise(F.col("p_top")).alias("top"),
@@ -229,19 +249,19 @@ def resolve_hierarchy(
         own = state.join(circles.select(*g, "id"), [*g, "id"], "left_semi")
         result = result.unionByName(own.select(*result.columns))
     tops = nodes.where(F.col("parent").isNull() | rooted) if not only_unrooted else nodes.where(F.col("parent").isNull())
-    extra = [F.col("name").alias("path"), F.array().cast("array<bigint>").alias("chain")] if named else []
+    extra = ([F.col("name").alias("path")] if named else []) + ([nothing] if ancestors else [])
     result = result.unionByName(tops.select(
         *g, "id", F.when(F.col("parent").isNull(), "orphan").otherwise("ok").alias("status"), F.col("id").alias("top"),
         F.lit(0).cast("bigint").alias("depth"), *extra,
     ))
     restored = [F.when(F.col(c) != _NULL, F.col(c)).alias(c) for c in g]
-    extra = [F.col("path").alias("full_path"), F.col("chain").alias("ancestors")] if named else []
+    extra = ([F.col("path").alias("full_path")] if named else []) + ([F.col("chain").alias("ancestors")] if ancestors else [])
     return result.select(*restored, "id", "status", "top", "depth", *extra)
 
 
 def descendants(resolved: DataFrame, groups: Sequence[str]) -> DataFrame:
     """(groups, ancestor, id, distance): every entry below every entry above it, from resolve_hierarchy's
-    ancestors. As many rows as the depths add up to."""
+    ancestors; entries on a circle are below each other. As many rows as the depths add up to."""
     steps = F.posexplode("ancestors").alias("_at", "ancestor")
     return resolved.select(*groups, "id", F.size("ancestors").alias("_n"), steps).select(
         *groups, "ancestor", "id", (F.col("_n") - F.col("_at")).cast("bigint").alias("distance")

@@ -50,10 +50,15 @@ def p3_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def p3_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every entry below every entry above it, and the steps between them."""
+    resolved = resolve_hierarchy(_links(spark, sf_dir), ["tab", "volume"], "seq", ancestors=True)
+    return descendants(resolved, ["tab", "volume"]).select("tab", "volume", F.col("ancestor").alias("top_frn"), F.col("id").alias("frn"), "distance")
+
+
 def p3_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For every entry with descendants: how many there are, and how deep they go."""
-    resolved = resolve_hierarchy(_links(spark, sf_dir, "name"), ["tab", "volume"], "seq", name="name")
-    return descendants(resolved, ["tab", "volume"]).groupBy("tab", "volume", F.col("ancestor").alias("frn")).agg(
+    return p3_pairs(spark, sf_dir).groupBy("tab", "volume", F.col("top_frn").alias("frn")).agg(
         F.count("*").alias("descendants"), F.max("distance").alias("height")
     )
 
@@ -70,6 +75,7 @@ QUERIES = {
     "p2_found": p2_found,
     "p3_found": p3_found,
     "p3_paths": p3_paths,
+    "p3_pairs": p3_pairs,
     "p3_descendants": p3_descendants,
     "p5_found": p5_found,
 }
@@ -97,21 +103,28 @@ _ENTRY = f"""
         UNION ALL
         SELECT tab, volume, frn, 'loop', list_min(way[list_position(way, next):]), CAST(list_position(way, next) - 1 AS BIGINT)
         FROM up WHERE list_contains(way, next))"""
+_PAIRS = f"""
+    {_ENTRY}, pair AS (
+        SELECT e.tab, e.volume, e.parent AS ancestor, e.frn, [e.frn, e.parent] AS way FROM entry e
+        JOIN entry p ON p.tab = e.tab AND p.volume = e.volume AND p.frn = e.parent WHERE (e.parent & {_LOW}) NOT IN (0, 5, {_LOW}) AND e.parent <> e.frn
+        UNION ALL
+        SELECT a.tab, a.volume, p.parent, a.frn, list_append(a.way, p.parent) FROM pair a JOIN entry p ON p.tab = a.tab AND p.volume = a.volume AND p.frn = a.ancestor
+        JOIN entry q ON q.tab = a.tab AND q.volume = a.volume AND q.frn = p.parent WHERE (p.parent & {_LOW}) NOT IN (0, 5, {_LOW}) AND NOT list_contains(a.way, p.parent))"""
 ORACLES = {
     "p2_found": f"""
         WITH {STATE} SELECT volume, frn AS file_reference_number, parent AS parent_file_reference_number, name AS file_name, attributes AS file_attributes FROM state""",
     "p3_found": f"WITH RECURSIVE {_ENTRY} SELECT * FROM lost",
-    "p3_descendants": f"""
-        WITH RECURSIVE {_ENTRY}, orphan AS (
-            SELECT e.tab, e.volume, e.frn, e.parent FROM rest e ANTI JOIN lost l ON l.tab = e.tab AND l.volume = e.volume AND l.frn = e.frn AND l.status = 'loop'),
-        member AS (SELECT tab, volume, frn FROM tree UNION ALL SELECT tab, volume, frn FROM orphan),
-        pair AS (
-            SELECT e.tab, e.volume, e.parent AS ancestor, e.frn, 1 AS distance FROM entry e JOIN member m ON m.tab = e.tab AND m.volume = e.volume AND m.frn = e.frn
-            JOIN entry p ON p.tab = e.tab AND p.volume = e.volume AND p.frn = e.parent WHERE (e.parent & {_LOW}) NOT IN (0, 5, {_LOW})
+    "p3_paths": f"""
+        WITH RECURSIVE {_ENTRY}, below AS (
+            SELECT l.tab, l.volume, l.frn, e.name AS path FROM lost l JOIN entry e ON e.tab = l.tab AND e.volume = l.volume AND e.frn = l.frn WHERE l.status = 'orphan' AND l.node_depth = 0
             UNION ALL
-            SELECT a.tab, a.volume, p.parent, a.frn, a.distance + 1 FROM pair a JOIN entry p ON p.tab = a.tab AND p.volume = a.volume AND p.frn = a.ancestor
-            JOIN entry q ON q.tab = a.tab AND q.volume = a.volume AND q.frn = p.parent WHERE (p.parent & {_LOW}) NOT IN (0, 5, {_LOW}))
-        SELECT tab, volume, ancestor AS frn, count(*) AS descendants, CAST(max(distance) AS BIGINT) AS height FROM pair GROUP BY tab, volume, ancestor""",
+            SELECT e.tab, e.volume, e.frn, b.path || chr(92) || e.name FROM below b JOIN rest e ON e.tab = b.tab AND e.volume = b.volume AND e.parent = b.frn)
+        SELECT tab, volume, frn, 'ok' AS status, top_frn, node_depth, volume || ':' || chr(92) || path AS full_path FROM tree
+        UNION ALL
+        SELECT l.*, l.volume || ':' || chr(92) || b.path FROM lost l LEFT JOIN below b ON b.tab = l.tab AND b.volume = l.volume AND b.frn = l.frn""",
+    "p3_pairs": f"WITH RECURSIVE {_PAIRS} SELECT tab, volume, ancestor AS top_frn, frn, CAST(len(way) - 1 AS BIGINT) AS distance FROM pair",
+    "p3_descendants": f"""
+        WITH RECURSIVE {_PAIRS} SELECT tab, volume, ancestor AS frn, count(*) AS descendants, CAST(max(len(way) - 1) AS BIGINT) AS height FROM pair GROUP BY tab, volume, ancestor""",
     "p5_found": f"""
         WITH item AS (SELECT snapshot_ts AS taken, full_path_lower AS k, arg_max(coalesce(size, -1), seq) AS size, arg_max({SECONDS}, seq) AS t
                       FROM snapshot_file_item GROUP BY 1, 2),

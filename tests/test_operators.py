@@ -107,6 +107,9 @@ def walk(rows):
     return out
 
 
+ORDER = [c.split()[0] for c in LINK.split(", ")]
+
+
 @pytest.mark.parametrize("levels", [0, 2, 6])
 def test_hierarchy(spark, levels):
     rows = [link("C", 5, 5), link("C", 10, 5), link("C", 20, 10), link("Z", 10, 5, name="Photos"), link("Z", 20, 10), link("C", 30, 999), link("C", 31, 30)]
@@ -116,13 +119,25 @@ def test_hierarchy(spark, levels):
     rows += [link("C", 20, 30, seq=-1), link(None, 70, (7 << 48) | 5), link(None, 71, 70), link("C", None, 10), link("C", (9 << 48) | 77, 10), link("C", 78, 77)]
     df = spark.createDataFrame(rows, LINK)
     want = walk(rows)
-    got = resolve_hierarchy(df, ["volume"], "seq", name="name", frontier_levels=levels)
+    got = resolve_hierarchy(df, ["volume"], "seq", name="name", frontier_levels=levels, ancestors=True)
     result = {(r["volume"], r["id"]): (r["status"], r["top"], r["depth"], r["full_path"]) for r in got.collect()}
     assert result == want and got.count() == len(want)
     bad = resolve_hierarchy(df, ["volume"], "seq", frontier_levels=levels, only_unrooted=True)
     assert {(r["volume"], r["id"]): (r["status"], r["top"], r["depth"]) for r in bad.collect()} == {k: v[:3] for k, v in want.items() if v[0] != "ok"}
     pairs = {(r["ancestor"], r["id"], r["distance"]) for r in descendants(got, ["volume"]).where("volume = 'C'").collect()}
     assert (10, 20, 1) in pairs and (10, 1299, 300) in pairs and (1000, 1299, 299) in pairs and (30, 31, 1) in pairs
+    parents = {}
+    for volume, i, parent, *_ in sorted((r for r in rows if r[0] == "C" and r[1] is not None), key=lambda r: dict(zip(ORDER, r))["seq"]):
+        parents[i] = parent
+    known = {i for v, i in want if v == "C"}
+    every = set()
+    for i in known:
+        at, way = i, [i]
+        while parents[at] in known and parents[at] not in way and not (parents[at] & LOW_48) in (0, 5, LOW_48):
+            at = parents[at]
+            way.append(at)
+            every.add((at, i, len(way) - 1))
+    assert pairs == every
 
 
 def test_hierarchy_empty(spark):
