@@ -1,11 +1,12 @@
 """The public API: one catalogue folder with its file index, document cache, and metadata tables.
 
-Every table is versioned: a change writes a new version and then moves the pointer, so readers always see a whole
-table, and a lost writer leaves the old version in place.
+Every table is versioned: a change writes a new version and then renames its number into place, so readers always see a whole
+table, a lost writer leaves the old version in place, and the later of two writers of one version fails.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -19,6 +20,7 @@ from lodestack.operators import content, fulltext, keyed
 from lodestack.operators.hierarchy import resolve_hierarchy
 from lodestack.operators.search import DEFAULT_LIMIT, Matches, list_directory, search
 from lodestack.plans.query_parser import ParsedQuery, parse
+from lodestack.session import Versions
 from lodestack.sources.files import index_files
 
 TABLES = {
@@ -35,30 +37,24 @@ class Catalog:
 
     # tables
 
-    def _fs(self, path: str):
-        jvm_path = self.spark._jvm.org.apache.hadoop.fs.Path(path)  # noqa: SLF001
-        return jvm_path.getFileSystem(self.spark._jsc.hadoopConfiguration()), jvm_path  # noqa: SLF001
+    def _versions(self, name: str) -> Versions:
+        return Versions(self.spark, f"{self.root}/{name}/versions")
 
     def version(self, name: str) -> int:
-        fs, path = self._fs(f"{self.root}/{name}/CURRENT")
-        if not fs.exists(path):
-            return 0
-        return int(self.spark.read.text(f"{self.root}/{name}/CURRENT").first()[0])
+        return self._versions(name).newest()[0]
 
     def read(self, name: str) -> DataFrame:
-        version = self.version(name)
-        if not version:
+        _, path = self._versions(name).newest()
+        if path is None:
             return self.spark.createDataFrame([], TABLES[name])
-        return self.spark.read.schema(TABLES[name]).parquet(f"{self.root}/{name}/v{version}")
+        return self.spark.read.schema(TABLES[name]).parquet(f"{self.root}/{name}/{path}")
 
     def write(self, name: str, rows: DataFrame) -> int:
         version = self.version(name) + 1
         columns = [c.strip().split(" ")[0] for c in TABLES[name].split(",")]
-        rows.select(*columns).write.mode("overwrite").parquet(f"{self.root}/{name}/v{version}")
-        fs, path = self._fs(f"{self.root}/{name}/CURRENT")
-        out = fs.create(path, True)
-        out.write(f"{version}\n".encode())
-        out.close()
+        path = f"v{version}-{uuid.uuid4().hex[:8]}"
+        rows.select(*columns).write.parquet(f"{self.root}/{name}/{path}")
+        self._versions(name).publish(version, path)
         return version
 
     def _rows(self, name: str, *rows: tuple) -> DataFrame:

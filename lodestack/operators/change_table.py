@@ -1,30 +1,45 @@
 """A table kept current from a change feed by delete vectors.
 
-Rows never change in place. A batch of changes is reduced to one image per key and journal segment, the images it
-supersedes are located through the key-to-position index and get their bits set in per-file bitmaps (delete
-vectors), and the new images are appended. Reads skip the positions whose bit is set.
-
-An image holds what the records of one key in one segment of the journal amount to, in a form that merges in any
-order: the last delete, the creates after it, the last new name and the last change of attributes, each with its
-usn. Merging takes maxima and a set union, so repeated records change nothing and late ones land where they
-belong; no record has to be seen in order, and nothing is lost when it arrives in a later batch than its
-successors.
+Rows never change in place. A batch of changes is reduced to one image per key; the images it supersedes are located
+through the key-to-position index and get their bits set in per-file bitmaps (delete vectors), and the merged images
+are appended. Reads skip the positions whose bit is set, and nothing else: every key has one live image.
+
+An image holds what the records of a key amount to, in a form that merges in any order: the last delete, the creates
+after it, the last new name and the last change of attributes, each with its usn. Merging takes maxima and a set
+union, so repeated records change nothing and late ones land where they belong.
+
+Images and index are laid out in buckets by a hash of the key. A batch reads the buckets its keys fall into, no others. The files
+and bitmaps that make up the table are listed in a manifest that is renamed into place after all of a batch is written:
+a table opened again, by another process or after a failure, is that of the last whole batch.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestack.session import Scratch
+from lodestack.session import Scratch, Versions, delete_folder
 
 #: Reason bits in order of precedence.
 REASON_BITS = (("create", 0x1), ("delete", 0x2), ("old_name", 0x20), ("new_name", 0x40), ("modify", 0x4))
 
-KEY = ["volume", "frn", "segment"]
-#: Journal bytes per segment. A record takes over 60 bytes of journal, so a key has under 70,000 records here.
+KEY = ["volume", "frn"]
+#: Journal bytes per segment: the records of a key are first reduced by segment, so a key with very many records is spread.
 SEGMENT_BYTES = 1 << 22
-PAYLOAD = "usn bigint, parent bigint, name string, attributes int"
+#: Buckets of a table, by a hash of the key.
+BUCKETS = 32
+#: Batches after which superseded images, their index entries and bitmaps are left behind.
+COMPACT_EVERY = 16
+_ROW = "struct<usn:bigint,parent:bigint,name:string,attributes:int>"
+IMAGE = f"volume string, frn bigint, deleted bigint, creates array<{_ROW}>, renamed {_ROW}, modified struct<usn:bigint,attributes:int>, bucket int"
+INDEX = "volume string, frn bigint, batch int, file string, pos bigint, bucket int"
+
+
+#: Files of one write bear the same name in several buckets.
+_FILE_SQL = "concat(bucket, '/', _metadata.file_name)"
 
 
 def classify(reason: Column) -> Column:
@@ -51,101 +66,131 @@ def journal_changes(records: DataFrame) -> DataFrame:
 
 
 def _tidy(deleted: Column, creates: Column) -> Column:
-    """The creates that the last known delete of the segment leaves standing."""
+    """The creates that the last known delete leaves standing."""
     return F.array_sort(F.array_distinct(F.filter(creates, lambda c: deleted.isNull() | (c["usn"] > deleted))))
 
 
-def segment_images(changes: DataFrame, segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
-    """One image per key and journal segment; partial aggregation comes before the shuffle, and the segment in
-    the key spreads a key with very many records over many groups."""
+def _merged(images: DataFrame, *keys: str) -> DataFrame:
+    """Images of equal keys as one."""
+    grouped = images.groupBy(*keys).agg(
+        F.max("deleted").alias("deleted"), F.flatten(F.collect_list("creates")).alias("creates"),
+        F.max("renamed").alias("renamed"), F.max("modified").alias("modified"),
+    )
+    return grouped.withColumn("creates", _tidy(F.col("deleted"), F.col("creates")))
+
+
+def key_images(changes: DataFrame, segment_bytes: int = SEGMENT_BYTES, buckets: int = BUCKETS) -> DataFrame:
+    """One image per key, with its bucket. Records are reduced by journal segment first, with partial aggregation before the
+    shuffle, and the few images of a key's segments are then merged where its bucket is."""
     full = F.struct("usn", "parent", "name", "attributes")
     seg = F.floor(F.col("usn") / F.lit(segment_bytes)).cast("bigint").alias("segment")
-    grouped = changes.groupBy("volume", "frn", seg).agg(
+    parts = changes.groupBy(*KEY, seg).agg(
         F.max(F.when(F.col("op") == "delete", F.col("usn"))).alias("deleted"),
         F.collect_set(F.when(F.col("op") == "create", full)).alias("creates"),
         F.max(F.when(F.col("op") == "new_name", full)).alias("renamed"),
         F.max(F.when(F.col("op").isin("new_name", "modify"), F.struct("usn", "attributes"))).alias("modified"),
     )
-    return grouped.withColumn("creates", _tidy(F.col("deleted"), F.col("creates")))
+    parts = parts.withColumn("creates", _tidy(F.col("deleted"), F.col("creates")))
+    bucket = F.pmod(F.xxhash64(*KEY), F.lit(buckets)).cast("int")
+    return _merged(parts.withColumn("bucket", bucket).repartition("bucket"), "bucket", *KEY)
 
 
 class ChangeTable:
-    """Images in append-only files under one folder, with their index and delete vectors."""
-
-    def __init__(self, spark: SparkSession, scratch: Scratch):
-        self.spark = spark
-        self.scratch = scratch
-        self.image_paths: list[str] = []
-        self.index: list[DataFrame] = []
-        self.vectors: DataFrame | None = None
-
-    def _scan(self) -> DataFrame:
-        """All images with the name and position of their row."""
-        at = [F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("pos")]
-        return self.spark.read.parquet(*self.image_paths).select("*", *at)
-
-    def _index(self) -> DataFrame:
-        """Key to batch, file and position of every image written so far."""
-        table = self.index[0]
-        for part in self.index[1:]:
-            table = table.unionByName(part)
-        return table
-
-    def apply(self, changes: DataFrame, segment_bytes: int = SEGMENT_BYTES) -> None:
+    """Images in append-only files under one folder, with their index and delete vectors. `notes` are a caller's own
+    values, kept in the manifest with the batch they belong to."""
+
+    def __init__(self, spark: SparkSession, folder: str, buckets: int = BUCKETS, compact_every: int = COMPACT_EVERY):
+        self.spark, self.folder, self.compact_every = spark, folder.rstrip("/"), compact_every
+        self.versions = Versions(spark, f"{self.folder}/manifest")
+        self.version, text = self.versions.newest()
+        state = json.loads(text) if text else {"buckets": buckets, "batches": 0, "images": [], "index": [], "vectors": [], "notes": {}}
+        self.state: dict = state
+
+    @property
+    def buckets(self) -> int:
+        return self.state["buckets"]
+
+    @property
+    def notes(self) -> dict:
+        return self.state["notes"]
+
+    def _path(self, name: str) -> str:
+        return f"{self.folder}/data/{self.state['batches']:06d}-{name}-{uuid.uuid4().hex[:8]}"
+
+    def _read(self, kind: str, schema: str, buckets: list[int] | None = None) -> DataFrame:
+        rows = self.spark.read.schema(schema).option("recursiveFileLookup", "false")
+        parts = [rows.parquet(p) for p in self.state[kind]]
+        out = parts[0]
+        for part in parts[1:]:
+            out = out.unionByName(part)
+        return out if buckets is None else out.where(F.col("bucket").isin(buckets))
+
+    def _positions(self, buckets: list[int] | None = None) -> DataFrame:
+        """Images with the name and position of their row."""
+        at = [F.expr(_FILE_SQL).alias("file"), F.col("_metadata.row_index").alias("pos")]
+        parts = [self.spark.read.schema(IMAGE).parquet(p).select("*", *at) for p in self.state["images"]]
+        out = parts[0]
+        for part in parts[1:]:
+            out = out.unionByName(part)
+        return out if buckets is None else out.where(F.col("bucket").isin(buckets))
+
+    def apply(self, changes: DataFrame, segment_bytes: int = SEGMENT_BYTES, notes: dict | None = None) -> None:
         """Apply one batch, whatever order its records and batches come in."""
-        batch = len(self.image_paths)
-        images = segment_images(changes, segment_bytes)
-        if batch:
-            images = self.scratch.cut(images, f"batch{batch}")
-            same = [F.col(f"i.{k}").eqNullSafe(F.col(f"n.{k}")) for k in KEY]
-            located = self.scratch.cut(
-                self._index().alias("i").join(images.select(*KEY).alias("n"), same, "left_semi"), f"located{batch}"
-            )
-            self.vectors = self._set_bits(located)
-            newest = located.groupBy(*KEY).agg(F.max(F.struct("batch", "file", "pos")).alias("at"))
-            old = (
-                self._scan().alias("o")
-                .join(newest.select("at.file", "at.pos").alias("w"), ["file", "pos"], "left_semi")
-                .drop("file", "pos")
-            )
-            images = images.unionByName(old).groupBy(*KEY).agg(
-                F.max("deleted").alias("deleted"),
-                F.flatten(F.collect_list("creates")).alias("creates"),
-                F.max("renamed").alias("renamed"),
-                F.max("modified").alias("modified"),
-            ).withColumn("creates", _tidy(F.col("deleted"), F.col("creates")))
-        path = self.scratch.path(f"images{batch}")
-        images.write.parquet(path)
-        self.image_paths.append(path)
-        written = self.spark.read.parquet(path).select(
-            *KEY, F.lit(batch).alias("batch"), F.col("_metadata.file_name").alias("file"),
-            F.col("_metadata.row_index").alias("pos"),
+        scratch = Scratch(self.spark, "batch")
+        fresh = images = key_images(changes, segment_bytes, self.buckets)
+        state = dict(self.state, vectors=list(self.state["vectors"]))
+        if state["images"]:
+            fresh = scratch.cut(images, "images")
+            touched = sorted(r[0] for r in fresh.select("bucket").distinct().collect())  # no more than there are buckets
+            same = [F.col(f"i.{k}").eqNullSafe(F.col(f"n.{k}")) for k in ["bucket", *KEY]]
+            found = self._read("index", INDEX, touched).alias("i").join(fresh.select("bucket", *KEY).alias("n"), same, "left_semi")
+            located = scratch.cut(found.groupBy("bucket", *KEY).agg(F.max(F.struct("batch", "file", "pos")).alias("at")).select("bucket", "at.file", "at.pos"), "located")
+            state["vectors"].append(self._write(self._bitmaps(located), "vectors"))
+            old = self._positions(touched).join(located, ["bucket", "file", "pos"], "left_semi").drop("file", "pos")
+            images = _merged(fresh.unionByName(old), "bucket", *KEY)
+        self._append(state, images, notes)
+        scratch.delete()
+        if len(self.state["images"]) >= self.compact_every:
+            self.compact()
+
+    def _write(self, rows: DataFrame, name: str, *by: str) -> str:
+        path = self._path(name)
+        (rows.write.partitionBy(*by) if by else rows.write).parquet(path)
+        return path
+
+    def _append(self, state: dict, images: DataFrame, notes: dict | None) -> None:
+        """Write images and their index, and make the state with them the table's."""
+        path = self._write(images.select(*KEY, "deleted", "creates", "renamed", "modified", "bucket"), "images", "bucket")
+        written = self.spark.read.schema(IMAGE).parquet(path).select(
+            *KEY, F.lit(state["batches"]).cast("int").alias("batch"), F.expr(_FILE_SQL).alias("file"), F.col("_metadata.row_index").alias("pos"), "bucket",
         )
-        self.index.append(self.scratch.cut(written, f"index{batch}"))
+        index = self._write(written, "index", "bucket")
+        state = dict(state, batches=state["batches"] + 1, images=[*state["images"], path], index=[*state["index"], index], notes=self.notes if notes is None else notes)
+        self.versions.publish(self.version + 1, json.dumps(state))
+        self.version, self.state = self.version + 1, state
 
-    def _set_bits(self, located: DataFrame) -> DataFrame:
-        """Delete vectors with the located positions set: one bitmap per file and 32,768 positions."""
+    def _bitmaps(self, located: DataFrame) -> DataFrame:
+        """Delete vectors of positions: one bitmap per file and 32,768 positions."""
         number = F.col("pos") + 1
-        fresh = located.groupBy("file", F.bitmap_bucket_number(number).alias("bucket")).agg(
+        return located.groupBy("file", F.bitmap_bucket_number(number).alias("part")).agg(
             F.bitmap_construct_agg(F.bitmap_bit_position(number)).alias("bits")
         )
-        if self.vectors is not None:
-            fresh = self.vectors.unionByName(fresh).groupBy("file", "bucket").agg(F.bitmap_or_agg("bits").alias("bits"))
-        return self.scratch.cut(fresh, "vectors")
 
     def live_images(self) -> DataFrame:
-        """The images whose position isn't set in their file's delete vector."""
-        images = self._scan()
-        if self.vectors is None:
-            return images.drop("file", "pos")
-        bucket = F.bitmap_bucket_number(F.col("pos") + 1)
+        """The images whose position isn't set in their file's delete vectors: one for each key."""
+        if not self.state["images"]:
+            return self.spark.createDataFrame([], IMAGE).drop("bucket")
+        images = self._positions()
+        if not self.state["vectors"]:
+            return images.drop("file", "pos", "bucket")
+        parts = self.spark.read.schema("file string, part bigint, bits binary").parquet(*self.state["vectors"])
+        vectors = parts.groupBy("file", "part").agg(F.bitmap_or_agg("bits").alias("bits"))
         bit = F.bitmap_bit_position(F.col("pos") + 1)
         byte = F.conv(F.hex(F.substring("bits", F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
         return (
-            images.withColumn("bucket", bucket)
-            .join(self.vectors, ["file", "bucket"], "left")
+            images.withColumn("part", F.bitmap_bucket_number(F.col("pos") + 1)).join(vectors, ["file", "part"], "left")
             .where(F.col("bits").isNull() | (F.getbit(byte, (bit % 8).cast("int")) == 0))
-            .drop("file", "bucket", "pos", "bits")
+            .drop("file", "part", "pos", "bits", "bucket")
         )
 
     def current(self) -> DataFrame:
@@ -154,16 +199,7 @@ class ChangeTable:
         A file exists if it was created after its last delete; the first such create stands (a create of a known
         file does nothing). Parent and name come from the last new name after it, attributes from the last new
         name or modification after it."""
-        per_key = self.live_images().groupBy("volume", "frn").agg(
-            F.max("deleted").alias("deleted"),
-            F.collect_list(F.get("creates", F.lit(0))).alias("creates"),
-            F.max("renamed").alias("renamed"),
-            F.max("modified").alias("modified"),
-        )
-        created = F.array_min(
-            F.filter("creates", lambda c: F.col("deleted").isNull() | (c["usn"] > F.col("deleted")))
-        )
-        standing = per_key.withColumn("created", created).where(F.col("created").isNotNull())
+        standing = self.live_images().withColumn("created", F.array_min("creates")).where(F.col("created").isNotNull())
         named = F.when(F.col("renamed.usn") > F.col("created.usn"), F.col("renamed")).otherwise(F.col("created"))
         attributes = F.when(F.col("modified.usn") > F.col("created.usn"), F.col("modified.attributes")).otherwise(
             F.col("created.attributes")
@@ -173,6 +209,17 @@ class ChangeTable:
             attributes.alias("attributes"),
         )
 
+    def compact(self) -> None:
+        """Write the live images anew, as one batch without vectors, and delete the files that no reader of this or the
+        version before needs."""
+        bucket = F.pmod(F.xxhash64(*KEY), F.lit(self.buckets)).cast("int")
+        before = [*self.state["images"], *self.state["index"], *self.state["vectors"]]
+        stale = self.state.get("stale", [])
+        state = dict(self.state, images=[], index=[], vectors=[], stale=before)
+        self._append(state, self.live_images().withColumn("bucket", bucket).repartition("bucket"), None)
+        for path in stale:
+            delete_folder(self.spark, path)
+
 
 def apply_feed(
     spark: SparkSession, records: DataFrame, batches: int = 3, segment_bytes: int = SEGMENT_BYTES
@@ -183,7 +230,7 @@ def apply_feed(
     first batch; records of one usn that differ are resolved towards the greater values. Only the journal's own columns are read."""
     changes = journal_changes(records)
     low, high = changes.agg(F.min("arrival"), F.max("arrival")).first()
-    table = ChangeTable(spark, Scratch(spark, "changes"))
+    table = ChangeTable(spark, Scratch(spark, "changes").root)
     if low is None:
         table.apply(changes, segment_bytes)
         return table.current()

@@ -1,5 +1,8 @@
 import json
 
+import pytest
+
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from lodestack import schemas
@@ -7,6 +10,7 @@ from lodestack.catalog import Catalog
 from lodestack.operators.change_table import apply_feed
 from lodestack.sources import files as sources
 from lodestack.sources.tables import table
+from lodestack.session import Versions
 from lodestack.streaming.journal import JournalMonitor, gaps, read_journal
 from tests.conftest import DATA
 
@@ -87,6 +91,51 @@ def test_stream_equals_batch(spark, tmp_path):
     monitor.stop()
 
 
+def test_stream_goes_on_after_a_restart(spark, tmp_path):
+    records = table(spark, DATA, "usn_record_v2")
+    journal, checkpoint = f"file://{tmp_path}/journal", f"file://{tmp_path}/cp"
+    middle = records.agg(F.expr("percentile(read_no, 0.5)")).first()[0]
+    records.where(F.col("read_no") <= middle).coalesce(1).write.parquet(journal)
+    first = JournalMonitor(spark)
+    first.start(read_journal(spark, journal, 1), checkpoint).awaitTermination()
+    records.where(F.col("read_no") > middle).coalesce(1).write.mode("append").parquet(journal)
+    second = JournalMonitor(spark)  # knows nothing but the checkpoint
+    second.start(read_journal(spark, journal, 1), checkpoint).awaitTermination()
+    assert second.last_batch == first.last_batch + 1 and second.batch_size > 0 and set(second.next_usn) >= set(first.next_usn)
+    got, want = second.table.current(), apply_feed(spark, records)
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
+def test_restarts_after_failures(spark, tmp_path):
+    table(spark, DATA, "usn_record_v2").limit(50).coalesce(1).write.parquet(f"file://{tmp_path}/journal")
+    calls = []
+
+    def sink(files):
+        calls.append(1)
+        if len(calls) < 2:
+            raise ValueError("the sink is away")
+
+    monitor = JournalMonitor(spark, sink=sink)
+    monitor.keep_running(read_journal(spark, f"file://{tmp_path}/journal"), f"file://{tmp_path}/cp", wait=0.01, continuous=False)
+    monitor.stop()
+    assert monitor.last_batch == 0 and len(calls) == 2
+    broken = JournalMonitor(spark, sink=lambda files: 1 / 0)
+    broken.apply = lambda records, batch: 1 / 0
+    with pytest.raises(StreamingQueryException):
+        broken.keep_running(read_journal(spark, f"file://{tmp_path}/journal"), f"file://{tmp_path}/cp2", attempts=2, wait=0.01, continuous=False)
+
+
+def test_versions_are_whole(spark, tmp_path):
+    versions = Versions(spark, f"file://{tmp_path}/v")
+    assert versions.newest() == (0, None)
+    versions.publish(1, "a")
+    versions.publish(2, "b")
+    with pytest.raises(RuntimeError):
+        versions.publish(2, "c")
+    (tmp_path / "v" / ".3-left").write_text("half")  # a writer that died
+    assert versions.newest() == (2, "b")
+
+
 def test_gaps(spark):
     committed = spark.createDataFrame([("C", 100), ("D", 100)], "volume string, next_usn bigint")
     records = spark.createDataFrame([("C", 150), ("C", 5_000_000), ("D", 2_000_000), ("E", 9_000_000)], "volume string, usn bigint")
@@ -107,7 +156,7 @@ def test_rescan_on_gap(spark):
     monitor.stop()
     monitor.stop()
     assert sizes == [1]
-    assert lost == ["C"] and monitor.next_usn == {"C": 3_000_080} and len(monitor.table.image_paths) == 2
+    assert lost == ["C"] and monitor.next_usn == {"C": 3_000_080} and len(monitor.table.state["images"]) == 2
 
 
 def test_command_line(spark, tmp_path, capsys):

@@ -61,13 +61,31 @@ def test_changes_in_any_order(spark, seed, batches, segment):
     assert {tuple(r) for r in got} == replay(rows)
 
 
-def test_change_table_vectors(spark):
-    table = ChangeTable(spark, Scratch(spark, "test"))
-    rows = [(1, "K", 7, 5, 100, 1, 0, "old", "", 0), (2, "K", 8, 5, 110, 1, 0, "other", "", 0), (3, "K", 7, 9, 120, 64, 1, "new", "", 0)]
+def test_change_table_vectors(spark, tmp_path):
+    folder = f"file://{tmp_path}/table"
+    rows = [(1, "K", 7, 5, 100, 1, 0, "old", "", 0), (2, "K", 8, 5, 110, 1, 0, "other", "", 0), (3, "K", 7, 9, 5_000_000_000, 64, 1, "new", "", 0)]
     for row in rows:
-        table.apply(journal_changes(spark.createDataFrame([row], RECORD)))
-    assert table.live_images().count() == 2  # one image per key and segment stays live
-    assert {(r["frn"], r["name"], r["parent"]) for r in table.current().collect()} == {(7, "new", 9), (8, "other", 5)}
+        table = ChangeTable(spark, folder)  # opened again each time
+        table.apply(journal_changes(spark.createDataFrame([row], RECORD)), notes={"last": row[0]})
+    assert ChangeTable(spark, folder).notes == {"last": 3}
+    assert table._positions().count() == 3 and table.live_images().count() == 2  # the renamed file's first image is superseded
+    files = {(7, "new", 9), (8, "other", 5)}
+    assert {(r["frn"], r["name"], r["parent"]) for r in table.current().collect()} == files
+    table.compact()
+    assert table._positions().count() == 2 and {(r["frn"], r["name"], r["parent"]) for r in ChangeTable(spark, folder).current().collect()} == files
+    behind = ChangeTable(spark, folder)
+    table.apply(journal_changes(spark.createDataFrame(rows[:1], RECORD)))
+    with pytest.raises(RuntimeError):  # another writer was first
+        behind.apply(journal_changes(spark.createDataFrame(rows[:1], RECORD)))
+    assert {(r["frn"], r["name"], r["parent"]) for r in ChangeTable(spark, folder).current().collect()} == files
+
+
+def test_change_table_compacts(spark, tmp_path):
+    rows = random_feed(7, 120)
+    table = ChangeTable(spark, f"file://{tmp_path}/table", buckets=3, compact_every=3)
+    for k in range(5):
+        table.apply(journal_changes(spark.createDataFrame(rows[k::5], RECORD)))
+    assert len(table.state["images"]) < 3 and {tuple(r) for r in table.current().select("volume", "frn", "parent", "name", "attributes").collect()} == replay(rows)
 
 
 def test_changes_empty(spark):
