@@ -10,7 +10,9 @@ against the bigrams of the languages in the corpus itself:
 * E step: every unit of text (letters around non-ASCII characters) gets the posterior of being clean, or of being the
   image of a clean text under each cipher, from the bigram probability of its original and of what it deciphers to;
 * M step: the share of each cipher in each source, the byte-to-letter mapping of each cipher (expected counts of each
-  substitution), and the bigram counts, now of the deciphered text.
+  substitution), and the bigram counts, now of all readings by their posteriors;
+* units that no known swap explains, but that look like letters shown by wrong characters, are deciphered without knowing a
+  page: substitution.py learns the letter of each character for each source, from its neighbours alone.
 
 Ciphers of one byte per letter are applied with translate() by their mapping. Most swaps here involve UTF-8 or GBK,
 where a letter is several bytes, which no translate() can restore; those are deciphered by encoding and decoding.
@@ -31,7 +33,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestack.session import ship_package
+from lodestack.llm import substitution
+from lodestack.session import Scratch, ship_package
 
 #: Sizes of the hashed bigram and character tables.
 BIGRAMS, CHARS = 1 << 20, 1 << 16
@@ -52,6 +55,12 @@ DISCOUNT = 0.005
 #: Weight of a suspect unit in the counts as it stands.
 SUSPECT = 0.001
 CLASSES = 16
+#: Readings with lower log odds take no part in the sums.
+NEGLIGIBLE = -4.5
+#: Sources share so many sets of ciphers' shares, by a hash.
+SLOTS = 1024
+#: Sets of sources among which a pair of characters must be spread to belong to the language.
+SPREAD = 64
 #: Control characters that no text contains, but the upper half of code pages does (U+0085 is a line end).
 CONTROL = re.compile("[\x80-\x84\x86-\x9f]")
 MOST_REMEMBERED = 50_000
@@ -177,58 +186,135 @@ class Bigrams:
         self.chars += np.bincount(a, weight, CHARS)
         self.classes += np.bincount(CLASS[a] * CLASSES + CLASS[b], weight, CLASSES**2).reshape(CLASSES, CLASSES)
 
+    def probability(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Of character b after character a, by code."""
+        pair, a, b = self.cells(np.stack([a, b], axis=1).astype(np.uint64).ravel())
+        pair, a, b = pair[::2], a[::2], b[::2]
+        return self._smoothed(pair, a, b)
+
+    def _smoothed(self, pair: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        rough = self.follows[CLASS[a], CLASS[b]] * self.inside[b]
+        kept = np.maximum(self.pairs[pair] - np.where(a == 0, DISCOUNT / 10, DISCOUNT) * self.chars[a], 0.0)
+        return (kept + self.smooth * rough) / (self.chars[a] + self.smooth)
+
+    def logs(self, units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Log probabilities of all neighbours of the units, the codes, and where each unit begins."""
+        codes, at = self.codes(units)
+        return np.log(self._smoothed(*self.cells(codes))), codes, at
+
     def score(self, units: list[str]) -> np.ndarray:
         """Log probability of each unit."""
         if not units:
             return np.zeros(0)
-        codes, at = self.codes(units)
-        pair, a, b = self.cells(codes)
-        rough = self.follows[CLASS[a], CLASS[b]] * self.inside[b]
-        kept = np.maximum(self.pairs[pair] - np.where(a == 0, DISCOUNT / 10, DISCOUNT) * self.chars[a], 0.0)
-        p = (kept + self.smooth * rough) / (self.chars[a] + self.smooth)
-        return np.add.reduceat(np.log(p), at)
+        logs, _, at = self.logs(units)
+        return np.add.reduceat(logs, at)
+
+    def page(self, name: str) -> np.ndarray:
+        """Log probabilities of neighbouring bytes of a one-byte code page, flat; byte 0 is the border."""
+        codes = np.arange(256)
+        codes[0x80:] = [ord(c) for _, c in sorted(code_page(name).items())]
+        a, b = np.meshgrid(codes, codes, indexing="ij")
+        return np.log(self.probability(a.ravel(), b.ravel()))
+
+
+@dataclass(frozen=True)
+class Reading:
+    """The best cipher of a unit (-1: it is clean), its log odds against the unit as it stands, what it deciphers to, and all
+    readings (cipher, posterior, text) that aren't negligible; `clean` is the posterior of the unit as it stands."""
+
+    cipher: int
+    odds: float
+    text: str
+    options: tuple[tuple[int, float, str], ...]
+    clean: float
 
 
 class Decipherer:
-    """The E step: the best reading of each unit, and its log odds against the unit as it stands."""
+    """The E step: the posterior of each cipher for each unit. One-byte readings are scored by tables of the bytes."""
 
     def __init__(self, model: Bigrams, shares: dict[str, dict[str, float]]):
         self.model = model
         self.shares = shares
-        self.known: dict[str, dict[str, tuple[int, float, str]]] = {}
+        self.pages = {name: model.page(name) for name in SINGLE}
+        self.known: dict[str, dict[str, Reading]] = {}
 
-    def log_share(self, source: str, index: int) -> float:
-        default = GARBLED / len(CIPHERS)
-        return float(np.log(self.shares.get(source, {}).get(CIPHERS[index].name, default)))
+    def priors(self, source: str) -> np.ndarray:
+        own, default = self.shares.get(source, {}), GARBLED / len(CIPHERS)
+        return np.log([own.get(c.name, default) for c in CIPHERS])
 
-    def read(self, source: str, units: list[str]) -> dict[str, tuple[int, float, str]]:
-        """unit -> (cipher or -1, log odds, deciphered)."""
+    def read(self, source: str, units: list[str]) -> dict[str, Reading]:
         known = self.known.setdefault(source, {})
         fresh = [u for u in dict.fromkeys(units) if u not in known]
         if len(known) > MOST_REMEMBERED:
             known.clear()
             fresh = list(dict.fromkeys(units))
-        if fresh:
-            plain = self.model.score([u.replace("\0", LOST) for u in fresh])
-            owner, which, texts = [], [], []
-            for i, unit in enumerate(fresh):
-                for k, text in readings(unit):
-                    if text != unit and text.count(LOST) * 4 <= len(text):
+        if not fresh:
+            return known
+        prior, plain = self.priors(source), self.model.score([u.replace("\0", LOST) for u in fresh])
+        found: list[list[tuple[int, float, str | None]]] = [[] for _ in fresh]
+        by_shown: dict[str, list[int]] = {}
+        for i, unit in enumerate(fresh):
+            for shown in _shown_as(unit):
+                by_shown.setdefault(shown, []).append(i)
+        owner, which, texts, sure = [], [], [], []
+        for shown, members in by_shown.items():
+            raws = [_bytes_of(fresh[i], shown) for i in members]
+            members = [i for i, raw in zip(members, raws) if raw is not None]
+            raws = [raw for raw in raws if raw is not None]
+            if not raws:
+                continue
+            flat = np.frombuffer(b"\0" + b"\0".join(raws) + b"\0", dtype=np.uint8).astype(np.int32)
+            at = np.flatnonzero(flat == 0)[:-1]
+            cells = flat[:-1] * 256 + flat[1:]
+            alone = np.array([len(fresh[i]) == 1 for i in members])
+            for k in _BY_SHOWN[shown]:
+                cipher = CIPHERS[k]
+                if cipher.written in SINGLE:
+                    if shown == "utf-8":
+                        continue
+                    odds = np.add.reduceat(self.pages[cipher.written][cells], at) - plain[members] + prior[k]
+                    for j in np.flatnonzero((odds > NEGLIGIBLE) & ~alone):
+                        found[members[j]].append((k, float(odds[j]), _text_of(raws[j], cipher.written)))
+                    continue
+                if shown == "utf-8" and cipher.written != "gbk":
+                    continue
+                for i, raw in zip(members, raws):
+                    if len(fresh[i]) == 1 and shown in SINGLE or _VALID[cipher.written].search(raw) is None:
+                        continue
+                    text = _text_of(raw, cipher.written)
+                    if cipher.times == 2:
+                        again = _bytes_of(text, shown)
+                        text = _text_of(again, cipher.written) if again is not None else fresh[i]
+                    if text == fresh[i]:
+                        continue
+                    replaced = cipher.written == "utf-8" and b"\xef\xbf\xbd" in raw  # letters were lost before it was read wrongly
+                    if replaced or text.count(LOST) * 4 <= len(text):
                         owner.append(i)
                         which.append(k)
                         texts.append(text.replace("\0", LOST))
-            best = {}
-            if texts:
-                prior = np.array([self.log_share(source, k) for k in range(len(CIPHERS))])
-                odds = self.model.score(texts) - plain[owner] + prior[which]
-                for i, k, text, odd in zip(owner, which, texts, odds):
-                    if odd > best.get(i, (-1, 0.0, ""))[1]:
-                        best[i] = (k, float(odd), text)
-            for i, unit in enumerate(fresh):
-                known[unit] = best.get(i, (-1, 0.0, unit))
+                        sure.append(replaced)
+        if texts:
+            odds = np.where(sure, 50.0, self.model.score(texts) - plain[owner] + prior[which])
+            for i, k, text, odd in zip(owner, which, texts, odds.tolist()):
+                if odd > NEGLIGIBLE:
+                    found[i].append((k, odd, text))
+        for unit, options in zip(fresh, found):
+            known[unit] = _reading(unit, options)
         return known
 
 
+def _reading(unit: str, options: list[tuple[int, float, str]]) -> Reading:
+    if not options:
+        return Reading(-1, 0.0, unit, (), 1.0)
+    k, odd, text = max(options, key=lambda x: (x[1], -x[0]))
+    top = max(0.0, odd)
+    total = np.exp(-top) + sum(np.exp(o - top) for _, o, _ in options)
+    kept = tuple((c, float(np.exp(o - top) / total), t) for c, o, t in options)
+    clean = float(np.exp(-top) / total)
+    # units likelier clean than anything else count as such: a rare sign in many rows mustn't become a cipher by small shares
+    return Reading(k, odd, text, kept, clean) if odd > 0 else Reading(-1, 0.0, unit, (), 1.0)
+
+
 #: By code page shown: the characters it has, their bytes as characters of the same number, and the ciphers.
 _REPERTOIRE = {c: frozenset(code_page(c).values()) for c in SINGLE}
 _BYTES = {c: {ord(char): chr(byte) for byte, char in code_page(c).items()} for c in SINGLE}
@@ -237,6 +323,26 @@ for _k, _c in enumerate(CIPHERS):
     _BY_SHOWN.setdefault(_c.shown, []).append(_k)
 
 
+#: A reading in several bytes a letter must hold at least one whole letter.
+_VALID = {"utf-8": re.compile(b"[\xc2-\xf4][\x80-\xbf]"), "gbk": re.compile(b"[\x81-\xfe][\x40-\xfe]"), "big5": re.compile(b"[\x81-\xfe][\x40-\xfe]")}
+_SHOWN: dict[frozenset, tuple[str, ...]] = {}
+
+
+def _shown_as(unit: str) -> tuple[str, ...]:
+    """The code pages that have the unit's characters."""
+    special = frozenset(c for c in unit if c > "\x7f")
+    if special not in _SHOWN:
+        if len(_SHOWN) > MOST_REMEMBERED:
+            _SHOWN.clear()
+        highest = max(special)
+        if highest >= "⺀" and highest != LOST:
+            pages = tuple(c for c in MULTI if c != "utf-8")
+        else:
+            pages = tuple(c for c in SINGLE if special <= _REPERTOIRE[c]) + (("utf-8",) if highest < "ࠀ" else ())
+        _SHOWN[special] = pages
+    return _SHOWN[special]
+
+
 def _bytes_of(unit: str, shown: str) -> bytes | None:
     if shown in SINGLE:
         return unit.translate(_BYTES[shown]).encode("latin-1") if {c for c in unit if c > "\x7f"} <= _REPERTOIRE[shown] else None
@@ -256,16 +362,10 @@ def _text_of(raw: bytes, written: str, errors: str = "replace") -> str:
         return "".join(page.get(byte, chr(byte)) for byte in raw)
 
 
-def readings(unit: str, errors: str = "replace") -> Iterator[tuple[int, str]]:
+def readings(unit: str, errors: str = "replace", written: tuple[str, ...] = (*SINGLE, *MULTI)) -> Iterator[tuple[int, str]]:
     """What the unit deciphers to under each cipher that can have shown its characters. A lone letter is no evidence
     for any cipher that gives a letter for a letter. errors: 'strict' leaves out what can't be decoded whole."""
-    special = {c for c in unit if c > "\x7f"}
-    highest = max(special)
-    if highest >= "⺀" and highest != LOST:
-        shown_as = [c for c in MULTI if c != "utf-8"]
-    else:
-        shown_as = [c for c in SINGLE if special <= _REPERTOIRE[c]] + (["utf-8"] if highest < "ࠀ" else [])
-    for shown in shown_as:
+    for shown in _shown_as(unit):
         raw = _bytes_of(unit, shown)
         if raw is None:
             continue
@@ -273,7 +373,7 @@ def readings(unit: str, errors: str = "replace") -> Iterator[tuple[int, str]]:
             cipher = CIPHERS[k]
             if len(unit) == 1 and (shown in SINGLE or cipher.written in SINGLE):
                 continue
-            if shown == "utf-8" and cipher.written != "gbk":
+            if cipher.written not in written or shown == "utf-8" and cipher.written != "gbk":
                 continue
             try:
                 text = _text_of(raw, cipher.written, errors)
@@ -332,7 +432,7 @@ def suspect(unit: str) -> bool:
     """Whether the unit looks less strange in one of its strict readings, or no stranger as UTF-8, which other text
     hardly ever is."""
     own = strangeness(unit)
-    for k, text in readings(unit, "strict"):
+    for k, text in readings(unit, "strict", ("utf-8",) if own == 0 else (*SINGLE, *MULTI)):  # nothing is less strange than 0
         if text != unit and strangeness(text) < own + (CIPHERS[k].written == "utf-8"):
             return True
     return False
@@ -354,49 +454,61 @@ def _batch_units(batch: pa.RecordBatch) -> tuple[list[str], list[list[str]]]:
     return batch.column(0).to_pylist(), [UNIT.findall(t) for t in batch.column(1).to_pylist()]
 
 
-def _learn(model: Bigrams | None, shares: dict):
-    """One scan: rows (kind, source, cell, value) of the tables of the next round."""
+def _by_source(sources: list[str], units: list[list[str]]) -> dict[str, dict[str, int]]:
+    out: dict[str, dict[str, int]] = {}
+    for source, row in zip(sources, units):
+        number = out.setdefault(source, {})
+        for u in row:
+            number[u] = number.get(u, 0) + 1
+    return out
+
+
+def _learn(model: Bigrams | None, shares: dict, last: bool = False):
+    """One scan: rows (kind, source, cell, name, value) of the tables of the next round. last: also the pairs of characters outside
+    ASCII by source, in SPREAD sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, reader = Bigrams(), Decipherer(model, shares) if model is not None else None
         mass: dict[tuple[str, str], float] = {}
         letters: dict[tuple[str, str], float] = {}
         suspects: dict[str, bool] = {}
+        spread: dict[str, dict[int, float]] = {}
         for batch in _pieces(batches):
-            sources, units = _batch_units(batch)
-            for source in dict.fromkeys(sources):
-                number: dict[str, int] = {}
-                for s, row in zip(sources, units):
-                    if s == source:
-                        for u in row:
-                            number[u] = number.get(u, 0) + 1
-                names = list(number)
-                weights = np.array([number[u] for u in names], dtype=float)
-                if reader is not None:
-                    read = reader.read(source, names)
-                    for u, n in zip(names, weights):
-                        k, odds, text = read[u]
-                        if k >= 0:
-                            sure = 1 / (1 + np.exp(-min(odds, 50.0)))
-                            key = (source, CIPHERS[k].name)
-                            mass[key] = mass.get(key, 0.0) + sure * n
-                            if CIPHERS[k].written in SINGLE and CIPHERS[k].shown in SINGLE:
-                                for a, b in zip(u, text):
-                                    if a != b:
-                                        letters[key[1], a + b] = letters.get((key[1], a + b), 0.0) + sure * n
-                    mass[source, ""] = mass.get((source, ""), 0.0) + float(weights.sum())
-                if len(suspects) > MOST_REMEMBERED:
-                    suspects.clear()
-                for i, u in enumerate(names):
-                    if reader is None or read[u][0] < 0:
+            for source, number in _by_source(*_batch_units(batch)).items():
+                read = reader.read(source, list(number)) if reader is not None else None
+                names, weights = [], []
+                for u, n in number.items():
+                    options = read[u].options if read is not None else ()
+                    for k, p, text in options:
+                        key = (source, CIPHERS[k].name)
+                        mass[key] = mass.get(key, 0.0) + p * n
+                        names.append(text.replace("\0", LOST))
+                        weights.append(p * n)
+                        if CIPHERS[k].written in SINGLE and CIPHERS[k].shown in SINGLE:
+                            for a, b in zip(u, text):
+                                if a != b:
+                                    letters[key[1], a + b] = letters.get((key[1], a + b), 0.0) + p * n
+                    clean = n * (read[u].clean if read is not None else 1.0)
+                    if read is None or read[u].cipher < 0:
                         if u not in suspects:
+                            if len(suspects) > MOST_REMEMBERED:
+                                suspects.clear()
                             suspects[u] = suspect(u)
-                        if suspects[u]:
-                            weights[i] *= SUSPECT
-                if reader is not None:
-                    names = [read[u][2] if read[u][0] >= 0 else u for u in names]
-                counts.add([u.replace("\0", LOST) for u in names], weights)
-        rows = [("pair", "", int(i), "", float(counts.pairs[i])) for i in np.flatnonzero(counts.pairs)]
+                        clean *= SUSPECT if suspects[u] else 1.0
+                    names.append(u.replace("\0", LOST))
+                    weights.append(clean)
+                mass[source, ""] = mass.get((source, ""), 0.0) + float(sum(number.values()))
+                counts.add(names, np.array(weights, dtype=float))
+                if last and names:
+                    codes, at = Bigrams.codes(names)
+                    low = (codes[:-1] < substitution.BEYOND) & (codes[1:] < substitution.BEYOND) & ((codes[:-1] >= 0x80) | (codes[1:] >= 0x80))
+                    weight = np.repeat(np.array(weights, dtype=float), np.diff(np.append(at, len(codes) - 1)))
+                    cells, place = np.unique(codes[:-1][low].astype(np.int64) << 16 | codes[1:][low].astype(np.int64), return_inverse=True)
+                    part = spread.setdefault(str(int(source or 0) % SPREAD), {})
+                    for cell, n in zip(cells.tolist(), np.bincount(place, weight[low], len(cells)).tolist()):
+                        part[cell] = part.get(cell, 0.0) + n
+        rows = [("spread", "", cell, part, n) for part, found in spread.items() for cell, n in found.items()]
+        rows += [("pair", "", int(i), "", float(counts.pairs[i])) for i in np.flatnonzero(counts.pairs)]
         rows += [("char", "", int(i), "", float(counts.chars[i])) for i in np.flatnonzero(counts.chars)]
         rows += [("class", "", int(i), "", float(counts.classes.ravel()[i])) for i in np.flatnonzero(counts.classes)]
         rows += [("share", s, 0, c, v) for (s, c), v in mass.items()]
@@ -407,21 +519,65 @@ def _learn(model: Bigrams | None, shares: dict):
     return run
 
 
+def _unexplained(learned: Learned):
+    """Counts of neighbours (source, kind, a, b, n) of units; kind 'odd': of units that no known cipher explains and that look
+    likelier as letters shown by unknown characters than as they stand. a = b = -1: the number of units."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = Decipherer(learned.model, learned.shares)
+        counts: dict[tuple[str, str, int, int], float] = {}
+        for batch in _pieces(batches):
+            slots, units = _batch_units(batch)
+            sources = batch.column(2).to_pylist()
+            slot_of = dict(zip(sources, slots))
+            for source, number in _by_source(sources, units).items():
+                low = [u for u in number if max(u) < chr(substitution.BEYOND)]
+                if not low:
+                    continue
+                read = reader.read(slot_of[source], low)
+                names = low
+                codes, at = Bigrams.codes([u.replace("\0", LOST) for u in names])
+                special = codes >= 0x80
+                touched = special[:-1] | special[1:]
+                plain = np.add.reduceat(learned.language.logs(codes), at)
+                unknown = -np.add.reduceat(substitution.UNKNOWN * special[:-1] + substitution.STEP * touched, at)
+                odd = (plain < unknown + substitution.PRIOR) & np.array([read[u].cipher < 0 for u in names])
+                number_of = np.array([float(number[u]) for u in names])
+                lengths = np.diff(np.append(at, len(codes) - 1))
+                pairs = codes[:-1].astype(np.int64) << 16 | codes[1:].astype(np.int64)
+                for kind, which in (("odd", odd), ("even", ~odd)):
+                    inside = np.repeat(which, lengths) & touched
+                    cells, place = np.unique(pairs[inside], return_inverse=True)
+                    for cell, n in zip(cells.tolist(), np.bincount(place, np.repeat(number_of, lengths)[inside], len(cells)).tolist()):
+                        key = (source, kind, cell >> 16, cell & 0xFFFF)
+                        counts[key] = counts.get(key, 0.0) + n
+                    key = (source, kind, -1, -1)
+                    counts[key] = counts.get(key, 0.0) + float(number_of[which].sum())
+        yield from substitution.count_rows(counts)
+
+    return run
+
+
 @dataclass
 class Learned:
     model: Bigrams
     shares: dict[str, dict[str, float]]
     letters: dict[str, dict[str, str]]
+    language: substitution.Language
 
 
 def learn(texts: DataFrame, rounds: int = 3) -> Learned:
     """EM over texts (source, text). The first scan counts bigrams as they stand, suspects at a low weight; each
     further round is one E and M step. What is collected is bounded by the sizes of the tables."""
     model, shares, letters = None, {}, {}
-    for _ in range(rounds):
-        found = texts.mapInArrow(
-            _learn(model, shares), "kind string, source string, cell bigint, name string, value double"
-        ).groupBy("kind", "source", "cell", "name").agg(F.sum("value").alias("value")).toArrow()
+    for k in range(rounds):
+        counted = texts.mapInArrow(
+            _learn(model, shares, k == rounds - 1), "kind string, source string, cell bigint, name string, value double"
+        ).groupBy("kind", "source", "cell", "name").agg(F.sum("value").alias("value"))
+        among = F.col("kind") == "spread"  # what all sources but the largest have of a pair
+        found = counted.groupBy("kind", "source", "cell", F.when(~among, F.col("name")).otherwise("").alias("name")).agg(
+            (F.sum("value") - F.max(F.when(among, F.col("value")).otherwise(0.0))).alias("value")
+        ).toArrow()
         kind = np.array(found.column("kind").to_pylist(), dtype=object)
         cell, value = found.column("cell").to_numpy(), found.column("value").to_numpy()
         pairs, chars, classes = np.zeros(BIGRAMS), np.zeros(CHARS), np.zeros(CLASSES**2)
@@ -433,11 +589,8 @@ def learn(texts: DataFrame, rounds: int = 3) -> Learned:
         if not first:
             rows = [r for r in found.filter(pa.array(np.isin(kind, ["share", "letter"]))).to_pylist()]
             total = {r["source"]: r["value"] for r in rows if r["kind"] == "share" and not r["name"]}
-            shares = {s: {} for s in total}
-            for s in total:
-                mass = {r["name"]: r["value"] for r in rows if r["kind"] == "share" and r["name"] and r["source"] == s}
-                for c in CIPHERS:
-                    shares[s][c.name] = (mass.get(c.name, 0.0) + 0.02) / (total[s] + 1.0)
+            mass = {(r["source"], r["name"]): r["value"] for r in rows if r["kind"] == "share" and r["name"]}
+            shares = {s: {c.name: (mass.get((s, c.name), 0.0) + 0.02) / (total[s] + 1.0) for c in CIPHERS} for s in total}
             best: dict[tuple[str, str], tuple[float, str]] = {}
             for r in rows:
                 if r["kind"] == "letter":
@@ -446,7 +599,7 @@ def learn(texts: DataFrame, rounds: int = 3) -> Learned:
             letters = {}
             for (c, a), (_, b) in best.items():
                 letters.setdefault(c, {})[a] = b
-    return Learned(model, shares, letters)
+    return Learned(model, shares, letters, substitution.Language(cell[kind == "spread"], value[kind == "spread"], model.chars))
 
 
 def _restored_line(line: str, hit: dict, tables: dict[int, dict]) -> str:
@@ -471,46 +624,69 @@ def _restore(learned: Learned, odds_needed: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Decipherer(learned.model, learned.shares)
+        swapped: dict[tuple[str, str], dict[str, tuple[float, str]]] = {}
+
+        def swap(shown: str, letters: str, units: list[str]) -> dict[str, tuple[float, str]]:
+            """The units that the source's own swap explains better than anything else: log odds, deciphered."""
+            known, table = swapped.setdefault((shown, letters), {}), str.maketrans(shown, letters)
+            fresh = [u for u in dict.fromkeys(units) if u not in known and u.translate(table) != u]
+            if fresh:
+                texts = [u.translate(table) for u in fresh]
+                (codes, at), (own, _) = Bigrams.codes(texts), Bigrams.codes(fresh)  # equal lengths, so equal places
+                odds = np.add.reduceat(learned.language.logs(codes) - learned.language.logs(own), at) + substitution.PRIOR
+                known.update(zip(fresh, zip(odds.tolist(), texts)))
+            return known
+
         for batch in _pieces(batches):
-            sources, units = _batch_units(batch)
-            texts = batch.column(1).to_pylist()
+            slots, units = _batch_units(batch)
+            texts, shown, letters, throughout = (batch.column(i).to_pylist() for i in (1, 3, 4, 5))
+            for slot, number in _by_source(slots, units).items():
+                reader.read(slot, list(number))
             found, restored, lost, kinds = [], [], [], []
-            for source in dict.fromkeys(sources):
-                read = reader.read(source, [u for s, row in zip(sources, units) if s == source for u in row])
-                for i, (s, row) in enumerate(zip(sources, units)):
-                    if s != source:
-                        continue
-                    hit = {u: read[u] for u in row if read[u][0] >= 0 and read[u][1] > odds_needed}
-                    if not hit and LOST not in texts[i] and not CONTROL.search(texts[i]):
-                        continue
-
-                    text = "\n".join(_restored_line(line, hit, tables) for line in texts[i].split("\n")) if hit else texts[i]
-                    found.append(i)
-                    restored.append(text)
-                    lost.append(LOST in text)
-                    kinds.append(sorted({CIPHERS[k].name for k, _, _ in hit.values()}))
+            for i, (slot, row) in enumerate(zip(slots, units)):
+                read = reader.read(slot, row)
+                hit = {u: (read[u].cipher, read[u].odds, read[u].text) for u in row if read[u].cipher >= 0 and read[u].odds > odds_needed}
+                if shown[i]:
+                    own = swap(shown[i], letters[i], row)
+                    hit.update({u: (LEARNED, *own[u]) for u in row if u in own and (throughout[i] or own[u][0] > max(odds_needed, hit[u][1] if u in hit else 0.0))})
+                if not hit and LOST not in texts[i] and not CONTROL.search(texts[i]):
+                    continue
+                text = "\n".join(_restored_line(line, hit, tables) for line in texts[i].split("\n")) if hit else texts[i]
+                found.append(i)
+                restored.append(text)
+                lost.append(LOST in text)
+                kinds.append(sorted({"learned" if k == LEARNED else CIPHERS[k].name for k, _, _ in hit.values()}))
             if found:
                 keep = batch.take(pa.array(found))
                 yield pa.RecordBatch.from_arrays(
-                    [keep.column(2), keep.column(3), pa.array(restored, pa.string()), pa.array(lost), pa.array(kinds, pa.list_(pa.string()))],
+                    [keep.column(6), keep.column(7), pa.array(restored, pa.string()), pa.array(lost), pa.array(kinds, pa.list_(pa.string()))],
                     ["tab", "rec_key", "restored", "lost", "ciphers"],
                 )
 
     return run
 
 
+#: Number of a source's own swap among the ciphers.
+LEARNED = len(CIPHERS)
+
+
 def garbled(texts: DataFrame, rounds: int = 3, odds_needed: float = 1.0) -> DataFrame:
     """(tab, rec_key, restored, lost, ciphers) of the rows of texts (tab, rec_key, source, text) that are, wholly or
-    partly, text read with a wrong encoding. lost: characters were replaced by U+FFFD and can't come back.
+    partly, text read with a wrong encoding. lost: characters were replaced by U+FFFD and can't come back. ciphers: the
+    swaps found in it; 'learned' is one of the source's own, whose page isn't known.
 
     odds_needed: log odds of garbled against clean from which a unit counts. Defined cases: null and empty texts and
     texts in ASCII aren't garbled; a null source is a source; repeated rows give repeated results; no rows give none.
     """
+    scratch = Scratch(texts.sparkSession, "garbled")
     ship_package(texts.sparkSession)
+    source = F.coalesce("source", F.lit(""))
     rows = texts.where(F.col("text").rlike(r"[^\x00-\x7f]")).select(
-        F.coalesce("source", F.lit("")).alias("source"), "text", "tab", "rec_key"
+        F.pmod(F.xxhash64(source), F.lit(SLOTS)).cast("string").alias("slot"), "text", source.alias("source"), "tab", "rec_key"
     )
-    learned = learn(rows.select("source", "text"), rounds)
+    learned = learn(rows.select(F.col("slot").alias("source"), "text"), rounds)
+    own = scratch.cut(substitution.learn_substitutions(rows.select("slot", "text", "source"), _unexplained(learned), learned.language), "own")
+    rows = rows.join(own.drop("gain"), "source", "left").select("slot", "text", "source", "shown", "letters", "throughout", "tab", "rec_key")
     return rows.mapInArrow(
         _restore(learned, odds_needed), "tab string, rec_key string, restored string, lost boolean, ciphers array<string>"
     )

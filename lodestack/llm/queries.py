@@ -36,11 +36,11 @@ def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _garbled(spark: SparkSession, sf_dir: str) -> DataFrame:
     contents = table(spark, sf_dir, "doc_cache").select(
-        F.lit("doc_cache").alias("tab"), F.col("path").alias("rec_key"), F.lit("doc_cache").alias("source"),
+        F.lit("doc_cache").alias("tab"), F.col("path").alias("rec_key"), F.concat(F.lit("doc_cache "), F.regexp_extract("path", r"^[^\\/]*[\\/]*[^\\/]*", 0)).alias("source"),
         F.col("content").alias("text"),
     )
     names = table(spark, sf_dir, "file_index").select(
-        F.lit("file_index").alias("tab"), F.col("seq").cast("string").alias("rec_key"), F.lit("file_index").alias("source"),
+        F.lit("file_index").alias("tab"), F.col("seq").cast("string").alias("rec_key"), F.concat_ws(" ", F.lit("file_index"), "volume").alias("source"),
         F.col("name").alias("text"),
     )
     return garbled(contents.unionByName(names))
