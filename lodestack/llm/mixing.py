@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 
 from lodestack.session import Scratch, ship_package
 
-VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
+#: A file of the public tokenizers, by its name there; or any path.
+VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: More sources than this are refused: their targets are collected to the driver.
 MOST_SOURCES = 10_000
 GRID = 16
@@ -36,7 +37,7 @@ def _encoding(vocabulary: str):
     import public_tokenizers
     import tiktoken
 
-    with open(vocabulary, "rb") as lines:
+    with open(vocabulary if "/" in vocabulary else public_tokenizers.path(vocabulary), "rb") as lines:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
     return tiktoken.Encoding("mix", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
@@ -69,7 +70,8 @@ def mix_sources(
 ) -> tuple[DataFrame, DataFrame]:
     """Copies (doc_id, source, tokens, copies) of docs (doc_id, text, source) so that each source of targets (source,
     target_share, max_repeats) has its share of all tokens, and the report (source, target_share, wanted_share, texts,
-    available_tokens, used_tokens, actual_share, most_copies).
+    available_tokens, used_tokens, actual_share, most_copies, balanced). balanced: the rates met the source's goal before rounding,
+    within `tolerance` and `iterations`.
 
     total_tokens: the size wanted; null: the largest for which no source must repeat a text beyond its max_repeats.
     If a given total can't be reached by a source, it gives all it may, and the report shows the gap.
@@ -114,7 +116,7 @@ def mix_sources(
     goal = {s: min(live[s] * total, most[s]) for s in live}
     mean = {s: stats[s]["tokens"] / stats[s]["texts"] for s in live}
     used = texts.where(F.col("source").isin(list(live)))
-    rate = _balance(used, goal, mean, {s: cap[s] for s in live}, most, iterations, tolerance) if live else F.lit(0.0)
+    rate, met = _balance(used, goal, mean, {s: cap[s] for s in live}, most, iterations, tolerance) if live else (F.lit(0.0), set())
     copies = _rounded(used, rate, goal, mean, cap, live) if live else F.lit(0)
     chosen = used.select("doc_id", "source", "tokens", copies.cast("bigint").alias("copies")).where("copies > 0")
     taken = {
@@ -126,12 +128,12 @@ def mix_sources(
     report = [
         (s, share[s], live.get(s, 0.0), int(stats[s]["texts"]) if s in stats else 0, int(stats[s]["tokens"]) if s in stats else 0,
          int(taken[s]["used"]) if s in taken else 0, taken[s]["used"] / everything if s in taken else 0.0,
-         int(taken[s]["most"]) if s in taken else 0)
+         int(taken[s]["most"]) if s in taken else 0, s in met)
         for s in sorted(share)
     ]
     return chosen, spark.createDataFrame(report, (
         "source string, target_share double, wanted_share double, texts bigint, available_tokens bigint, "
-        "used_tokens bigint, actual_share double, most_copies bigint"
+        "used_tokens bigint, actual_share double, most_copies bigint, balanced boolean"
     ))
 
 
@@ -142,8 +144,9 @@ def _rate(multiplier: dict[str, float], mean: dict[str, float], cap: dict[str, i
     return F.least(F.exp(F.least(exponent, F.lit(50.0))), limit)
 
 
-def _balance(texts: DataFrame, goal, mean, cap, most, iterations: int, tolerance: float) -> Column:
-    """The rates that give each source its goal of tokens: distributed Newton iterations on the dual."""
+def _balance(texts: DataFrame, goal, mean, cap, most, iterations: int, tolerance: float) -> tuple[Column, set[str]]:
+    """The rates that give each source its goal of tokens, by distributed Newton iterations on the dual, and the sources whose
+    goal they meet."""
     at = {s: 0.0 for s in goal}
     low, high = {s: -60.0 for s in goal}, {s: 60.0 for s in goal}
     done: set[str] = set()
@@ -170,7 +173,7 @@ def _balance(texts: DataFrame, goal, mean, cap, most, iterations: int, tolerance
             low[s], high[s] = (low[s], at[s]) if error > 0 else (at[s], high[s])
             step = at[s] - error / slope if slope > 0 else math.inf
             at[s] = step if low[s] < step < high[s] else (low[s] + high[s]) / 2
-    return _rate(at, mean, cap)
+    return _rate(at, mean, cap), done
 
 
 def _rounded(texts: DataFrame, rate: Column, goal, mean, cap, live) -> Column:

@@ -24,7 +24,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -229,6 +229,11 @@ class Reading:
     clean: float
 
 
+CLEAN = Reading(-1, 0.0, "", (), 1.0)
+#: Log likelihood ratio of a reading that needs no comparison.
+SURE = 1e6
+
+
 class Decipherer:
     """The E step: the posterior of each cipher for each unit. One-byte readings are scored by tables of the bytes."""
 
@@ -236,21 +241,39 @@ class Decipherer:
         self.model = model
         self.shares = shares
         self.pages = {name: model.page(name) for name in SINGLE}
-        self.known: dict[str, dict[str, Reading]] = {}
+        #: By unit: (cipher, log likelihood ratio, text) of the readings that any source's prior could make count.
+        self.known: dict[str, tuple[tuple[int, float, str], ...]] = {}
+        self.prior_of: dict[str, np.ndarray] = {}
+        self.judged: dict[tuple[str, str], Reading] = {}
 
     def priors(self, source: str) -> np.ndarray:
-        own, default = self.shares.get(source, {}), GARBLED / len(CIPHERS)
-        return np.log([own.get(c.name, default) for c in CIPHERS])
-
-    def read(self, source: str, units: list[str]) -> dict[str, Reading]:
-        known = self.known.setdefault(source, {})
-        fresh = [u for u in dict.fromkeys(units) if u not in known]
-        if len(known) > MOST_REMEMBERED:
-            known.clear()
-            fresh = list(dict.fromkeys(units))
+        if source not in self.prior_of:
+            own, default = self.shares.get(source, {}), GARBLED / len(CIPHERS)
+            self.prior_of[source] = np.log([own.get(c.name, default) for c in CIPHERS])
+        return self.prior_of[source]
+
+    def one(self, source: str, unit: str) -> Reading:
+        """The reading of a unit that `read` has seen."""
+        options = self.known[unit]
+        if not options:
+            return CLEAN
+        if (source, unit) not in self.judged:
+            if len(self.judged) > MOST_REMEMBERED:
+                self.judged.clear()
+            prior = self.priors(source)
+            self.judged[source, unit] = _reading([(k, odds + float(prior[k]), text) for k, odds, text in options])
+        return self.judged[source, unit]
+
+    def read(self, units: Iterable[str]) -> None:
+        """Make the units known; those of a call are known until the next."""
+        units = dict.fromkeys(units)
+        if len(self.known) > MOST_REMEMBERED:
+            self.known.clear()
+        known = self.known
+        fresh = [u for u in units if u not in known]
         if not fresh:
-            return known
-        prior, plain = self.priors(source), self.model.score([u.replace("\0", LOST) for u in fresh])
+            return
+        plain = self.model.score([u.replace("\0", LOST) for u in fresh])
         found: list[list[tuple[int, float, str | None]]] = [[] for _ in fresh]
         by_shown: dict[str, list[int]] = {}
         for i, unit in enumerate(fresh):
@@ -272,7 +295,7 @@ class Decipherer:
                 if cipher.written in SINGLE:
                     if shown == "utf-8":
                         continue
-                    odds = np.add.reduceat(self.pages[cipher.written][cells], at) - plain[members] + prior[k]
+                    odds = np.add.reduceat(self.pages[cipher.written][cells], at) - plain[members]
                     for j in np.flatnonzero((odds > NEGLIGIBLE) & ~alone):
                         found[members[j]].append((k, float(odds[j]), _text_of(raws[j], cipher.written)))
                     continue
@@ -294,25 +317,24 @@ class Decipherer:
                         texts.append(text.replace("\0", LOST))
                         sure.append(replaced)
         if texts:
-            odds = np.where(sure, 50.0, self.model.score(texts) - plain[owner] + prior[which])
+            odds = np.where(sure, SURE, self.model.score(texts) - plain[owner])
             for i, k, text, odd in zip(owner, which, texts, odds.tolist()):
                 if odd > NEGLIGIBLE:
                     found[i].append((k, odd, text))
-        for unit, options in zip(fresh, found):
-            known[unit] = _reading(unit, options)
-        return known
+        known.update(zip(fresh, map(tuple, found)))
 
 
-def _reading(unit: str, options: list[tuple[int, float, str]]) -> Reading:
+def _reading(options: list[tuple[int, float, str]]) -> Reading:
+    options = [x for x in options if x[1] > NEGLIGIBLE]
     if not options:
-        return Reading(-1, 0.0, unit, (), 1.0)
+        return CLEAN
     k, odd, text = max(options, key=lambda x: (x[1], -x[0]))
     top = max(0.0, odd)
     total = np.exp(-top) + sum(np.exp(o - top) for _, o, _ in options)
     kept = tuple((c, float(np.exp(o - top) / total), t) for c, o, t in options)
     clean = float(np.exp(-top) / total)
     # units likelier clean than anything else count as such: a rare sign in many rows mustn't become a cipher by small shares
-    return Reading(k, odd, text, kept, clean) if odd > 0 else Reading(-1, 0.0, unit, (), 1.0)
+    return Reading(k, odd, text, kept, clean) if odd > 0 else CLEAN
 
 
 #: By code page shown: the characters it has, their bytes as characters of the same number, and the ciphers.
@@ -472,24 +494,28 @@ def _learn(model: Bigrams | None, shares: dict, last: bool = False):
         mass: dict[tuple[str, str], float] = {}
         letters: dict[tuple[str, str], float] = {}
         suspects: dict[str, bool] = {}
-        spread: dict[str, dict[int, float]] = {}
+        spread: dict[int, float] = {}
         for batch in _pieces(batches):
-            for source, number in _by_source(*_batch_units(batch)).items():
-                read = reader.read(source, list(number)) if reader is not None else None
-                names, weights = [], []
+            names, weights, parts = [], [], []
+            by_source = _by_source(*_batch_units(batch))
+            if reader is not None:
+                reader.read(u for number in by_source.values() for u in number)
+            for source, number in by_source.items():
+                part = int(source or 0) % SPREAD
                 for u, n in number.items():
-                    options = read[u].options if read is not None else ()
-                    for k, p, text in options:
+                    read = reader.one(source, u) if reader is not None else CLEAN
+                    for k, p, text in read.options:
                         key = (source, CIPHERS[k].name)
                         mass[key] = mass.get(key, 0.0) + p * n
                         names.append(text.replace("\0", LOST))
                         weights.append(p * n)
+                        parts.append(part)
                         if CIPHERS[k].written in SINGLE and CIPHERS[k].shown in SINGLE:
                             for a, b in zip(u, text):
                                 if a != b:
                                     letters[key[1], a + b] = letters.get((key[1], a + b), 0.0) + p * n
-                    clean = n * (read[u].clean if read is not None else 1.0)
-                    if read is None or read[u].cipher < 0:
+                    clean = n * read.clean
+                    if read.cipher < 0:
                         if u not in suspects:
                             if len(suspects) > MOST_REMEMBERED:
                                 suspects.clear()
@@ -497,17 +523,18 @@ def _learn(model: Bigrams | None, shares: dict, last: bool = False):
                         clean *= SUSPECT if suspects[u] else 1.0
                     names.append(u.replace("\0", LOST))
                     weights.append(clean)
+                    parts.append(part)
                 mass[source, ""] = mass.get((source, ""), 0.0) + float(sum(number.values()))
-                counts.add(names, np.array(weights, dtype=float))
-                if last and names:
-                    codes, at = Bigrams.codes(names)
-                    low = (codes[:-1] < substitution.BEYOND) & (codes[1:] < substitution.BEYOND) & ((codes[:-1] >= 0x80) | (codes[1:] >= 0x80))
-                    weight = np.repeat(np.array(weights, dtype=float), np.diff(np.append(at, len(codes) - 1)))
-                    cells, place = np.unique(codes[:-1][low].astype(np.int64) << 16 | codes[1:][low].astype(np.int64), return_inverse=True)
-                    part = spread.setdefault(str(int(source or 0) % SPREAD), {})
-                    for cell, n in zip(cells.tolist(), np.bincount(place, weight[low], len(cells)).tolist()):
-                        part[cell] = part.get(cell, 0.0) + n
-        rows = [("spread", "", cell, part, n) for part, found in spread.items() for cell, n in found.items()]
+            counts.add(names, np.array(weights, dtype=float))
+            if last and names:
+                codes, at = Bigrams.codes(names)
+                low = (codes[:-1] < substitution.BEYOND) & (codes[1:] < substitution.BEYOND) & ((codes[:-1] >= 0x80) | (codes[1:] >= 0x80))
+                lengths = np.diff(np.append(at, len(codes) - 1))
+                keys = np.repeat(np.array(parts, np.int64), lengths)[low] << 32 | codes[:-1][low].astype(np.int64) << 16 | codes[1:][low].astype(np.int64)
+                cells, place = np.unique(keys, return_inverse=True)
+                for cell, n in zip(cells.tolist(), np.bincount(place, np.repeat(np.array(weights, dtype=float), lengths)[low], len(cells)).tolist()):
+                    spread[cell] = spread.get(cell, 0.0) + n
+        rows = [("spread", "", cell & 0xFFFFFFFF, str(cell >> 32), n) for cell, n in spread.items()]
         rows += [("pair", "", int(i), "", float(counts.pairs[i])) for i in np.flatnonzero(counts.pairs)]
         rows += [("char", "", int(i), "", float(counts.chars[i])) for i in np.flatnonzero(counts.chars)]
         rows += [("class", "", int(i), "", float(counts.classes.ravel()[i])) for i in np.flatnonzero(counts.classes)]
@@ -529,30 +556,30 @@ def _unexplained(learned: Learned):
         for batch in _pieces(batches):
             slots, units = _batch_units(batch)
             sources = batch.column(2).to_pylist()
-            slot_of = dict(zip(sources, slots))
-            for source, number in _by_source(sources, units).items():
-                low = [u for u in number if max(u) < chr(substitution.BEYOND)]
-                if not low:
-                    continue
-                read = reader.read(slot_of[source], low)
-                names = low
-                codes, at = Bigrams.codes([u.replace("\0", LOST) for u in names])
-                special = codes >= 0x80
-                touched = special[:-1] | special[1:]
-                plain = np.add.reduceat(learned.language.logs(codes), at)
-                unknown = -np.add.reduceat(substitution.UNKNOWN * special[:-1] + substitution.STEP * touched, at)
-                odd = (plain < unknown + substitution.PRIOR) & np.array([read[u].cipher < 0 for u in names])
-                number_of = np.array([float(number[u]) for u in names])
-                lengths = np.diff(np.append(at, len(codes) - 1))
-                pairs = codes[:-1].astype(np.int64) << 16 | codes[1:].astype(np.int64)
-                for kind, which in (("odd", odd), ("even", ~odd)):
-                    inside = np.repeat(which, lengths) & touched
-                    cells, place = np.unique(pairs[inside], return_inverse=True)
-                    for cell, n in zip(cells.tolist(), np.bincount(place, np.repeat(number_of, lengths)[inside], len(cells)).tolist()):
-                        key = (source, kind, cell >> 16, cell & 0xFFFF)
-                        counts[key] = counts.get(key, 0.0) + n
-                    key = (source, kind, -1, -1)
-                    counts[key] = counts.get(key, 0.0) + float(number_of[which].sum())
+            slot_of, by_source = dict(zip(sources, slots)), _by_source(sources, units)
+            reader.read(u for number in by_source.values() for u in number)
+            every = list(by_source)
+            low = [(i, u, n) for i, source in enumerate(every) for u, n in by_source[source].items() if max(u) < chr(substitution.BEYOND)]
+            if not low:
+                continue
+            codes, at = Bigrams.codes([u.replace("\0", LOST) for _, u, _ in low])
+            special = codes >= 0x80
+            touched = special[:-1] | special[1:]
+            plain = np.add.reduceat(learned.language.logs(codes), at)
+            unknown = -np.add.reduceat(substitution.UNKNOWN * special[:-1] + substitution.STEP * touched, at)
+            odd = plain < unknown + substitution.PRIOR
+            odd &= np.array([reader.one(slot_of[every[i]], u).cipher < 0 for i, u, _ in low])
+            number_of, owner = np.array([float(n) for _, _, n in low]), np.array([i for i, _, _ in low], np.int64) * 2 + odd
+            lengths = np.diff(np.append(at, len(codes) - 1))
+            pairs = np.repeat(owner, lengths)[touched] << 32 | codes[:-1][touched].astype(np.int64) << 16 | codes[1:][touched].astype(np.int64)
+            cells, place = np.unique(pairs, return_inverse=True)
+            for cell, n in zip(cells.tolist(), np.bincount(place, np.repeat(number_of, lengths)[touched], len(cells)).tolist()):
+                key = (every[cell >> 33], "odd" if cell >> 32 & 1 else "even", cell >> 16 & 0xFFFF, cell & 0xFFFF)
+                counts[key] = counts.get(key, 0.0) + n
+            for cell, n in enumerate(np.bincount(owner, number_of).tolist()):
+                if n:
+                    key = (every[cell >> 1], "odd" if cell & 1 else "even", -1, -1)
+                    counts[key] = counts.get(key, 0.0) + n
         yield from substitution.count_rows(counts)
 
     return run
@@ -640,12 +667,11 @@ def _restore(learned: Learned, odds_needed: float):
         for batch in _pieces(batches):
             slots, units = _batch_units(batch)
             texts, shown, letters, throughout = (batch.column(i).to_pylist() for i in (1, 3, 4, 5))
-            for slot, number in _by_source(slots, units).items():
-                reader.read(slot, list(number))
+            reader.read(u for row in units for u in row)
             found, restored, lost, kinds = [], [], [], []
             for i, (slot, row) in enumerate(zip(slots, units)):
-                read = reader.read(slot, row)
-                hit = {u: (read[u].cipher, read[u].odds, read[u].text) for u in row if read[u].cipher >= 0 and read[u].odds > odds_needed}
+                readings_of = {u: reader.one(slot, u) for u in row}
+                hit = {u: (x.cipher, x.odds, x.text) for u, x in readings_of.items() if x.cipher >= 0 and x.odds > odds_needed}
                 if shown[i]:
                     own = swap(shown[i], letters[i], row)
                     hit.update({u: (LEARNED, *own[u]) for u in row if u in own and (throughout[i] or own[u][0] > max(odds_needed, hit[u][1] if u in hit else 0.0))})
