@@ -15,12 +15,12 @@ from pyspark.sql import functions as F
 from lodestack import schemas
 from lodestack.functions.extract import extract
 from lodestack.functions.paths import content_candidates, is_skipped_by_indexer
-from lodestack.functions.scalars import file_name, snippet
+from lodestack.functions.scalars import file_name, search_tokens, snippet
 from lodestack.operators import content, fulltext, keyed
 from lodestack.operators.hierarchy import resolve_hierarchy
 from lodestack.operators.search import DEFAULT_LIMIT, Matches, list_directory, search
 from lodestack.plans.query_parser import ParsedQuery, parse
-from lodestack.session import Versions
+from lodestack.session import Scratch, Versions
 from lodestack.sources.files import index_files
 
 TABLES = {
@@ -31,6 +31,18 @@ TABLES = {
 HISTORY_LIMIT, CONTENT_LIMIT, KNOWLEDGE_LIMIT, BATCH = 20, 200, 50, 50
 
 
+INDEX_FIELDS = ("folded", "content", "name")
+
+
+def tokenised(docs: DataFrame) -> DataFrame:
+    """(key, tokens of each field) of documents (path, content), as the text indexes take them."""
+    text = F.coalesce("content", F.lit(""))
+    return docs.select(
+        F.col("path").alias("key"), fulltext.folded_tokens(text).alias("folded"), search_tokens(text).alias("content"),
+        search_tokens(file_name(F.translate("path", "/", "\\"))).alias("name"),
+    )
+
+
 class Catalog:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -57,6 +69,9 @@ class Catalog:
         self._versions(name).publish(version, path)
         return version
 
+    def _text_index(self, name: str) -> fulltext.InvertedIndex:
+        return fulltext.InvertedIndex(self.spark, f"{self.root}/{name}", INDEX_FIELDS)
+
     def _rows(self, name: str, *rows: tuple) -> DataFrame:
         return self.spark.createDataFrame(list(rows), TABLES[name])
 
@@ -101,10 +116,15 @@ class Catalog:
         wanted = files.where(~is_skipped_by_indexer(F.lower("path")))
         cached = self.read("doc_cache")
         same = (wanted["path"] == cached["path"]) & (wanted["mtime"] == cached["mtime"])
-        fresh = extract(wanted.join(cached.select("path", "mtime"), same, "left_anti"))
-        return self.write("doc_cache", keyed.upsert(cached, fresh, ["path"], "mtime"))
+        scratch = Scratch(self.spark, "documents")
+        fresh = scratch.cut(extract(wanted.join(cached.select("path", "mtime"), same, "left_anti")), "fresh")
+        self._text_index("doc_cache_index").upsert(tokenised(fresh))
+        version = self.write("doc_cache", keyed.upsert(cached, fresh, ["path"], "mtime"))
+        scratch.delete()
+        return version
 
     def remove_documents(self, paths: DataFrame) -> int:
+        self._text_index("doc_cache_index").delete(paths.select(F.col("path").alias("key")))
         return self.write("doc_cache", keyed.delete_keys(self.read("doc_cache"), paths, ["path"]))
 
     def index_stats(self) -> DataFrame:
@@ -122,6 +142,10 @@ class Catalog:
         docs = self.read("doc_cache").join(files.select(F.col("full_path").alias("path")), "path", "left_semi")
         return content.search_content(files, docs, parsed.content_phrase, limit)
 
+    def search_phrase(self, phrase: str) -> DataFrame:
+        """Cached documents (path) with a phrase of whole tokens, from the index."""
+        return self._text_index("doc_cache_index").phrase("folded", fulltext.fold_query(self.spark, phrase)).select(F.col("key").alias("path"))
+
     def preview(self, path: str, keyword: str, context: int = 3) -> DataFrame:
         return content.preview(self.read("doc_cache").where(F.col("path") == path), keyword, context).orderBy("line_number")
 
@@ -142,15 +166,16 @@ class Catalog:
     def index_knowledge(self, docs: DataFrame) -> int:
         """Add documents (path, content); a path that is added again is replaced."""
         changes = docs.select("path", "content", F.lit(0).alias("_order"))
+        self._text_index("knowledge_index").upsert(tokenised(docs))
         return self.write("knowledge", keyed.upsert(self.read("knowledge"), changes, ["path"], "_order"))
 
     def clear_knowledge(self) -> int:
+        self._text_index("knowledge_index").delete(self.read("knowledge").select(F.col("path").alias("key")))
         return self.write("knowledge", self.read("knowledge").limit(0))
 
     def search_knowledge(self, query: str, limit: int = KNOWLEDGE_LIMIT) -> DataFrame:
         docs = self.read("knowledge")
-        fields = {"content": F.col("content"), "name": file_name(F.translate("path", "/", "\\"))}
-        best = fulltext.bm25(docs, query, fields, "path", limit)
+        best = self._text_index("knowledge_index").bm25(query, ("content", "name"), limit).withColumnRenamed("key", "path")
         words = query.split()
         return best.join(docs, "path").select(
             F.col("path").alias("file_path"), file_name(F.translate("path", "/", "\\")).alias("file_name"),
@@ -162,7 +187,9 @@ class Catalog:
 
     def remove_folder(self, folder: str) -> int:
         """Remove a folder and the documents below it."""
-        self.write("knowledge", self.read("knowledge").where(~F.col("path").startswith(folder.rstrip("/\\"))))
+        below = F.col("path").startswith(folder.rstrip("/\\"))
+        self._text_index("knowledge_index").delete(self.read("knowledge").where(below).select(F.col("path").alias("key")))
+        self.write("knowledge", self.read("knowledge").where(~below))
         return self.write("knowledge_folders", self.read("knowledge_folders").where(F.col("folder") != folder))
 
     def folders(self) -> DataFrame:

@@ -22,7 +22,7 @@ NOISY_ENDS = (
     "consolehost_history.txt", ".bash_history", ".zsh_history", ".node_repl_history", ".python_history", "doc_cache.db",
     "index_cache.bin",
 )
-NOISY_PARTS = ("\\psreadline\\", "\\.system_generated\\", "\\appdata\\local\\temp\\", "\\.vscode\\", "\\.idea\\")
+NOISY_PARTS = ("\\psreadline\\", "\\.gemini\\", "\\antigravity-cli\\", "\\.system_generated\\", "\\appdata\\local\\temp\\", "\\.vscode\\", "\\.idea\\")
 INDEXER_PARTS = ("\\node_modules\\", "\\.git\\", "\\appdata\\", "\\windows\\", "\\$recycle.bin\\", "\\temp\\")
 SKIPPED_FOLDERS = ("node_modules", "target")
 #: The largest file whose content is searched, and the largest that the ranked index takes.

@@ -29,8 +29,8 @@ REASON_BITS = (("create", 0x1), ("delete", 0x2), ("old_name", 0x20), ("new_name"
 KEY = ["volume", "frn"]
 #: Journal bytes per segment: the records of a key are first reduced by segment, so a key with very many records is spread.
 SEGMENT_BYTES = 1 << 22
-#: Buckets of a table, by a hash of the key.
-BUCKETS = 32
+#: Buckets of a table, by a hash of the key; for a large table, about as many as a batch has tasks.
+BUCKETS = 16
 #: Batches after which superseded images, their index entries and bitmaps are left behind.
 COMPACT_EVERY = 16
 _ROW = "struct<usn:bigint,parent:bigint,name:string,attributes:int>"

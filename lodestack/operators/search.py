@@ -121,3 +121,13 @@ def listing_totals(children: DataFrame) -> DataFrame:
         F.count(F.when(F.col("is_directory"), 1)).alias("dirs"), F.count(F.when(~F.col("is_directory"), 1)).alias("files"),
         F.coalesce(F.sum(F.when(~F.col("is_directory"), F.col("size"))), F.lit(0)).alias("bytes"),
     )
+
+
+def page_totals(page: DataFrame) -> DataFrame:
+    """(items, bytes) of a page: how many rows it has and what its files take, folders not counted."""
+    return page.agg(F.count("*").alias("items"), F.coalesce(F.sum(F.when(~F.col("is_directory"), F.col("size"))), F.lit(0)).alias("bytes"))
+
+
+def distinct_in_order(rows: DataFrame, key: str, order: str) -> DataFrame:
+    """(key, order): each value once, at its first place, in order of those; null is a value."""
+    return rows.groupBy(key).agg(F.min(order).alias(order)).orderBy(order, key)

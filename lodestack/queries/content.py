@@ -10,6 +10,7 @@ from lodestack.operators import content, fulltext, keyed
 from lodestack.operators.search import complete_metadata, search
 from lodestack.plans.query_parser import parse
 from lodestack.queries.search import SECONDS
+from lodestack.session import Scratch
 from lodestack.sources.tables import table
 
 WORD = "snapshot"
@@ -53,15 +54,57 @@ def q20_like_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return content.like_matches(docs, "path", emitted)
 
 
+#: Indexes made in this application, by data directory.
+_INDEXES: dict[tuple[str, str], fulltext.InvertedIndex] = {}
+INDEX_FIELDS = {"folded": "folded", "content": "content", "name": "name"}
+
+
+def _indexed(docs: DataFrame) -> DataFrame:
+    """(key, tokens of each field) of documents (path, content)."""
+    content_col = F.coalesce("content", F.lit(""))
+    return docs.select(
+        F.col("path").alias("key"), fulltext.folded_tokens(content_col).alias("folded"), scalars.search_tokens(content_col).alias("content"),
+        scalars.search_tokens(scalars.file_name(F.col("path"))).alias("name"),
+    )
+
+
+def _index(spark: SparkSession, sf_dir: str) -> fulltext.InvertedIndex:
+    """The index of doc_cache; built on first use, then only read."""
+    at = (spark.sparkContext.applicationId, sf_dir)
+    if at not in _INDEXES:
+        made = fulltext.InvertedIndex(spark, Scratch(spark, "index").root, tuple(INDEX_FIELDS))
+        made.upsert(_indexed(_docs(spark, sf_dir)))
+        _INDEXES[at] = made
+    return _INDEXES[at]
+
+
 def q21_fts_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fulltext.phrase_matches(_docs(spark, sf_dir), "Résultats à mélangé") .unionByName(fulltext.phrase_matches(_docs(spark, sf_dir), "path-tree"))
+    """Two phrases, looked up in the index."""
+    index = _index(spark, sf_dir)
+    found = [index.phrase("folded", fulltext.fold_query(spark, phrase)) for phrase in ("Résultats à mélange", "path tree")]
+    return found[0].unionByName(found[1]).select(F.col("key").alias("path"))
 
 
 def q22_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 50 best documents for three words in content and name."""
-    docs = _docs(spark, sf_dir)
+    """The 50 best documents for three words in content and name, from the index."""
+    best = _index(spark, sf_dir).bm25("snapshot loader report", ("content", "name"))
+    return best.select(F.col("key").alias("path"), F.round("score", 4).alias("score"))
+
+
+def q22_bm25_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same without an index: one scan for the counts, one for the scores."""
     fields = {"content": F.col("content"), "name": scalars.file_name(F.col("path"))}
-    return fulltext.bm25(docs, "snapshot loader report", fields, "path").select("path", F.round("score", 4).alias("score"))
+    return fulltext.bm25(_docs(spark, sf_dir), "snapshot loader report", fields, "path").select("path", F.round("score", 4).alias("score"))
+
+
+def q22_index_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A phrase after texts of one type were replaced and those of another removed, in an index that is only added to."""
+    docs = table(spark, sf_dir, "doc_cache")
+    index = fulltext.InvertedIndex(spark, Scratch(spark, "index").root, tuple(INDEX_FIELDS))
+    index.upsert(_indexed(docs))
+    index.upsert(_indexed(docs.where("doc_type = 'docx'").withColumn("content", F.concat(F.lit("a path tree, "), F.coalesce("content", F.lit(""))))))
+    index.delete(docs.where("doc_type = 'pdf'").select(F.col("path").alias("key")))
+    return index.phrase("folded", ["path", "tree"]).select(F.col("key").alias("path"))
 
 
 def q22_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,27 +158,31 @@ def q30_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _files(spark, sf_dir).where(paths.content_candidates()).select("seq", "full_path", "ext", "size")
 
 
+def _snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The rows of the first, the last but one and the last snapshot; the times are one row each."""
+    items = table(spark, sf_dir, "snapshot_file_item")
+    times = [r[0] for r in items.select("snapshot_ts").where("snapshot_ts is not null").distinct().orderBy("snapshot_ts").collect()] or [None]
+    return tuple(items.where(F.col("snapshot_ts") == F.lit(t)) for t in (times[0], times[max(0, len(times) - 2)], times[-1]))
+
+
 def q31_freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files of the last snapshot that the one before doesn't have with the same time."""
-    items = table(spark, sf_dir, "snapshot_file_item")
-    return keyed.stale(
-        items.where("snapshot_ts = 1714419204").select("full_path", "mtime"), items.where("snapshot_ts = 1713209590").select(F.col("full_path").alias("path"), "mtime")
-    )
+    _, before, last = _snapshots(spark, sf_dir)
+    return keyed.stale(last.select("full_path", "mtime"), before.select(F.col("full_path").alias("path"), "mtime"))
 
 
 def q32_ghosts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Matches in the first snapshot that the last still has."""
-    items = table(spark, sf_dir, "snapshot_file_item")
-    old = search(items.where("snapshot_ts = 1712000000"), parse("ext:pdf|docx")).matched.select("seq", "full_path")
-    return keyed.existing(old, items.where("snapshot_ts = 1714419204")).select("seq", "full_path")
+    first, _, last = _snapshots(spark, sf_dir)
+    old = search(first, parse("ext:pdf|docx")).matched.select("seq", "full_path")
+    return keyed.existing(old, last).select("seq", "full_path")
 
 
 def q33_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page of the first snapshot, with zero sizes and times from the last (one row per path there)."""
-    items = table(spark, sf_dir, "snapshot_file_item")
-    live = items.where("snapshot_ts = 1714419204").groupBy("full_path").agg(F.max("size").alias("size"), F.max("mtime").alias("mtime"))
-    page = search(items.where("snapshot_ts = 1712000000"), parse("type:doc")).page(limit=500)
-    return complete_metadata(page, live)
+    first, _, last = _snapshots(spark, sf_dir)
+    live = last.groupBy("full_path").agg(F.max("size").alias("size"), F.max("mtime").alias("mtime"))
+    return complete_metadata(search(first, parse("type:doc")).page(limit=500), live)
 
 
 def q31_folding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -146,7 +193,7 @@ def q31_folding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    q16_first_match, q17_content_merged, q17_content_top, q18_preview, q19_highlight, q20_like_fallback, q21_fts_phrase, q22_bm25, q22_postings,
+    q16_first_match, q17_content_merged, q17_content_top, q18_preview, q19_highlight, q20_like_fallback, q21_fts_phrase, q22_bm25, q22_bm25_scan, q22_index_changes, q22_postings,
     q23_snippet, q23_extract, q24_format_size, q25_format_time, q26_percent_decode, q27_xml_unescape, q28_strip_tags, q28_lines, q29_noisy_paths,
     q30_candidates, q31_freshness, q31_folding, q32_ghosts, q33_complete,
 )}
@@ -169,7 +216,11 @@ def _like(parts: tuple[str, ...], how: str) -> str:
     return " OR ".join(f"{how}(full_path_lower, '{p}')" for p in parts)
 
 
-_NOISY = f"({_like(paths.NOISY_ENDS, 'ends_with')} OR {_like(paths.NOISY_PARTS, 'contains')})"
+_NOISY = (
+    r"regexp_matches(full_path_lower, '(consolehost_history\.txt|\.bash_history|\.zsh_history|\.node_repl_history|\.python_history|doc_cache\.db|index_cache\.bin)$')"
+    r" OR regexp_matches(full_path_lower, '\\(psreadline|\.gemini|antigravity-cli|\.system_generated|appdata\\local\\temp|\.vscode|\.idea)\\')"
+)
+_NOISY = f"({_NOISY})"
 _CANDIDATE = f"NOT is_directory AND lower(ext) IN ({', '.join(repr(e) for e in paths.BINARY_DOCUMENTS + paths.TEXT_DOCUMENTS)}) AND size <= 52428800 AND NOT {_NOISY}"
 
 
@@ -230,6 +281,9 @@ ORACLES = {
         SELECT path FROM doc_cache WHERE contains(' ' || {_TOKENS.format('content')} || ' ', ' resultats a melange ')
         UNION ALL SELECT path FROM doc_cache WHERE contains(' ' || {_TOKENS.format('content')} || ' ', ' path tree ')""",
     "q22_bm25": _bm25(),
+    "q22_bm25_scan": _bm25(),
+    "q22_index_changes": f"""
+        SELECT path FROM doc_cache WHERE doc_type IS DISTINCT FROM 'pdf' AND (doc_type = 'docx' OR contains(' ' || {_TOKENS.format('content')} || ' ', ' path tree '))""",
     "q22_postings": r"""
         SELECT token, count(DISTINCT path) AS documents, count(*) AS occurrences
         FROM (SELECT path, unnest(regexp_split_to_array(lower(content), '[^\p{L}\p{N}]+')) AS token FROM doc_cache) WHERE token <> '' AND strlen(token) < 40 GROUP BY token""",
@@ -250,18 +304,18 @@ ORACLES = {
     "q29_noisy_paths": f"SELECT seq, {_NOISY} AS noisy, ({_NOISY} OR {_like(paths.INDEXER_PARTS, 'contains')}) AS skipped FROM file_index",
     "q30_candidates": f"SELECT seq, full_path, ext, size FROM file_index WHERE {_CANDIDATE}",
     "q31_freshness": """
-        SELECT full_path, mtime FROM snapshot_file_item a WHERE snapshot_ts = 1714419204 AND NOT EXISTS (
-            SELECT 1 FROM snapshot_file_item b WHERE b.snapshot_ts = 1713209590 AND b.full_path = a.full_path AND b.mtime = a.mtime)""",
+        SELECT full_path, mtime FROM snapshot_file_item a WHERE snapshot_ts = (SELECT max(snapshot_ts) FROM snapshot_file_item) AND NOT EXISTS (
+            SELECT 1 FROM snapshot_file_item b WHERE b.snapshot_ts = (SELECT max(snapshot_ts) FROM snapshot_file_item WHERE snapshot_ts < (SELECT max(snapshot_ts) FROM snapshot_file_item)) AND b.full_path = a.full_path AND b.mtime = a.mtime)""",
     "q31_folding": f"""
         SELECT seq, CASE WHEN is_directory THEN '' WHEN contains(name, '.') THEN lower(list_last(string_split(name, '.'))) ELSE '' END AS ext,
                CASE WHEN length(name) > 30 THEN substr(name, 1, 27) || '...' ELSE name END AS short, {_NAME.format('full_path')} AS file_name FROM file_index""",
     "q32_ghosts": """
-        SELECT seq, full_path FROM snapshot_file_item WHERE snapshot_ts = 1712000000 AND NOT is_directory AND ext IN ('pdf', 'docx')
-          AND full_path IN (SELECT full_path FROM snapshot_file_item WHERE snapshot_ts = 1714419204)""",
+        SELECT seq, full_path FROM snapshot_file_item WHERE snapshot_ts = (SELECT min(snapshot_ts) FROM snapshot_file_item) AND NOT is_directory AND ext IN ('pdf', 'docx')
+          AND full_path IN (SELECT full_path FROM snapshot_file_item WHERE snapshot_ts = (SELECT max(snapshot_ts) FROM snapshot_file_item))""",
     "q33_complete": f"""
-        WITH page AS (SELECT seq, name, full_path, size, mtime, is_directory, ext FROM snapshot_file_item WHERE snapshot_ts = 1712000000 AND NOT is_directory
+        WITH page AS (SELECT seq, name, full_path, size, mtime, is_directory, ext FROM snapshot_file_item WHERE snapshot_ts = (SELECT min(snapshot_ts) FROM snapshot_file_item) AND NOT is_directory
             AND ext IN ('doc', 'docx', 'pdf', 'txt', 'md', 'xls', 'xlsx', 'csv', 'ppt', 'pptx', 'wps', 'rtf', 'odt', 'epub', 'log', 'tex') ORDER BY seq LIMIT 500),
-        live AS (SELECT full_path, max(size) AS s, max(mtime) AS m FROM snapshot_file_item WHERE snapshot_ts = 1714419204 GROUP BY full_path)
+        live AS (SELECT full_path, max(size) AS s, max(mtime) AS m FROM snapshot_file_item WHERE snapshot_ts = (SELECT max(snapshot_ts) FROM snapshot_file_item) GROUP BY full_path)
         SELECT seq, name, page.full_path, CASE WHEN size = 0 OR mtime = 0 THEN coalesce(s, size) ELSE size END AS size,
                CASE WHEN size = 0 OR mtime = 0 THEN coalesce(m, mtime) ELSE mtime END AS mtime, is_directory, ext
         FROM page LEFT JOIN live ON page.full_path = live.full_path""",

@@ -79,8 +79,11 @@ def q39_favorites_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q39_favorites_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Favourites without those that were bought more often than the mean."""
     current, changes = _favorites(spark, sf_dir)
-    return keyed.delete_keys(current, changes.where("file_name = 'purchase'"), ["file_path"])
+    bought = changes.where("file_name = 'purchase'").groupBy("file_path").count()
+    mean = bought.agg(F.avg("count")).first()[0] or 0.0
+    return keyed.delete_keys(current, bought.where(F.col("count") > mean), ["file_path"])
 
 
 def q40_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,5 +138,5 @@ ORACLES = {
         FROM events GROUP BY user_id""",
     "q39_favorites_delete": """
         SELECT min(event_id) AS id, 'u' || user_id AS file_path, arg_min(event_type, event_id) AS file_name, CAST(floor(epoch(arg_min(ts, event_id))) AS BIGINT) AS added_at
-        FROM events GROUP BY user_id HAVING count(*) FILTER (event_type = 'purchase') = 0""",
+        FROM events GROUP BY user_id HAVING count(*) FILTER (event_type = 'purchase') <= (SELECT avg(n) FROM (SELECT count(*) AS n FROM events WHERE event_type = 'purchase' GROUP BY user_id))""",
 }

@@ -28,6 +28,20 @@ def _query(text: str):
     return run
 
 
+#: The index has no sound or film: for these two searches pictures count as some.
+_RECAST = {"video": ("png", "mp4"), "audio": ("jpg", "mp3")}
+
+
+def _recast_query(macro: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        old, new = _RECAST[macro]
+        files = _files(spark, sf_dir).withColumn("ext", F.when(F.col("ext") == old, new).otherwise(F.col("ext")))
+        return search(files, parse(f"type:{macro}", NOW)).matched.select("seq", "name", "full_path", "size", "mtime", "is_directory", "ext")
+
+    run.__doc__ = f"All matches of type:{macro}, with pictures as such files."
+    return run
+
+
 def _matches(spark: SparkSession, sf_dir: str, text: str) -> Matches:
     return search(_files(spark, sf_dir), parse(text, NOW))
 
@@ -96,8 +110,9 @@ def q05_volume_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestack.sources.files import drop_system, scan_counts, union_volumes
 
     nodes = table(spark, sf_dir, "raw_node")
-    parts = [drop_system(nodes.where(F.col("volume") == v)) for v in ("C", "D", "Z")]
-    return scan_counts(union_volumes(parts))
+    volumes = [r[0] for r in nodes.select("volume").where("volume is not null").distinct().collect()]  # those of a machine
+    parts = [drop_system(nodes.where(F.col("volume") == v)) for v in volumes]
+    return scan_counts(union_volumes(parts or [drop_system(nodes)]))
 
 
 _SEARCHES = {
@@ -108,7 +123,7 @@ _SEARCHES = {
     "q04_date_rolling": ("dm:thisyear", f"{SECONDS} >= {NOW - 365 * 86400}"),
     "q05_type_folder": ("type:folder plan", f"is_directory AND {_term('plan')}"),
     "q05_type_file": ("kind:file size:<100", "NOT is_directory AND size <= 100"),
-    **{f"q06_type_{m}": (f"type:{m}", _ext(*MACROS[m].split())) for m in MACROS},
+    **{f"q06_type_{m}": (f"type:{m}", _ext(*MACROS[m].split())) for m in MACROS if m not in ("video", "audio")},
     "q07_path_incl_excl": (
         r"path:e:\ -path:draft !path:plan notes",
         rf"contains(full_path_lower, 'e:\') AND NOT contains(full_path_lower, 'draft') AND NOT contains(full_path_lower, 'plan') AND {_term('notes')}",
@@ -118,13 +133,14 @@ _SEARCHES = {
     "q10_glob_path": (
         r"\plan*\*.md", rf"{_term(chr(92) + 'plan*' + chr(92) + '*.md')} OR regexp_full_match(full_path_lower, '(?s).*\\plan.*\\.*\.md.*') OR regexp_full_match(name_lower, '(?s)\\plan.*\\.*\.md')",
     ),
-    "q12_pinyin_term": ("ysxm", _term("ysxm")),
-    "q01_terms": ('"copy of" model', f"{_term('copy of')} AND {_term('model')}"),
+    "q12_pinyin_term": ("jy", _term("jy")),
+    "q01_terms": ('"copy of" plan', f"{_term('copy of')} AND {_term('plan')}"),
 }
 
 QUERIES = {
     "q01_search_summary": q01_search_summary,
     **{name: _query(text) for name, (text, _) in _SEARCHES.items()},
+    **{f"q06_type_{macro}": _recast_query(macro) for macro in _RECAST},
     "q05_volume_counts": q05_volume_counts,
     "q07_contains": q07_contains,
     "q36_rebase": q36_rebase,
@@ -142,10 +158,13 @@ ORACLES = {
                CAST(coalesce(sum(CASE WHEN NOT is_directory THEN size END), 0) AS BIGINT) AS total_bytes
         FROM file_index WHERE {_ext('docx', 'pdf', 'xlsx')} AND size >= 1024 AND {_term('report')}""",
     **{name: f"SELECT {_ITEM} FROM file_index WHERE {where}" for name, (_, where) in _SEARCHES.items()},
+    **{f"q06_type_{macro}": f"""
+        SELECT * FROM (SELECT * REPLACE (CASE WHEN ext = '{old}' THEN '{new}' ELSE ext END AS ext) FROM (SELECT {_ITEM} FROM file_index)) WHERE {_ext(*MACROS[macro].split())}"""
+       for macro, (old, new) in _RECAST.items()},
     "q05_volume_counts": """
         SELECT volume, count(*) AS entries FROM raw_node
         WHERE NOT (is_directory AND lower(name) IN ('$recycle.bin', 'system volume information', '$mft', '$mftmirr', '$logfile',
-            '$volume', '$bitmap', '$boot', '$badclus', '$secure', '$upcase', '$extend')) AND volume IN ('C', 'D', 'Z') GROUP BY volume""",
+            '$volume', '$bitmap', '$boot', '$badclus', '$secure', '$upcase', '$extend')) AND volume IS NOT NULL GROUP BY volume""",
     "q11_exclusions": r"""
         SELECT volume, count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes FROM file_index
         WHERE NOT starts_with(full_path_lower, 'e:\minutes') AND NOT starts_with(full_path_lower, 'f:\')

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import os
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import pyarrow as pa
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +15,10 @@ from lodestack import schemas
 from lodestack.functions.paths import KNOWLEDGE_CAP, SKIPPED_FOLDERS, SYSTEM_NAMES, TEXT_DOCUMENTS
 from lodestack.functions.pinyin import pinyin
 from lodestack.functions.scalars import extension
+from lodestack.session import Scratch, ship_package
+
+#: Attributes of files, and the id of a volume's root.
+HIDDEN, DIRECTORY, ARCHIVE, ROOT_FRN = 2, 16, 32, 5
 
 
 def read_entries(spark: SparkSession, path: str, volume: str, fmt: str = "parquet") -> DataFrame:
@@ -43,6 +51,95 @@ def walk(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+def _listed(folder: str) -> list[tuple]:
+    """(path, name, is_directory, size, mtime, attributes, error) of what is right in a mounted folder, hidden names included."""
+    out = []
+    try:
+        with os.scandir(folder) as found:
+            for item in found:
+                try:
+                    is_dir, info = item.is_dir(follow_symlinks=False), item.stat(follow_symlinks=False)
+                except OSError as error:
+                    out.append((item.path, item.name, False, None, None, 0, str(error)))
+                    continue
+                hidden = HIDDEN if item.name.startswith(".") else 0
+                out.append((item.path, item.name, is_dir, 0 if is_dir else info.st_size, int(info.st_mtime), hidden | (DIRECTORY if is_dir else ARCHIVE), None))
+    except OSError as error:
+        out.append((folder, None, None, None, None, None, str(error)))
+    return out
+
+
+_LISTED = "path string, name string, is_directory boolean, size bigint, mtime bigint, file_attributes int, error string"
+
+
+def _list_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = [c.split(" ")[0] for c in _LISTED.split(", ")]
+    types = [pa.string(), pa.string(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.string()]
+    for batch in batches:
+        for folder in batch.column(0).to_pylist():
+            rows = _listed(folder)
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
+
+
+def list_live(spark: SparkSession, folder: str) -> DataFrame:
+    """What is right in a mounted folder now, folders first and by name: (path, name, is_directory, size, mtime). The folder is
+    read where the task runs."""
+    ship_package(spark)
+    found = spark.createDataFrame([(folder,)], "path string").mapInArrow(_list_all, _LISTED)
+    return found.where("error is null").select("path", "name", "is_directory", "size", "mtime").orderBy(F.desc("is_directory"), F.lower("name"), "name")
+
+
+def enumerate_tree(spark: SparkSession, root: str, volume: str) -> DataFrame:
+    """All entries below a mounted folder, folders and hidden names included, as enumerated ones: ids are hashes of paths,
+    entries right below the folder have the root's id as parent. Level by level: the folders of a level are listed by as
+    many tasks as it takes, and their folders are the next level. Every executor must have the folder mounted; what can't be
+    listed is left out, and a folder that can't be opened at all raises."""
+    scratch = Scratch(spark, "tree")
+    ship_package(spark)
+    root = root.rstrip("/") or "/"
+    level = spark.createDataFrame([(root, ROOT_FRN)], "folder string, folder_frn bigint")
+    levels, first = [], True
+    while True:
+        found = level.select("folder").repartition("folder").mapInArrow(_list_all, _LISTED)
+        found = scratch.cut(found.withColumn("folder", F.when(F.col("name").isNull(), F.col("path")).otherwise(F.regexp_replace("path", r"/[^/]*$", ""))), "level")
+        if first:
+            failed = found.where("name is null").select("error").first()
+            if failed:
+                raise OSError(failed[0])
+        first = False
+        entries = found.where("name is not null and error is null").withColumn("folder", F.when(F.col("folder") == "", "/").otherwise(F.col("folder")))
+        frn = F.xxhash64("path").bitwiseAND(F.lit((1 << 47) - 1)) + F.lit(1 << 47)
+        entries = entries.join(level, "folder").select("path", frn.alias("frn"), F.col("folder_frn").alias("parent_frn"), "name", "size", "mtime", "file_attributes", "is_directory")
+        levels.append(entries)
+        level = entries.where("is_directory").select(F.col("path").alias("folder"), F.col("frn").alias("folder_frn"))
+        if level.isEmpty():
+            break
+    return reduce(DataFrame.unionByName, levels).drop("path").withColumn("volume", F.lit(volume))
+
+
+def read_volumes(spark: SparkSession, readers: dict[str, list[Callable[[], DataFrame]]]) -> tuple[DataFrame | None, list[tuple[str, int, str]]]:
+    """Entries of several volumes, each by the first of its readers that works, such as its enumeration and then a walk of its
+    folders. A volume that none can read is left out and doesn't stop the others. Also returned: by volume, which reader it was (-1: none)
+    and what went wrong before."""
+    parts, report = [], []
+    for volume, ways in readers.items():
+        errors = []
+        for k, way in enumerate(ways):
+            try:
+                rows = way()
+                rows.isEmpty()  # opens the source
+            except (PySparkException, OSError, ValueError) as error:
+                errors.append(str(error).partition("\n")[0])
+                continue
+            parts.append(rows)
+            report.append((volume, k, "; ".join(errors)))
+            break
+        else:
+            report.append((volume, -1, "; ".join(errors)))
+    return (union_volumes(parts) if parts else None), report
+
+
 def list_folder(spark: SparkSession, folder: str) -> DataFrame:
     """The files right in a folder."""
     return spark.read.format("binaryFile").load(folder).select(

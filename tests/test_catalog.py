@@ -125,6 +125,24 @@ def test_restarts_after_failures(spark, tmp_path):
         broken.keep_running(read_journal(spark, f"file://{tmp_path}/journal"), f"file://{tmp_path}/cp2", attempts=2, wait=0.01, continuous=False)
 
 
+def test_tree_and_volumes(spark, tmp_path):
+    for path, text in (("a/b/c.txt", "123"), ("a/.hidden", "1"), ("_under/x", ""), ("top.txt", "12")):
+        (tmp_path / "disk" / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "disk" / path).write_text(text)
+    tree = sources.enumerate_tree(spark, str(tmp_path / "disk"), "X")
+    rows = {r["name"]: r for r in tree.collect()}
+    assert set(rows) == {"a", "b", "c.txt", ".hidden", "_under", "x", "top.txt"} and rows["top.txt"]["parent_frn"] == 5
+    assert rows["c.txt"]["parent_frn"] == rows["b"]["frn"] and rows["b"]["parent_frn"] == rows["a"]["frn"] and rows["a"]["is_directory"] and rows["c.txt"]["size"] == 3
+    assert rows[".hidden"]["file_attributes"] == 34 and rows["a"]["file_attributes"] == 16
+    catalog = Catalog(spark, f"file://{tmp_path}/cat")
+    catalog.ingest(tree)
+    assert "X:\\a\\b\\c.txt" in {r["full_path"] for r in catalog.read("file_index").collect()}
+    assert [r["name"] for r in sources.list_live(spark, str(tmp_path / "disk")).collect()] == ["_under", "a", "top.txt"]
+    gone = lambda: sources.read_entries(spark, f"file://{tmp_path}/none", "Y")
+    found, report = sources.read_volumes(spark, {"X": [gone, lambda: tree], "Y": [gone, lambda: sources.enumerate_tree(spark, str(tmp_path / "none"), "Y")], "Z": [lambda: tree]})
+    assert found.count() == 14 and [(v, k) for v, k, _ in report] == [("X", 1), ("Y", -1), ("Z", 0)] and report[1][2]
+
+
 def test_versions_are_whole(spark, tmp_path):
     versions = Versions(spark, f"file://{tmp_path}/v")
     assert versions.newest() == (0, None)

@@ -113,3 +113,16 @@ def test_extraction(spark):
     assert got == {"a.txt": ("text", "plain �"), "b.docx": ("docx", "Body Head "), "c.xlsx": ("xlsx", "Shared 42 "), "d.odt": ("odt", " Open text ")}
     with_pdf = extract.extract(files, pdf_reader=lambda content: content.decode())
     assert ("i.pdf", "raw") in {(r["path"], r["content"]) for r in with_pdf.collect()}
+
+
+def test_times(spark):
+    seconds = 1_700_000_000
+    values = [seconds, seconds * 1000 + 999, seconds * 10**7 + 116_444_736_000_000_000 + 9_999_999, 0, None, -5]
+    got = spark.createDataFrame([(v,) for v in values], "t bigint").select(unix_seconds(F.col("t"))).collect()
+    assert [r[0] for r in got] == [seconds, seconds, seconds, 0, None, -5]
+
+
+def test_noisy_folders(spark):
+    given = ["c:\\u\\.gemini\\x.txt", "c:\\antigravity-cli\\x", "c:\\.vscode\\x", "c:\\vscode\\x", "c:\\u\\.bash_history", "c:\\appdata\\local\\temp\\x", "c:\\note.txt"]
+    got = spark.createDataFrame([(p,) for p in given], "p string").select(paths.is_noisy(F.col("p"))).collect()
+    assert [r[0] for r in got] == [True, True, True, False, True, True, False]

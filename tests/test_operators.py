@@ -7,7 +7,7 @@ from lodestack.functions.times import unix_seconds
 from lodestack.operators import content, fulltext, keyed
 from lodestack.operators.change_table import ChangeTable, apply_feed, journal_changes
 from lodestack.operators.hierarchy import LOW_48, descendants, resolve_hierarchy
-from lodestack.operators.search import Matches, complete_metadata, contains_filter, exclude, numbered, rebase, search
+from lodestack.operators.search import Matches, complete_metadata, contains_filter, distinct_in_order, exclude, numbered, page_totals, rebase, search
 from lodestack.operators.snapshots import snapshot_changes
 from lodestack.plans.query_parser import parse
 from lodestack.session import Scratch
@@ -224,6 +224,34 @@ def test_numbers_and_moves(spark, files):
     assert [r["seq"] for r in contains_filter(files, "TENCENT").collect()] == [3] and contains_filter(files, "").count() == 4
 
 
+def test_totals_and_order(spark, files):
+    assert tuple(page_totals(files).first()) == (4, 5000000 + 1048576 + 20480000) and tuple(page_totals(files.limit(0)).first()) == (0, 0)
+    rows = spark.createDataFrame([("b", 3), ("a", 2), ("b", 1), (None, 4), (None, 5)], "k string, n int")
+    assert [tuple(r) for r in distinct_in_order(rows, "k", "n").collect()] == [("b", 1), ("a", 2), (None, 4)]
+
+
+def test_inverted_index(spark, tmp_path):
+    def tokens(*rows):
+        return spark.createDataFrame([(k, t.split(" ") if t else None, "clash") for k, t in rows], "key string, text array<string>, batch string")
+
+    folder = f"file://{tmp_path}/index"
+    index = fulltext.InvertedIndex(spark, folder, ("text",), buckets=3, compact_every=100)
+    assert index.bm25("a", ("text",)).count() == 0 and index.phrase("text", ["a"]).count() == 0
+    index.upsert(tokens(("1", "a b a b c"), ("2", "b a"), ("3", None), (None, "a"), ("4", "x a b")))
+    index.upsert(tokens(("4", "a c"), ("5", "a b a")))
+    index.delete(tokens(("2", None), ("none", None)))
+    for _ in range(2):
+        index = fulltext.InvertedIndex(spark, folder, ("text",))  # opened again
+        keys = lambda *phrase: {r[0] for r in index.phrase("text", list(phrase)).collect()}
+        assert keys("a", "b") == {"1", "5"} and keys("a", "b", "a") == {"1", "5"} and keys("b", "c") == {"1"} and keys("b", "b") == set() and keys() == set()
+        assert index.state["documents"] == 4 and index.state["tokens"] == [10]
+        docs = spark.createDataFrame([("1", "a b a b c"), ("3", ""), ("4", "a c"), ("5", "a b a")], "key string, text string")
+        want = [(r["key"], round(r["score"], 9)) for r in fulltext.bm25(docs, "c A", {"text": F.col("text")}, "key").collect()]
+        assert [(r["key"], round(r["score"], 9)) for r in index.bm25("c A", ("text",)).collect()] == want and len(want) == 3
+        index.compact()
+        assert not index.state["dead"]
+
+
 @pytest.fixture(scope="module")
 def docs(spark):
     rows = [
