@@ -347,21 +347,21 @@ for _k, _c in enumerate(CIPHERS):
 
 #: A reading in several bytes a letter must hold at least one whole letter.
 _VALID = {"utf-8": re.compile(b"[\xc2-\xf4][\x80-\xbf]"), "gbk": re.compile(b"[\x81-\xfe][\x40-\xfe]"), "big5": re.compile(b"[\x81-\xfe][\x40-\xfe]")}
+#: Pages that show characters from U+2E80 on.
+_WIDE_PAGES = tuple(c for c in MULTI if c != "utf-8")
 _SHOWN: dict[frozenset, tuple[str, ...]] = {}
 
 
 def _shown_as(unit: str) -> tuple[str, ...]:
     """The code pages that have the unit's characters."""
+    highest = max(unit)
+    if highest >= "⺀" and highest != LOST:
+        return _WIDE_PAGES
     special = frozenset(c for c in unit if c > "\x7f")
     if special not in _SHOWN:
         if len(_SHOWN) > MOST_REMEMBERED:
             _SHOWN.clear()
-        highest = max(special)
-        if highest >= "⺀" and highest != LOST:
-            pages = tuple(c for c in MULTI if c != "utf-8")
-        else:
-            pages = tuple(c for c in SINGLE if special <= _REPERTOIRE[c]) + (("utf-8",) if highest < "ࠀ" else ())
-        _SHOWN[special] = pages
+        _SHOWN[special] = tuple(c for c in SINGLE if special <= _REPERTOIRE[c]) + (("utf-8",) if highest < "ࠀ" else ())
     return _SHOWN[special]
 
 
@@ -485,6 +485,16 @@ def _by_source(sources: list[str], units: list[list[str]]) -> dict[str, dict[str
     return out
 
 
+def _rows_of(kind: str, cells: np.ndarray, values: np.ndarray, names: pa.Array | None = None) -> pa.RecordBatch:
+    """Rows (kind, source, cell, name, value) of a table without sources."""
+    n = len(cells)
+    names = pa.repeat(pa.scalar(""), n) if names is None else names
+    return pa.RecordBatch.from_arrays(
+        [pa.repeat(pa.scalar(kind), n), pa.repeat(pa.scalar(""), n), pa.array(cells, pa.int64()), names, pa.array(values, pa.float64())],
+        ["kind", "source", "cell", "name", "value"],
+    )
+
+
 def _learn(model: Bigrams | None, shares: dict, last: bool = False):
     """One scan: rows (kind, source, cell, name, value) of the tables of the next round. last: also the pairs of characters outside
     ASCII by source, in SPREAD sets."""
@@ -494,7 +504,6 @@ def _learn(model: Bigrams | None, shares: dict, last: bool = False):
         mass: dict[tuple[str, str], float] = {}
         letters: dict[tuple[str, str], float] = {}
         suspects: dict[str, bool] = {}
-        spread: dict[int, float] = {}
         for batch in _pieces(batches):
             names, weights, parts = [], [], []
             by_source = _by_source(*_batch_units(batch))
@@ -532,12 +541,13 @@ def _learn(model: Bigrams | None, shares: dict, last: bool = False):
                 lengths = np.diff(np.append(at, len(codes) - 1))
                 keys = np.repeat(np.array(parts, np.int64), lengths)[low] << 32 | codes[:-1][low].astype(np.int64) << 16 | codes[1:][low].astype(np.int64)
                 cells, place = np.unique(keys, return_inverse=True)
-                for cell, n in zip(cells.tolist(), np.bincount(place, np.repeat(np.array(weights, dtype=float), lengths)[low], len(cells)).tolist()):
-                    spread[cell] = spread.get(cell, 0.0) + n
-        rows = [("spread", "", cell & 0xFFFFFFFF, str(cell >> 32), n) for cell, n in spread.items()]
-        rows += [("pair", "", int(i), "", float(counts.pairs[i])) for i in np.flatnonzero(counts.pairs)]
-        rows += [("char", "", int(i), "", float(counts.chars[i])) for i in np.flatnonzero(counts.chars)]
-        rows += [("class", "", int(i), "", float(counts.classes.ravel()[i])) for i in np.flatnonzero(counts.classes)]
+                found = np.bincount(place, np.repeat(np.array(weights, dtype=float), lengths)[low], len(cells))
+                yield _rows_of("spread", cells & 0xFFFFFFFF, found, pa.array(cells >> 32).cast(pa.string()))
+        for kind, table in (("pair", counts.pairs), ("char", counts.chars), ("class", counts.classes.ravel())):
+            at = np.flatnonzero(table)
+            if len(at):
+                yield _rows_of(kind, at, table[at])
+        rows = []
         rows += [("share", s, 0, c, v) for (s, c), v in mass.items()]
         rows += [("letter", c, 0, ab, v) for (c, ab), v in letters.items()]
         if rows:
@@ -552,7 +562,6 @@ def _unexplained(learned: Learned):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Decipherer(learned.model, learned.shares)
-        counts: dict[tuple[str, str, int, int], float] = {}
         for batch in _pieces(batches):
             slots, units = _batch_units(batch)
             sources = batch.column(2).to_pylist()
@@ -573,14 +582,11 @@ def _unexplained(learned: Learned):
             lengths = np.diff(np.append(at, len(codes) - 1))
             pairs = np.repeat(owner, lengths)[touched] << 32 | codes[:-1][touched].astype(np.int64) << 16 | codes[1:][touched].astype(np.int64)
             cells, place = np.unique(pairs, return_inverse=True)
-            for cell, n in zip(cells.tolist(), np.bincount(place, np.repeat(number_of, lengths)[touched], len(cells)).tolist()):
-                key = (every[cell >> 33], "odd" if cell >> 32 & 1 else "even", cell >> 16 & 0xFFFF, cell & 0xFFFF)
-                counts[key] = counts.get(key, 0.0) + n
-            for cell, n in enumerate(np.bincount(owner, number_of).tolist()):
-                if n:
-                    key = (every[cell >> 1], "odd" if cell & 1 else "even", -1, -1)
-                    counts[key] = counts.get(key, 0.0) + n
-        yield from substitution.count_rows(counts)
+            found = np.bincount(place, np.repeat(number_of, lengths)[touched], len(cells))
+            yield substitution.count_rows(every, cells >> 32, cells >> 16 & 0xFFFF, cells & 0xFFFF, found)
+            total = np.bincount(owner, number_of)
+            sets = np.flatnonzero(total)
+            yield substitution.count_rows(every, sets, np.full(len(sets), -1), np.full(len(sets), -1), total[sets])
 
     return run
 

@@ -9,8 +9,6 @@ and what is expected of those; counts are tempered, so that early rounds don't s
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,6 +25,9 @@ UNKNOWN, STEP, PRIOR = 4.2, 2.5, -4.0
 #: character's places in the source at least such a share can't be explained as they stand. If that holds for such a share of the
 #: source's units, all of them are taken as swapped.
 LEAST_SEEN, LEAST_LETTERS, LEAST_GAIN, LEAST_UNEXPLAINED = 100, 5, 4.0, 0.5
+#: Nats that a step from or to a letter may cost on average in the deciphered text: more is no language that the corpus knows, such as
+#: another script that only this source has.
+MOST_COST = 3.2
 ROUNDS = 60
 SMOOTH = 5.0
 SCHEMA = "source string, shown string, letters string, gain double, throughout boolean"
@@ -75,13 +76,13 @@ class Language:
         return np.where(touched, self.log[at[:-1], at[1:]], 0.0)
 
 
-def solve(cells: np.ndarray, counts: np.ndarray, language: Language) -> tuple[dict[int, int], float]:
-    """The letter of each character from the counts of neighbours (pairs of codes), and the gain in nats for each place where
-    such a character stands."""
+def solve(cells: np.ndarray, counts: np.ndarray, language: Language) -> tuple[dict[int, int], float, float]:
+    """The letter of each character from the counts of neighbours (pairs of codes), the gain in nats for each place where
+    such a character stands, and what a step costs in the deciphered text."""
     shown = np.unique(cells[cells >= 0x80])
     letters = len(language.others)
     if not len(shown) or not letters:
-        return {}, 0.0
+        return {}, 0.0, 0.0
     place = {int(c): i for i, c in enumerate(shown)}
     k, f = len(shown), language.fixed
     inner = np.zeros((k, k))
@@ -112,7 +113,7 @@ def solve(cells: np.ndarray, counts: np.ndarray, language: Language) -> tuple[di
             best, best_value = choice, value
     as_shown = [language.place(int(c)) for c in shown]
     own = sum(before[i] @ log[:f, at] + after[i] @ log[at, :f] for i, at in enumerate(as_shown)) + (inner * log[np.ix_(as_shown, as_shown)]).sum()
-    return {int(c): int(language.others[choice]) for c, choice in zip(shown, best)}, (best_value - own) / max(1.0, seen.sum())
+    return {int(c): int(language.others[choice]) for c, choice in zip(shown, best)}, (best_value - own) / max(1.0, seen.sum()), -best_value / max(1.0, counts.sum())
 
 
 def _climbed(choice: np.ndarray, outside: np.ndarray, inner: np.ndarray, within: np.ndarray) -> tuple[np.ndarray, float]:
@@ -191,8 +192,8 @@ def learn_substitutions(texts: DataFrame, neighbours, language: Language) -> Dat
         cells, counts = np.array(list(merged), np.int64).reshape(-1, 2), np.array(list(merged.values()))
         if not len(cells) or counts[cells[:, 1] >= 0x80].sum() < LEAST_SEEN or len(np.unique(cells[cells >= 0x80])) < LEAST_LETTERS:
             return schema.empty_table()
-        mapping, gain = solve(cells, counts, language)
-        if gain < LEAST_GAIN:
+        mapping, gain, cost = solve(cells, counts, language)
+        if gain < LEAST_GAIN or cost > MOST_COST:
             return schema.empty_table()
         found = {"source": [key[0].as_py()], "shown": ["".join(map(chr, mapping))], "letters": ["".join(map(chr, mapping.values()))], "gain": [gain], "throughout": [throughout]}
         return pa.table(found, schema=schema)
@@ -201,10 +202,9 @@ def learn_substitutions(texts: DataFrame, neighbours, language: Language) -> Dat
     return counted.groupBy("source").applyInArrow(each, SCHEMA)
 
 
-def count_rows(counts: dict[tuple[str, str, int, int], float]) -> Iterator[pa.RecordBatch]:
-    if counts:
-        source, kind, a, b = zip(*counts)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(source), pa.array(kind), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(list(counts.values()), pa.float64())],
-            ["source", "kind", "a", "b", "n"],
-        )
+def count_rows(sources: list[str], sets: np.ndarray, a: np.ndarray, b: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+    """Rows (source, kind, a, b, n); sets: twice the place of the source, and one more for kind 'odd'."""
+    return pa.RecordBatch.from_arrays(
+        [pa.array(sources, pa.string()).take(pa.array(sets >> 1)), pa.array(["even", "odd"]).take(pa.array(sets & 1)), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(counts, pa.float64())],
+        ["source", "kind", "a", "b", "n"],
+    )

@@ -45,3 +45,13 @@ def test_unknown_page(spark, case):
     # bigrams can't tell every rare letter: one that stands in a single word may be another language's
     special = sum(c > "\x7f" for v in planted.values() for c in v)
     assert sum(wrong.values()) <= 0.05 * special and len(restored) >= 0.6 * len(planted), wrong.most_common(9)
+
+
+def test_script_of_one_source_stays(spark):
+    """Greek that a single source has is no swap of letters that the corpus knows."""
+    r = random.Random(6)
+    greek = "καλημέρα σήμερα βιβλίο θάλασσα ουρανός μεγάλος δρόμος χρόνος ψωμί κρασί άνθρωπος γράμμα φίλος ξένος ήλιος ζωή πόλη νερό".split()
+    rows = [("t", f"c{i}", f"s{i % 3}", text(r, list(WORDS)[i % 4])) for i in range(900)]
+    rows += [("t", f"e{i}", "odd", " ".join(r.choice(greek) for _ in range(12))) for i in range(300)]
+    found = mojibake.garbled(spark.createDataFrame(rows, "tab string, rec_key string, source string, text string")).collect()
+    assert len(found) <= 0.01 * len(rows)
